@@ -14,6 +14,7 @@ def build_session(cores: str | int = 8, shuffle_partitions: int = 8, **extra: st
         SparkSession.builder.master(f"local[{cores}]")
         .appName("flowquarry")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
