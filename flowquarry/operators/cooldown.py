@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_STRETCH = 50_000
+# Paths meet within a few spans, so a dense key gets stretches of several spans, up to
+# this many rows, to keep the summaries short.
+SPANS_PER_STRETCH = 8
+MOST_ROWS_PER_STRETCH = 5_000_000
 
 
 def _jumps(ts: np.ndarray, span: int) -> np.ndarray:
@@ -55,8 +59,12 @@ def cooldown(df: DataFrame, key: str, ts: str, row_id: str, span: str, rows_per_
     # Equal times can fire only once: keep one row for each before anything else.
     rows = df.groupBy(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).agg(F.min(row_id).alias("id"))
     spans = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_stretch))
-    width = F.floor((F.col("hi") - F.col("lo")) / pieces) + 1
+    few = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_stretch))
+    fewest = F.greatest(F.lit(1), F.ceil(F.col("n") / max(rows_per_stretch, MOST_ROWS_PER_STRETCH)))
+    length = F.col("hi") - F.col("lo")
+    width = F.greatest(
+        F.floor(length / few) + 1, F.least(F.lit(SPANS_PER_STRETCH * micros), F.floor(length / fewest) + 1)
+    )
     spans = spans.select("k", "lo", width.alias("width"))
     # floor(a / b) on longs beyond 2^53 would round: integer division keeps stretches exact.
     cut = rows.join(spans, "k").withColumn("stretch", F.expr("(t - lo) div width")).select("k", "stretch", "t", "id")

@@ -1,6 +1,6 @@
 """Every registered query, by family."""
 
 from flowquarry.plans.registry import ORACLE, QUERIES
-from flowquarry.plans import cleaning, explaining, positional, profiling, relations  # noqa: F401
+from flowquarry.plans import balancing, cleaning, explaining, positional, profiling, relations  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
