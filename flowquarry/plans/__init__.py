@@ -1,6 +1,6 @@
 """Every registered query, by family."""
 
 from flowquarry.plans.registry import ORACLE, QUERIES
-from flowquarry.plans import balancing, cleaning, explaining, learning, positional, profiling, relations, scalars  # noqa: F401
+from flowquarry.plans import balancing, cleaning, explaining, learning, positional, profiling, relations, scalars, streams  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -69,7 +69,10 @@ def _case(pairs: list[tuple[Column, Column]]) -> Column:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as flow records: unique flow_id, class label, capture name and features."""
-    li = table(spark, sf_dir, "lineitem")
+    return flows_from(table(spark, sf_dir, "lineitem"))
+
+
+def flows_from(li: DataFrame) -> DataFrame:
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     label = _case([((flag == f) & (status == s), F.lit(c)) for (f, s), c in _CLASS_OF.items()])
     half = F.when(F.col("l_linenumber") > 5, "test").otherwise("train")
@@ -159,7 +162,10 @@ def flow_words(key: str = "flow_id") -> tuple[Column, Column]:
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as scored packets: class, confidence, truth and device."""
-    ev = table(spark, sf_dir, "events")
+    return packets_from(table(spark, sf_dir, "events"))
+
+
+def packets_from(ev: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return ev.select(
         F.col("event_id").alias("packet_id"),
