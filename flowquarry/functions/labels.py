@@ -37,7 +37,7 @@ def first_match(tests: list[tuple[Column, str]], default: str) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def protocol_of(name: Column) -> Column:

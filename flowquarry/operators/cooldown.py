@@ -65,9 +65,24 @@ def cooldown(df: DataFrame, key: str, ts: str, row_id: str, span: str, rows_per_
     width = F.greatest(
         F.floor(length / few) + 1, F.least(F.lit(SPANS_PER_STRETCH * micros), F.floor(length / fewest) + 1)
     )
-    spans = spans.select("k", "lo", width.alias("width"))
+    spans = spans.select("k", "lo", width.alias("width"), (length >= width).alias("long"))
+    sized = rows.join(spans, "k")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, ready = None, 0
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            for i, (k, t) in enumerate(zip(pdf["k"].tolist(), pdf["t"].tolist())):
+                if k != current or t >= ready:
+                    keep[i], current, ready = True, k, t + micros
+            yield pdf[keep]
+
+    out = f"k {key_type}, t bigint, id {dict(df.dtypes)[row_id]}"
+    # Keys of one stretch stream through their task in order, many keys to a task.
+    short = sized.filter("not long").select("k", "t", "id")
+    short = short.repartition("k").sortWithinPartitions("k", "t").mapInPandas(fold, out)
     # floor(a / b) on longs beyond 2^53 would round: integer division keeps stretches exact.
-    cut = rows.join(spans, "k").withColumn("stretch", F.expr("(t - lo) div width")).select("k", "stretch", "t", "id")
+    cut = sized.filter("long").withColumn("stretch", F.expr("(t - lo) div width")).select("k", "stretch", "t", "id")
 
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ready, after = _summary(np.sort(pdf["t"].to_numpy(dtype=np.int64)), micros)
@@ -100,8 +115,7 @@ def cooldown(df: DataFrame, key: str, ts: str, row_id: str, span: str, rows_per_
         fired = _replay(pdf["t"].to_numpy(dtype=np.int64), int(pdf["start"].iloc[0]), micros)
         return pdf.iloc[fired][["k", "t", "id"]]
 
-    id_type = dict(df.dtypes)[row_id]
     joined = cut.join(chained, (F.col("k") == F.col("k2")) & (F.col("stretch") == F.col("s2")))
-    fired = joined.select("k", "stretch", "t", "id", "start").groupBy("k", "stretch").applyInPandas(replay, f"k {key_type}, t bigint, id {id_type}")
+    fired = joined.select("k", "stretch", "t", "id", "start").groupBy("k", "stretch").applyInPandas(replay, out)
     time = F.timestamp_micros("t").cast(dict(df.dtypes)[ts])
-    return fired.select(F.col("k").alias(key), time.alias(ts), F.col("id").alias(row_id))
+    return short.unionByName(fired).select(F.col("k").alias(key), time.alias(ts), F.col("id").alias(row_id))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.functions.features import quoted, title_of
-from flowquarry.functions.hashing import hash_unit, hash_word
+from flowquarry.functions.hashing import fast_unit
 from flowquarry.operators.profiles import PrototypeModel, Scaler
 
 # Message wording and thresholds of the two-audience explanation.
@@ -110,7 +110,7 @@ def top_contributions(model: LinearModel, k: int) -> Column:
                 F.when(value > 0, "positive").otherwise("negative").alias("impact"),
             )
         )
-    return F.slice(F.array_sort(F.array(*entries)), 1, k)
+    return F.slice(F.sort_array(F.array(*entries)), 1, k)
 
 
 @dataclass
@@ -199,9 +199,9 @@ def sampled_shapley(
     expanded = df.select(key, *[quoted(f) for f in features]).withColumn(
         "_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
     )
-    places = F.array_sort(
+    places = F.sort_array(
         F.array(*[
-            F.struct(hash_word(F.concat_ws("#", F.col(key), F.col("_perm"), F.lit(i))).alias("h"), F.lit(i).alias("i"))
+            F.struct(F.xxhash64(key, "_perm", F.lit(i)).alias("h"), F.lit(i).alias("i"))
             for i in range(n)
         ])
     )
@@ -304,37 +304,37 @@ def random_counterfactuals(
     df: DataFrame, key: str, model: PrototypeModel, tries: int = 8, wanted: str = "Benign"
 ) -> DataFrame:
     """For rows not predicted ``wanted``: the nearest of ``tries`` hash-perturbed copies
-    that is. All tries are columns of the row itself, so there is no shuffle.
+    that is. All tries are made within the row, so there is no shuffle.
 
     Adds ``counterfactual``: {distance, try, features...}, null where every try failed.
     """
     features = model.scaler.features
-    spread = [s or 1.0 for s in model.scaler.stds]
+    stds = [s or 1.0 for s in model.scaler.stds]
+    scaled = [(quoted(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, model.scaler.means, stds)]
     target = model.classes.index(wanted)
-    # Staged projections, so that each hash is taken once and then reused.
-    draws = {
-        f"_u{t}_{i}": hash_unit(F.concat_ws("#", F.col(key), F.lit(t), F.lit(f))) * 4.0 - 2.0
-        for t in range(tries)
-        for i, f in enumerate(features)
-    }
-    df = df.withColumns(draws)
-    gaps = {}
-    for t in range(tries):
-        for k, centre in enumerate(model.centres):
-            terms = []
-            for i, f in enumerate(features):
-                x = (quoted(f) - F.lit(model.scaler.means[i])) / F.lit(spread[i]) + F.col(f"_u{t}_{i}")
-                terms.append((x - F.lit(centre[i])) * (x - F.lit(centre[i])))
-            gaps[f"_g{t}_{k}"] = sum(terms[1:], terms[0])
-    df = df.withColumns(gaps)
-    entries = []
-    for t in range(tries):
-        others = [F.col(f"_g{t}_{k}") for k in range(len(model.classes)) if k != target]
-        moves = [F.col(f"_u{t}_{i}") for i in range(len(features))]
-        far = F.sqrt(sum([m * m for m in moves[1:]], moves[0] * moves[0]))
-        moved = [(quoted(f) + m * F.lit(s)).alias(f) for f, m, s in zip(features, moves, spread)]
-        entries.append(
-            F.when(F.col(f"_g{t}_{target}") < F.least(*others), F.struct(far.alias("distance"), F.lit(t).alias("try"), *moved))
-        )
-    best = F.array_min(F.array_compact(F.array(*entries)))
-    return df.withColumn("counterfactual", best).drop(*draws, *gaps)
+    df = df.withColumns({f"_x{i}": c for i, c in enumerate(scaled)})
+
+    def squared(parts: list[Column]) -> Column:
+        return sum([p * p for p in parts[1:]], parts[0] * parts[0])
+
+    def attempt(move: Column, number: Column) -> Column:
+        gaps = [
+            squared([F.col(f"_x{i}") + move[i] - F.lit(c) for i, c in enumerate(centre)]) for centre in model.centres
+        ]
+        rest = F.least(*[g for k, g in enumerate(gaps) if k != target])
+        return F.struct(
+            (gaps[target] < rest).alias("hit"), F.sqrt(squared([move[i] for i in range(len(features))])).alias("distance"),
+            number.alias("try"), move.alias("move"),
+        )
+
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(tries - 1)),
+        lambda t: F.array(*[fast_unit(F.col(key), t, F.lit(i)) * 4.0 - 2.0 for i in range(len(features))]),
+    )
+    best = F.array_min(F.filter(F.transform(draws, attempt), lambda a: a["hit"]))
+    found = df.withColumn("_best", best)
+    moved = [(quoted(f) + F.col("_best.move")[i] * F.lit(s)).alias(f) for i, (f, s) in enumerate(zip(features, stds))]
+    record = F.struct(F.col("_best.distance").alias("distance"), F.col("_best.try").alias("try"), *moved)
+    return found.withColumn("counterfactual", F.when(F.col("_best").isNotNull(), record)).drop(
+        "_best", *[f"_x{i}" for i in range(len(features))]
+    )

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 GRID = 256
 ACCURACY = 10_000
 MAX_GROUPS = 10_000
+# Rows left in a bracket before they are counted value by value and summed in order.
+SMALL = 1_000_000
 
 
 @dataclass
@@ -42,7 +44,7 @@ def _per_group(by: Column | None, values: dict, kind: str) -> Column:
     if by is None:
         return F.lit(values[None]).cast(kind)
     pairs = [F.lit(x).cast(kind) if i % 2 else F.lit(x) for kv in values.items() for i, x in enumerate(kv)]
-    return F.element_at(F.create_map(*pairs), by)
+    return F.try_element_at(F.create_map(*pairs), by)
 
 
 def _grouped(df: DataFrame, by: Column | None, aggs: list[Column]) -> dict:
@@ -59,13 +61,13 @@ def order_statistics(
     series: dict[str, Column],
     ranks: Callable[[object, str, int], Sequence[int]],
     by: Column | None = None,
-    small: int = 50_000,
-) -> dict[tuple[object, str], list[tuple[float | int, int, int] | None]]:
+    small: int = SMALL,
+) -> dict[tuple[object, str], list[tuple[float | int, int, int, int] | None]]:
     """For every (group, series), the value at each wanted 1-based rank.
 
     ``ranks(group, name, n)`` names the ranks given the count of non-missing values.
-    Each answer is (value, rows below the value, rows equal to it); None for rank 0 or
-    a rank past the end. NaN counts as missing.
+    Each answer is (value, rows below it, rows equal to it, rank); None for rank 0 or a
+    rank past the end. NaN counts as missing.
     """
     types = dict(df.select(*[c.alias(n) for n, c in series.items()]).dtypes)
     # NaN only exists in floating columns; missing values never take a rank.
@@ -94,7 +96,7 @@ def order_statistics(
         _settle(state)
     _finish(df, by, clean, types, state)
     return {
-        key: [None if b is None else (b.value, b.below, b.inside) for b in brackets]
+        key: [None if b is None else (b.value, b.below, b.inside, b.rank) for b in brackets]
         for key, brackets in state.items()
     }
 
@@ -227,23 +229,19 @@ def cut_keys(
     """Per group, the composite key of the row at each wanted rank in ``order``.
 
     Keys are found one column at a time: ties on a found value are resolved among the
-    tied rows only. Comparing rows with the returned keys then splits the table row by
-    row, with no shuffle of the data.
+    tied rows only, and a key ends with the column that leaves none. Comparing rows with
+    the returned keys then splits the table row by row, with no shuffle of the data.
     """
     first = order_statistics(df, {"k": order[0]}, lambda g, _n, n: ranks(g, n), by)
     cuts: dict[object, list] = {
-        g: [None if v is None else {"key": [v[0]], "left": None, "v": v} for v in vs] for (g, _), vs in first.items()
+        g: [None if v is None else {"key": [v[0]], "left": v[3] - v[1], "ties": v[2]} for v in vs]
+        for (g, _), vs in first.items()
     }
-    order_counts = _grouped(df, by, [F.count(order[0]).alias("n")])
-    for g, cut_list in cuts.items():
-        for k, cut in zip(ranks(g, order_counts[g]["n"]), cut_list):
-            if cut is not None:
-                cut["left"] = k - cut["v"][1]
     for depth in range(1, len(order)):
         slots: dict[str, dict] = {}
         for g, cut_list in cuts.items():
             for j, cut in enumerate(cut_list):
-                if cut is not None:
+                if cut is not None and cut["ties"] > 1:
                     slots.setdefault(f"s{j}", {})[g] = cut
         if not slots:
             break
@@ -259,9 +257,10 @@ def cut_keys(
         )
         for name, groups in slots.items():
             for g, cut in groups.items():
-                value, below, _equal = found[g, name][0]
+                value, below, equal, _rank = found[g, name][0]
                 cut["key"].append(value)
                 cut["left"] -= below
+                cut["ties"] = equal
     return {g: [None if c is None else tuple(c["key"]) for c in cs] for g, cs in cuts.items()}
 
 
@@ -272,7 +271,15 @@ def not_after(order: Sequence[Column], keys: dict[object, tuple | None], by: Col
         return F.lit(False)
     result = F.lit(True)
     for i in reversed(range(len(order))):
-        kind = "double" if any(isinstance(k[i], float) for k in held.values()) else "bigint"
-        cut = _per_group(by, {g: k[i] for g, k in held.items()}, kind)
-        result = (order[i] < cut) | ((order[i] == cut) & result)
+        # Groups whose key is shorter are already decided: they pass on equality.
+        longer = {g: k for g, k in held.items() if len(k) > i}
+        if not longer:
+            continue
+        kind = "double" if any(isinstance(k[i], float) for k in longer.values()) else "bigint"
+        cut = _per_group(by, {g: k[i] for g, k in longer.items()}, kind)
+        here = (order[i] < cut) | ((order[i] == cut) & result)
+        decided = [g for g in held if g not in longer]
+        result = F.when(by.isin(decided), F.lit(True)).otherwise(here) if decided and by is not None else here
+    if by is not None:
+        result = by.isin(list(held)) & result
     return F.coalesce(result, F.lit(False))

@@ -27,11 +27,14 @@ def stratified_split(
         total = round(total + shares[name], 12)
         edges.append(total)
     by = F.col(label)
-    cuts = cut_keys(df, order, lambda _g, n: [int(n * e) for e in edges], by)
+    # Order columns are computed once per row and pass, then only compared.
+    held = {f"_o{i}": c for i, c in enumerate(order)}
+    keyed, columns = df.withColumns(held), [F.col(c) for c in held]
+    cuts = cut_keys(keyed.select(label, *held), columns, lambda _g, n: [int(n * e) for e in edges], by)
     chain = F
     for j, name in enumerate(names[:-1]):
-        chain = chain.when(not_after(order, {g: keys[j] for g, keys in cuts.items()}, by), F.lit(name))
-    return df.withColumn(output, chain.otherwise(F.lit(names[-1])))
+        chain = chain.when(not_after(columns, {g: keys[j] for g, keys in cuts.items()}, by), F.lit(name))
+    return keyed.withColumn(output, chain.otherwise(F.lit(names[-1]))).drop(*held)
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:

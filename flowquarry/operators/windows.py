@@ -16,7 +16,7 @@ def micros(ts: Column) -> Column:
 
 def majority(label: str, order: Sequence[Column]) -> Column:
     """Most frequent label of a small group; the one seen first wins a tie."""
-    seen = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(label).alias("l"))))
+    seen = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(label).alias("l"))))
     labels = F.transform(seen, lambda s: s["l"])
     distinct = F.array_distinct(labels)
     scored = F.transform(
@@ -34,7 +34,7 @@ def count_windows(df: DataFrame, keys: Sequence[str], ts: str, key: str, size: i
     """
     placed = with_position(df, keys, micros(F.col(ts)), F.col(key))
     window = F.floor((F.col("position") - 1) / size).alias("window_no")
-    rows = F.array_sort(F.collect_list(F.struct("position", *[F.col(c) for c in stacked])))
+    rows = F.sort_array(F.collect_list(F.struct("position", *[F.col(c) for c in stacked])))
     grouped = placed.groupBy(*keys, window).agg(
         F.count("*").alias("n"), majority(label, [F.col("position")]).alias("majority_label"), rows.alias("_rows")
     )

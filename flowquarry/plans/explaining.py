@@ -11,6 +11,7 @@ from flowquarry.operators import profiles as P
 from flowquarry.operators.cleaning import impact_value
 from flowquarry.plans.profiling import IMPORTANCE_SQL, NAMES, SCORED, importance_table, scored_flows
 from flowquarry.plans.registry import query
+from flowquarry.session import spread
 from flowquarry.sources import tables as S
 from flowquarry.sources.artifacts import FEATURE_DESCRIPTIONS
 
@@ -61,7 +62,7 @@ def attribution_rows(spark, sf_dir):
   SELECT flow_id, position, feature, contribution, CASE WHEN contribution > 0 THEN 'positive' ELSE 'negative' END AS impact,
     abs(contribution) AS impact_value FROM t WHERE position <= 3""")
 def top_features(spark, sf_dir):
-    df = S.flows(spark, sf_dir)
+    df = spread(S.flows(spark, sf_dir))
     rows = df.select("flow_id", F.posexplode(X.top_contributions(X.fit_linear(df, SCORED), 3)).alias("p", "e"))
     contribution = F.col("e.contribution")
     return rows.select(
@@ -146,14 +147,14 @@ def _attack_score(model):
 
 @query()
 def sampled_shapley(spark, sf_dir):
-    df = S.flows(spark, sf_dir)
+    df = spread(S.flows(spark, sf_dir))
     model = P.fit_prototypes(df, SCORED)
     return X.sampled_shapley(df, "flow_id", SCORED, _background(df), _attack_score(model), permutations=2)
 
 
 @query()
 def grouped_shapley(spark, sf_dir):
-    df = S.flows(spark, sf_dir)
+    df = spread(S.flows(spark, sf_dir))
     model = P.fit_prototypes(df, SCORED)
     groups = X.correlated_groups(P.correlations(df, SCORED), SCORED, threshold=0.3)
     return X.sampled_shapley(df, "flow_id", SCORED, _background(df), _attack_score(model), 2, groups)
@@ -161,7 +162,7 @@ def grouped_shapley(spark, sf_dir):
 
 @query()
 def counterfactual_random(spark, sf_dir):
-    df = S.flows(spark, sf_dir)
+    df = spread(S.flows(spark, sf_dir))
     model = P.fit_prototypes(df, SCORED)
     attacks = model.transform(df).filter("predicted <> 'Benign'")
     found = X.random_counterfactuals(attacks, "flow_id", model)

@@ -61,3 +61,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan that comes in fewer partitions than there are cores.
+
+    For heavy row-by-row work on a small or unsplittable file; a large table already has
+    more partitions than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # By hash of the columns: unlike a round-robin it needs no sort to be repeatable.
+    return df.repartition(cores, *[c for c, t in df.dtypes if not t.startswith("map")])

@@ -49,47 +49,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 FEATURES = ["Rate", "Tot size", "IAT", "Variance", "Number"]
 
-# Which class each (returnflag, linestatus) pair plays.
-_CLASS_OF = {
-    ("R", "O"): "Benign",
-    ("A", "F"): "DDoS",
-    ("A", "O"): "DoS",
-    ("N", "F"): "MQTT",
-    ("N", "O"): "Recon",
-    ("R", "F"): "Spoofing",
+# Which class and capture-name stem each returnflag + linestatus pair plays.
+_PLAYS = {
+    "RO": ("Benign", "Benign"),
+    "AF": ("DDoS", "TCP_IP-DDoS-UDP"),
+    "AO": ("DoS", "TCP_IP-DoS-TCP"),
+    "NF": ("MQTT", "MQTT-Malformed_Data"),
+    "NO": ("Recon", "Recon-OS_Scan"),
+    "RF": ("Spoofing", "ARP_Spoofing"),
 }
 
 
-def _case(pairs: list[tuple[Column, Column]]) -> Column:
-    chain = F
-    for test, value in pairs:
-        chain = chain.when(test, value)
-    return chain
-
-
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as flow records: unique flow_id, class label, capture name and features."""
     return flows_from(table(spark, sf_dir, "lineitem"))
 
 
 def flows_from(li: DataFrame) -> DataFrame:
-    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    label = _case([((flag == f) & (status == s), F.lit(c)) for (f, s), c in _CLASS_OF.items()])
-    half = F.when(F.col("l_linenumber") > 5, "test").otherwise("train")
-    capture = _case(
-        [
-            (F.col("label") == "Benign", F.concat(F.lit("Benign_"), half)),
-            (F.col("label") == "DDoS", F.concat(F.lit("TCP_IP-DDoS-UDP"), F.col("l_linenumber"), F.lit("_"), half)),
-            (F.col("label") == "DoS", F.concat(F.lit("TCP_IP-DoS-TCP_"), half)),
-            (
-                (F.col("label") == "MQTT") & (F.col("l_linenumber") < 3),
-                F.concat(F.lit("MQTT-DDoS-Connect_Flood_"), half),
-            ),
-            (F.col("label") == "MQTT", F.concat(F.lit("MQTT-Malformed_Data_"), half)),
-            (F.col("label") == "Recon", F.concat(F.lit("Recon-OS_Scan_"), half)),
-            (F.col("label") == "Spoofing", F.concat(F.lit("ARP_Spoofing_"), half)),
-        ]
-    )
+    kind, number = F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber")
+    label, stem = F, F.when((kind == "NF") & (number < 3), "MQTT-DDoS-Connect_Flood")
+    for pair, (name, prefix) in _PLAYS.items():
+        label, stem = label.when(kind == pair, name), stem.when(kind == pair, prefix)
+    port = F.when(kind == "AF", number.cast("string")).otherwise("")
+    half = F.when(number > 5, "_test.pcap.csv").otherwise("_train.pcap.csv")
     return li.select(
         F.concat_ws(
             "-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyyMMdd")
@@ -102,8 +84,9 @@ def flows_from(li: DataFrame) -> DataFrame:
         F.col("l_quantity").alias("Tot size"),
         (F.col("l_tax") + 0.0).alias("IAT"),
         (F.col("l_discount") + 0.0).alias("Variance"),
-        F.col("l_linenumber").cast("double").alias("Number"),
-    ).select("*", F.concat(capture, F.lit(".pcap.csv")).alias("capture"))
+        number.cast("double").alias("Number"),
+        F.concat(stem, port, half).alias("capture"),
+    )
 
 
 FLOWS_SQL = """flows AS (
