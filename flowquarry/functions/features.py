@@ -48,6 +48,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later filters and projections read instead of recomputing.
+
+    Spark copies a projected expression into every filter pushed below it; the output of
+    a one-row generator is not copied. It costs no shuffle and works on streams.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def interaction_features(df: DataFrame) -> DataFrame:
     """Eight derived columns; whatever is not a finite number becomes zero."""
     rate, variance, size = quoted("Rate"), quoted("Variance"), quoted("Tot size")

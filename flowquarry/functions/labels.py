@@ -40,47 +40,34 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def protocol_of(name: Column) -> Column:
-    return first_match([(name.startswith(p), v) for p, v in PROTOCOL_PREFIXES.items()], "Unknown")
+def _prefix(name: Column) -> Column:
+    """The known prefix of a capture name, empty if it has none."""
+    return F.regexp_extract(name, f"^({'|'.join(PROTOCOL_PREFIXES)})", 1)
 
 
-def _by_prefix(name: Column, values: dict[str, Column]) -> Column:
-    chain = F
-    for prefix, value in values.items():
-        chain = chain.when(name.startswith(prefix), value)
-    return chain.otherwise(F.lit("Unknown"))
+def _by_prefix(name: Column, values: dict[str, str], otherwise: Column) -> Column:
+    """A fixed value for some prefixes, ``otherwise`` for the rest. The name is looked at
+    once, which keeps the expression small when Spark copies it into a filter."""
+    known = F.create_map(*[F.lit(x) for kv in {**values, "": "Unknown"}.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, _prefix(name)), otherwise)
+
+
+def protocol_of(name: Column) -> Column:
+    return _by_prefix(name, PROTOCOL_PREFIXES, F.lit("Unknown"))
 
 
 def label_of(name: Column) -> Column:
     """Class by name prefix; hyphenated names carry it in their second part."""
     second_part = F.regexp_extract(name, r"^[^-]+-([^-]+)-", 1)
-    return _by_prefix(
-        name,
-        {
-            "MQTT-": second_part,
-            "TCP_IP-": second_part,
-            "Recon-": F.lit("Recon"),
-            "ARP_": F.lit("Spoofing"),
-            "Benign": F.lit("Benign"),
-        },
-    )
+    return _by_prefix(name, {"Recon-": "Recon", "ARP_": "Spoofing", "Benign": "Benign"}, second_part)
 
 
 def subtype_of(name: Column, legacy: bool = True) -> Column:
     """Attack variant. ``legacy`` stops at the first underscore ("Connect" for
     Connect_Flood); otherwise everything before _train/_test is kept."""
     tail = r"([^_]+)_" if legacy else r"(.+)_(?:train|test)"
-    third_part = F.regexp_extract(name, rf"^[^-]+-[^-]+-{tail}", 1)
-    return _by_prefix(
-        name,
-        {
-            "MQTT-": third_part,
-            "TCP_IP-": third_part,
-            "Recon-": F.regexp_extract(name, rf"^Recon-{tail}", 1),
-            "ARP_": F.lit("ARP_Spoofing"),
-            "Benign": F.lit("Benign"),
-        },
-    )
+    last_part = F.regexp_extract(name, rf"^(?:Recon|[^-]+-[^-]+)-{tail}", 1)
+    return _by_prefix(name, {"ARP_": "ARP_Spoofing", "Benign": "Benign"}, last_part)
 
 
 def keyword_class(name: Column) -> Column:

@@ -4,6 +4,7 @@ but (features x classes) parameters."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -11,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.functions.features import quoted, title_of
+from flowquarry.functions.features import computed_once, quoted, title_of
 from flowquarry.functions.hashing import fast_unit
 from flowquarry.operators.profiles import PrototypeModel, Scaler
 
@@ -185,53 +186,41 @@ def sampled_shapley(
     score: Callable[[DataFrame], DataFrame],
     permutations: int = 4,
     groups: Sequence[Sequence[str]] | None = None,
+    seed: int = 42,
 ) -> DataFrame:
     """(key, part, phi) by permutation sampling; the parts of a row add up to
     score(row) - score(background).
 
     ``score`` adds a ``score`` column to rows of features. Each row is expanded to its
-    coalitions in the same task, so the sum per (key, part) combines before the shuffle.
+    coalitions in the same task, so the sums per key combine before the shuffle. The
+    sampled permutations are shared by all rows.
     """
     parts = [list(g) for g in (groups or [[f] for f in features])]
-    names = ["+".join(g) for g in parts]
     n = len(parts)
-    # The order of parts in one permutation is the order of their hashes.
-    expanded = df.select(key, *[quoted(f) for f in features]).withColumn(
-        "_perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    )
-    places = F.sort_array(
-        F.array(*[
-            F.struct(F.xxhash64(key, "_perm", F.lit(i)).alias("h"), F.lit(i).alias("i"))
-            for i in range(n)
-        ])
-    )
-    expanded = expanded.withColumn("_order", F.transform(places, lambda s: s["i"]))
-    expanded = expanded.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    member_of = {f: i for i, g in enumerate(parts) for f in g}
-    present = F.slice("_order", 1, F.col("_step"))
+    rng = random.Random(seed)
+    # place[i][p]: the step at which permutation p adds part i, counted from one.
+    orders = [rng.sample(range(n), n) for _ in range(permutations)]
+    place = [[order.index(i) + 1 for order in orders] for i in range(n)]
+    case = F.explode(F.sequence(F.lit(0), F.lit(permutations * (n + 1) - 1)))
+    expanded = df.select(key, *[quoted(f) for f in features]).withColumn("_case", case)
+    expanded = expanded.withColumns({"_perm": F.expr(f"_case div {n + 1}").cast("int") + 1, "_step": F.col("_case") % (n + 1)})
+    added = [F.element_at(F.array(*[F.lit(p) for p in place[i]]), F.col("_perm")) for i in range(n)]
     mixed = expanded.withColumns(
         {
-            f: F.when(F.array_contains(present, member_of[f]), quoted(f)).otherwise(F.lit(background[f]))
-            for f in features
+            f: F.when(added[i] <= F.col("_step"), quoted(f)).otherwise(F.lit(background[f]))
+            for i, g in enumerate(parts)
+            for f in g
         }
     )
-    scored = score(mixed)
-    # Step s adds part order[s-1]: its score counts +1 there and -1 for the next part.
-    gained = F.when(F.col("_step") > 0, F.try_element_at("_order", F.col("_step")))
-    lost = F.when(F.col("_step") < n, F.try_element_at("_order", F.col("_step") + 1))
-    effects = F.filter(
-        F.array(
-            F.struct(gained.alias("i"), F.col("score").alias("v")), F.struct(lost.alias("i"), (-F.col("score")).alias("v"))
-        ),
-        lambda e: e["i"].isNotNull(),
-    )
-    label = F.array(*[F.lit(x) for x in names])
-    return (
-        scored.select(key, F.explode(effects).alias("e"))
-        .groupBy(key, F.col("e.i").alias("_i"))
-        .agg((F.sum("e.v") / F.lit(float(permutations))).alias("phi"))
-        .select(key, F.element_at(label, F.col("_i") + 1).alias("part"), "phi")
-    )
+    # A part's effect is the score just after it joins less the score just before.
+    value = F.col("score") / F.lit(float(permutations))
+    effects = [
+        F.sum(F.when(F.col("_step") == a, value).when(F.col("_step") == a - 1, -value).otherwise(F.lit(0.0))).alias(f"_phi{i}")
+        for i, a in enumerate(added)
+    ]
+    wide = score(mixed).groupBy(key).agg(*effects)
+    rows = F.array(*[F.struct(F.lit("+".join(g)).alias("part"), F.col(f"_phi{i}").alias("phi")) for i, g in enumerate(parts)])
+    return wide.select(key, F.explode(rows).alias("r")).select(key, "r.part", "r.phi")
 
 
 def correlated_groups(correlations: DataFrame, features: Sequence[str], threshold: float = 0.5) -> list[list[str]]:
@@ -304,37 +293,32 @@ def random_counterfactuals(
     df: DataFrame, key: str, model: PrototypeModel, tries: int = 8, wanted: str = "Benign"
 ) -> DataFrame:
     """For rows not predicted ``wanted``: the nearest of ``tries`` hash-perturbed copies
-    that is. All tries are made within the row, so there is no shuffle.
+    that is. Tries combine to one small row per key before the shuffle.
 
     Adds ``counterfactual``: {distance, try, features...}, null where every try failed.
     """
     features = model.scaler.features
     stds = [s or 1.0 for s in model.scaler.stds]
-    scaled = [(quoted(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, model.scaler.means, stds)]
     target = model.classes.index(wanted)
-    df = df.withColumns({f"_x{i}": c for i, c in enumerate(scaled)})
-
-    def squared(parts: list[Column]) -> Column:
-        return sum([p * p for p in parts[1:]], parts[0] * parts[0])
-
-    def attempt(move: Column, number: Column) -> Column:
-        gaps = [
-            squared([F.col(f"_x{i}") + move[i] - F.lit(c) for i, c in enumerate(centre)]) for centre in model.centres
-        ]
-        rest = F.least(*[g for k, g in enumerate(gaps) if k != target])
-        return F.struct(
-            (gaps[target] < rest).alias("hit"), F.sqrt(squared([move[i] for i in range(len(features))])).alias("distance"),
-            number.alias("try"), move.alias("move"),
-        )
 
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(tries - 1)),
-        lambda t: F.array(*[fast_unit(F.col(key), t, F.lit(i)) * 4.0 - 2.0 for i in range(len(features))]),
-    )
-    best = F.array_min(F.filter(F.transform(draws, attempt), lambda a: a["hit"]))
-    found = df.withColumn("_best", best)
-    moved = [(quoted(f) + F.col("_best.move")[i] * F.lit(s)).alias(f) for i, (f, s) in enumerate(zip(features, stds))]
-    record = F.struct(F.col("_best.distance").alias("distance"), F.col("_best.try").alias("try"), *moved)
-    return found.withColumn("counterfactual", F.when(F.col("_best").isNotNull(), record)).drop(
-        "_best", *[f"_x{i}" for i in range(len(features))]
-    )
+    def move(i: int, attempt: Column) -> Column:
+        return fast_unit(F.col(key), attempt, F.lit(i)) * 4.0 - 2.0
+
+    scaled = [(quoted(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, model.scaler.means, stds)]
+    start = df.select(key, *[x.alias(f"_x{i}") for i, x in enumerate(scaled)])
+    tried = start.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    tried = computed_once(tried, {f"_m{i}": move(i, F.col("_try")) for i in range(len(features))})
+    gaps = []
+    for centre in model.centres:
+        steps = [F.col(f"_x{i}") + F.col(f"_m{i}") - F.lit(c) for i, c in enumerate(centre)]
+        gaps.append(sum([s * s for s in steps[1:]], steps[0] * steps[0]))
+    moves = [F.col(f"_m{i}") for i in range(len(features))]
+    hit = gaps[target] < F.least(*[g for k, g in enumerate(gaps) if k != target])
+    tried = tried.filter(hit).select(key, "_try", F.sqrt(sum([m * m for m in moves[1:]], moves[0] * moves[0])).alias("_far"))
+    # Only the number and distance of each row's best try are kept; the try itself is
+    # drawn again from them.
+    best = tried.groupBy(key).agg(F.min_by("_try", "_far").alias("_try"), F.min("_far").alias("_far"))
+    moved = [(quoted(f) + move(i, F.col("_try")) * F.lit(s)).alias(f) for i, (f, s) in enumerate(zip(features, stds))]
+    record = F.struct(F.col("_far").alias("distance"), F.col("_try").alias("try"), *moved)
+    found = df.join(best, key, "left")
+    return found.withColumn("counterfactual", F.when(F.col("_far").isNotNull(), record)).drop("_try", "_far")

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 GRID = 256
 ACCURACY = 10_000
 MAX_GROUPS = 10_000
+_POINTS = [i / GRID for i in range(GRID + 1)]
 # Rows left in a bracket before they are counted value by value and summed in order.
-SMALL = 1_000_000
+SMALL = 50_000
 
 
 @dataclass
@@ -74,10 +75,12 @@ def order_statistics(
     clean = {
         n: (F.when(~F.isnan(c), c) if types[n] in ("double", "float") else c) for n, c in series.items()
     }
+    # One pass for counts, extremes and a first sketch of every series in every group.
     first = _grouped(
         df,
         by,
-        [F.count(c).alias(f"n_{n}") for n, c in clean.items()]
+        [F.percentile_approx(c, _POINTS, ACCURACY).alias(f"p_{n}") for n, c in clean.items()]
+        + [F.count(c).alias(f"n_{n}") for n, c in clean.items()]
         + [F.min(c).alias(f"lo_{n}") for n, c in clean.items()]
         + [F.max(c).alias(f"hi_{n}") for n, c in clean.items()],
     )
@@ -91,9 +94,11 @@ def order_statistics(
             ]
     _settle(state)
 
+    sketch: dict | None = first
     while any(b and b.open and b.inside > small for bs in state.values() for b in bs):
-        _narrow(df, by, clean, types, state)
+        _narrow(df, by, clean, types, state, sketch)
         _settle(state)
+        sketch = None
     _finish(df, by, clean, types, state)
     return {
         key: [None if b is None else (b.value, b.below, b.inside, b.rank) for b in brackets]
@@ -118,24 +123,30 @@ def _settle(state) -> None:
                 b.value = b.lo
 
 
-def _narrow(df, by, clean, types, state) -> None:
-    grid = [i / GRID for i in range(GRID + 1)]
-    slots = {
-        key: {g: b for g, b in groups.items() if b.open} for key, groups in _slots(state).items()
-    }
-    slots = {k: v for k, v in slots.items() if v}
-    aggs = []
-    for (n, j), groups in slots.items():
-        lo = _per_group(by, {g: b.lo for g, b in groups.items()}, types[n])
-        hi = _per_group(by, {g: b.hi for g, b in groups.items()}, types[n])
-        inside = (clean[n] >= lo) & (clean[n] <= hi)
-        aggs.append(F.percentile_approx(F.when(inside, clean[n]), grid, ACCURACY).alias(f"p_{n}_{j}"))
-    sketched = _grouped(df, by, aggs)
+def _open_slots(state) -> dict[tuple[str, int], dict]:
+    slots = {key: {g: b for g, b in groups.items() if b.open} for key, groups in _slots(state).items()}
+    return {key: groups for key, groups in slots.items() if groups}
+
+
+def _narrow(df, by, clean, types, state, whole) -> None:
+    """Shrink every open bracket; ``whole`` is the sketch over all rows, while it applies."""
+    slots = _open_slots(state)
+    if whole is not None:
+        points_of = lambda g, n, j: whole[g][f"p_{n}"]
+    else:
+        aggs = []
+        for (n, j), groups in slots.items():
+            lo = _per_group(by, {g: b.lo for g, b in groups.items()}, types[n])
+            hi = _per_group(by, {g: b.hi for g, b in groups.items()}, types[n])
+            inside = (clean[n] >= lo) & (clean[n] <= hi)
+            aggs.append(F.percentile_approx(F.when(inside, clean[n]), _POINTS, ACCURACY).alias(f"p_{n}_{j}"))
+        sketched = _grouped(df, by, aggs)
+        points_of = lambda g, n, j: sketched[g][f"p_{n}_{j}"]
 
     guesses: dict[tuple[str, int], dict] = {}
     for (n, j), groups in slots.items():
         for g, b in groups.items():
-            points = sketched[g][f"p_{n}_{j}"]
+            points = points_of(g, n, j)
             wanted = (b.rank - b.below) / b.inside
             left = max(0, math.floor((wanted - 2 / ACCURACY) * GRID) - 1)
             right = min(GRID, math.ceil((wanted + 2 / ACCURACY) * GRID) + 1)
@@ -163,10 +174,7 @@ def _narrow(df, by, clean, types, state) -> None:
 
 def _finish(df, by, clean, types, state) -> None:
     """Pick the wanted value among the few rows left in each bracket."""
-    slots = {
-        key: {g: b for g, b in groups.items() if b.open} for key, groups in _slots(state).items()
-    }
-    slots = {k: v for k, v in slots.items() if v}
+    slots = _open_slots(state)
     if not slots:
         return
     # One distributed value count per (group, slot) over the rows left, then a running sum.

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.functions.features import quoted
+from flowquarry.functions.features import computed_once, quoted
 from flowquarry.operators.order_statistics import quantile_table
 
 
@@ -102,29 +102,27 @@ class PrototypeModel:
         """Adds ``distances`` and ``probabilities`` (class order), ``predicted``,
         ``confidence`` and ``distance`` of the winner."""
         names = [f"_d{i}" for i in range(len(self.classes))]
-        df = df.withColumns(dict(zip(names, self.distances())))
+        df = computed_once(df, dict(zip(names, self.distances())))
         weights = [F.exp(-F.col(n)) for n in names]
         total = sum(weights[1:], weights[0])
         df = df.withColumn("_w", total)
-        best = F.least(
-            *[F.struct(F.round(F.col(n), 9).alias("d"), F.lit(c).alias("c")) for n, c in zip(names, self.classes)]
-        )
+        classes = F.array(*[F.lit(c) for c in self.classes])
+        winner = F.array_position("distances", F.array_min("distances")).cast("int")
         return (
             df.withColumns(
                 {
                     "distances": F.array(*[F.col(n) for n in names]),
                     "probabilities": F.array(*[F.exp(-F.col(n)) / F.col("_w") for n in names]),
-                    "_best": best,
                 }
             )
             .withColumns(
                 {
-                    "predicted": F.col("_best.c"),
+                    "predicted": F.element_at(classes, winner),
                     "distance": F.array_min("distances"),
                     "confidence": F.array_max("probabilities"),
                 }
             )
-            .drop(*names, "_w", "_best")
+            .drop(*names, "_w")
         )
 
 
