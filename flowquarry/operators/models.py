@@ -36,8 +36,8 @@ def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str] = (), sc
             parts[-1] = "_scaled"
     for c in categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep", stringOrderType="alphabetAsc"))
-        # "keep" adds the unknown index last, and dropLast turns it into zeros.
-        stages.append(OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=True, handleInvalid="keep"))
+        # The indexer's "keep" puts the unknown index last, and dropLast turns it into zeros.
+        stages.append(OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_h_{c}", dropLast=True))
         parts.append(f"_h_{c}")
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return Pipeline(stages=stages)
