@@ -113,6 +113,13 @@ def test_encoders(spark):
     assert {r["c"] for r in E.unseen(train, test.filter("c is not null"), ["c"]).collect()} == {"zz"}
 
 
+def test_code_table_of_many_values(spark):
+    # One shared prefix and many more values than sampled edges.
+    df = spark.range(5_000).select(F.format_string("Supplier#%05d", (F.col("id") * 7919) % 5_000).alias("c"))
+    rows = E.code_table(df, "c").collect()
+    assert sorted((r["value"], r["code"]) for r in rows) == [(f"Supplier#{i:05d}", i) for i in range(5_000)]
+
+
 def test_report_edges(spark):
     df = spark.createDataFrame([("A", "A"), ("A", "B"), ("C", "B")], "truth string, predicted string")
     report = {r["label"]: r for r in V.classification_report(df).collect()}
