@@ -9,7 +9,7 @@ from flowquarry.functions.numeric import round6
 from flowquarry.operators import explain as X
 from flowquarry.operators import profiles as P
 from flowquarry.operators.cleaning import impact_value
-from flowquarry.plans.profiling import IMPORTANCE_SQL, NAMES, SCORED, importance_table, scored_flows
+from flowquarry.plans.profiling import IMPORTANCE_SQL, NAMES, SCORED, importance_table
 from flowquarry.plans.registry import query
 from flowquarry.session import spread
 from flowquarry.sources import tables as S

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowquarry.functions.labels import status_is_attack
 from flowquarry.operators import alerts as A
 from flowquarry.operators import relational as R
 from flowquarry.operators.cooldown import cooldown
