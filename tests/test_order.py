@@ -31,8 +31,8 @@ def test_order_statistics_narrow_to_the_exact_value(skewed):
     found = order_statistics(df, {"x": F.col("x"), "t": F.col("t")}, lambda g, n, total: ranks, small=50)
     for name in ("x", "t"):
         ordered = np.sort(pdf[name].to_numpy())
-        for rank, (value, below, equal) in zip(ranks, found[None, name]):
-            assert value == ordered[rank - 1]
+        for rank, (value, below, equal, asked) in zip(ranks, found[None, name]):
+            assert value == ordered[rank - 1] and asked == rank
             assert below == (ordered < value).sum() and equal == (ordered == value).sum()
 
 
