@@ -45,7 +45,7 @@ GRAM = 24
 HOT = 20_000
 #: Bytes of text in a document shard, of stretches in a suffix array; anchors merged in a task.
 SHARD_BYTES = 12 << 20
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 18
 MERGED_KEYS = 2_000_000
 #: Positions looked at together when anchors are sought; at most 2**24.
 PIECE = 1 << 18
@@ -118,8 +118,34 @@ class Anchored:
         self.key = key ^ (key >> np.uint64(33))
         self.doc = np.searchsorted(self.starts, self.low, side="right") - 1
 
-    def stretch(self, i: int) -> bytes:
-        return self.data[self.low[i] : self.stop[i]].tobytes()
+    def stretches(self, rows: np.ndarray) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.low[rows].tolist(), self.stop[rows].tolist())]
+
+    def alike(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of each stretch, row that first has it), equal stretches numbered alike.
+
+        A stretch has at most 2 * LENGTH - GRAM bytes; its first 48 and last 32 cover it. They
+        are sorted by a hash and then compared in full.
+        """
+        words = words_at(self.data)
+        low, stop = self.low[rows], self.stop[rows]
+        parts = [words[low + k] for k in range(0, 48, 8)] + [words[stop - k] for k in range(8, 40, 8)] + [(stop - low).astype(np.uint64)]
+        h = np.zeros(len(rows), np.uint64)
+        for k, part in enumerate(parts):
+            h = (h ^ part) * ODD[k % 5]
+            h ^= h >> np.uint64(32)
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(rows), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        if any((part[order] != part[first]).any() for part in parts):  # two texts of one hash
+            known: dict[bytes, int] = {}
+            number = np.array([known.setdefault(t, len(known)) for t in self.stretches(rows)], np.int64)
+            return number, rows[np.unique(number, return_index=True)[1]]
+        number = np.empty(len(rows), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return number, rows[order[new]]
 
 
 def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -132,37 +158,40 @@ def suffix_array(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     Symbols are bytes plus one; each stretch ends with a sentinel 0, which sorts below all
     bytes and by the number of its stretch, so that no two suffixes are equal.
     """
-    sizes = np.array([len(s) + 1 for s in stretches], np.int64)
+    sizes = np.array([len(s) + 1 for s in stretches], np.int32)
     data = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8)
-    end = np.repeat(np.cumsum(sizes) - 1, sizes)
-    at = np.arange(len(data))
-    symbols = data.astype(np.int64) + 1
+    end = np.repeat(np.cumsum(sizes, dtype=np.int32) - 1, sizes)
+    at = np.arange(len(data), dtype=np.int32)
+    symbols = data.astype(np.int16)
+    symbols += 1
     sentinel = at == end
     symbols[sentinel] = 0
     depth = 7
     word = np.zeros(len(data), np.int64)
     for t in range(depth):  # nine bits a symbol
-        word = (word << 9) | symbols[np.minimum(at + t, end)]
+        word <<= 9
+        word |= symbols[np.minimum(at + t, end)]
     word[sentinel] = np.arange(len(stretches))
-    order = np.argsort(word)
+    order = np.argsort(word).astype(np.int32)
     ordered = word[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    rank = np.empty(len(data), np.int64)
+    new = np.ones(len(data), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(data), np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-    while True:
-        alone = new & np.r_[new[1:], True]
-        left = np.flatnonzero(~alone)  # groups not yet told apart
-        if not len(left):
-            return order, symbols, end
+    left = np.flatnonzero(~(new & np.r_[new[1:], True])).astype(np.int32)  # groups not yet told apart
+    while len(left):
         p = order[left]
         group, beyond = rank[p], rank[np.minimum(p + depth, end[p])]
-        turn = np.lexsort((beyond, group)) if len(data) > 2**31 else np.argsort(group * len(data) + beyond, kind="stable")
-        p, group, beyond = p[turn], group[turn], beyond[turn]
+        word = group.astype(np.int64) << 32 | beyond
+        turn = np.argsort(word)
+        p, word = p[turn], word[turn]
         order[left] = p
-        starts = np.r_[True, (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])]
-        new[left] = starts
-        rank[p] = left[np.maximum.accumulate(np.where(starts, np.arange(len(left)), 0))]
+        starts = np.ones(len(left), bool)
+        starts[1:] = word[1:] != word[:-1]
+        rank[p] = left[np.maximum.accumulate(np.where(starts, np.arange(len(left), dtype=np.int32), 0))]
+        left = left[~(starts & np.r_[starts[1:], True])]
         depth *= 2
+    return order, symbols, end
 
 
 def common_prefixes(order: np.ndarray, symbols: np.ndarray, end: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -171,28 +200,31 @@ def common_prefixes(order: np.ndarray, symbols: np.ndarray, end: np.ndarray, sta
     Going one place on in the text loses at most one letter of the prefix. All stretches are
     gone through at once, a place at a time.
     """
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    lcp = np.zeros(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    before = np.empty(len(order), np.int32)  # of each position, the one before it in order
+    before[order[1:]] = order[:-1]
+    before[order[0]] = len(order) - 1  # a sentinel: nothing in common
+    lcp = np.zeros(len(order), np.int32)
     size = end[starts] - starts
     lane = np.flatnonzero(size > 0)
-    held = np.zeros(len(starts), np.int64)
+    held = np.zeros(len(lane), np.int32)
+    place, size = starts[lane].astype(np.int32), size[lane]
     t = 0
-    while len(lane):
-        i = starts[lane] + t
-        r = rank[i]
-        j = order[np.maximum(r - 1, 0)]
-        h = np.maximum(held[lane] - 1, 0)
-        h[r == 0] = 0
-        go = np.flatnonzero(r > 0)
+    while len(place):
+        i = place + t
+        j = before[i]
+        h = np.maximum(held - 1, 0)
+        x, y, go = i + h, j + h, np.arange(len(i))
         while len(go):
-            a = symbols[i[go] + h[go]]
-            go = go[(a != 0) & (a == symbols[j[go] + h[go]])]
+            a = symbols[x]
+            more = (a != 0) & (a == symbols[y])
+            x, y, go = x[more] + 1, y[more] + 1, go[more]
             h[go] += 1
-        lcp[r] = h
-        held[lane] = h
+        lcp[rank[i]] = h
         t += 1
-        lane = lane[size[lane] > t]
+        stay = size > t
+        held, place, size = h[stay], place[stay], size[stay]
     return lcp
 
 
@@ -255,12 +287,6 @@ def resolve(keys: np.ndarray, stretches: list[bytes], docs: np.ndarray) -> tuple
     return least, owner
 
 
-def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true."""
-    edge = np.diff(np.r_[0, flags.astype(np.int8), 0])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def shard_rows(part: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
     """Ids, ids as numbers with null last, and texts, in an order that reruns repeat."""
     ids, texts = part["id"].to_pylist(), part["text"].to_pylist()
@@ -272,7 +298,7 @@ def shard_rows(part: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
 KEYS = "range int, shard int, keys binary, at binary, n binary"
 REPLY = "shard int, range int, repeated binary, hot binary"
 STRETCHES = "bucket int, key long, shard int, stretch int, shift int, doc long, text binary"
-FOUND = "shard int, stretch int, shift int, size int, least binary"
+FOUND = "shard int, head binary, bits binary"
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KEPT = "id long, kept binary, spans array<struct<start:long,end:long>>"
 
@@ -281,12 +307,14 @@ def send_keys(key: tuple, part: pa.Table, ranges: int) -> pa.Table:
     """The sorted distinct anchors of a shard by range, with their numbers of documents."""
     _, docs, texts = shard_rows(part)
     found = Anchored(texts)
-    order = np.lexsort((docs[found.doc], found.key))
+    order = np.argsort(found.key, kind="stable")  # anchors come by document already
     keys, owner = found.key[order], docs[found.doc][order]
-    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    fresh = first | np.r_[True, owner[1:] != owner[:-1]] if len(keys) else first
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    fresh = first.copy()
+    fresh[1:] |= owner[1:] != owner[:-1]
     distinct = keys[first]
-    count = np.bincount(np.cumsum(first) - 1, fresh, len(distinct)).astype(np.uint32) if len(keys) else np.zeros(0, np.uint32)
+    count = np.bincount(np.cumsum(first) - 1, fresh, len(distinct)).astype(np.uint32)
     rows = []
     cuts = np.searchsorted(range_of(distinct, ranges), np.arange(ranges + 1))
     for r in range(ranges):
@@ -306,7 +334,8 @@ def merge_keys(part: pa.Table, hot: int) -> pa.Table:
         count = np.ones(len(keys), np.int64)
         count[np.frombuffer(at, np.uint32)] = np.frombuffer(n, np.uint32)
         counts.append(count)
-    merged = np.unique(np.concatenate(lists))
+    merged = np.sort(np.concatenate(lists))
+    merged = merged[np.r_[True, merged[1:] != merged[:-1]]]
     total = np.zeros(len(merged), np.int64)
     places = [np.searchsorted(merged, keys) for keys in lists]
     for place, count in zip(places, counts):
@@ -335,16 +364,11 @@ class Contested:
             repeated[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
             hot[a + np.frombuffer(very, np.uint32).astype(np.int64)] = True
         self.rows = np.flatnonzero(repeated[place]) if len(distinct) else np.zeros(0, int)
-        known: dict[bytes, int] = {}
-        self.number = np.array([known.setdefault(found.stretch(i), len(known)) for i in self.rows], np.int64)
-        self.stretches = list(known)
-        self.least = np.full(len(known), LAST)
+        self.number, self.firsts = found.alike(self.rows)
+        self.least = np.full(len(self.firsts), LAST)
         np.minimum.at(self.least, self.number, self.docs[found.doc[self.rows]])
-        self.key = np.zeros(len(known), np.uint64)
-        self.hot = np.zeros(len(known), bool)
-        self.key[self.number] = found.key[self.rows]
-        if len(self.rows):
-            self.hot[self.number] = hot[place[self.rows]]
+        self.key = found.key[self.firsts]
+        self.hot = hot[place[self.firsts]] if len(distinct) else np.zeros(0, bool)
 
 
 def send_stretches(key: tuple, part: pa.Table, reply: pa.Table, ranges: int, buckets: int) -> pa.Table:
@@ -352,67 +376,99 @@ def send_stretches(key: tuple, part: pa.Table, reply: pa.Table, ranges: int, buc
     if not part.num_rows or not reply.num_rows:
         return schema.empty_table()
     mine = Contested(part, reply, ranges)
-    n = len(mine.stretches)
-    whole = np.flatnonzero(~mine.hot)
+    whole, split = np.flatnonzero(~mine.hot), np.flatnonzero(mine.hot)
     keys, numbers, shifts = [mine.key[whole]], [whole], [np.zeros(len(whole), np.int64)]
-    texts = [mine.stretches[i] for i in whole]
-    for i in np.flatnonzero(mine.hot):
-        s = mine.stretches[i]
+    texts = mine.anchored.stretches(mine.firsts[whole])
+    for i, s in zip(split, mine.anchored.stretches(mine.firsts[split])):
         strings = [s[k : k + LENGTH] for k in range(len(s) - LENGTH + 1)]
-        own = [np.frombuffer(hashlib.blake2b(t, digest_size=8).digest(), np.uint64)[0] for t in strings]
-        keys.append(np.array(own, np.uint64))
+        keys.append(np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in strings]), np.uint64))
         numbers.append(np.full(len(strings), i))
         shifts.append(np.arange(len(strings)))
         texts += strings
     keys, numbers, shifts = np.concatenate(keys), np.concatenate(numbers).astype(np.int64), np.concatenate(shifts)
-    del n
     columns = [range_of(keys, buckets), keys.view(np.int64), np.full(len(keys), key[0].as_py()), numbers, shifts, mine.least[numbers]]
     return pa.Table.from_arrays([*[pa.array(c).cast(f.type) for c, f in zip(columns, schema)], pa.array(texts, pa.binary())], schema=schema)
 
 
+def many_ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges from ``starts``, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def find_classes(part: pa.Table) -> pa.Table:
-    """For the least document of each stretch in each shard: its strings found earlier."""
-    keys = part["key"].to_numpy().view(np.uint64)
-    docs, texts = part["doc"].to_numpy(), part["text"].to_pylist()
-    order = sorted(range(len(texts)), key=lambda i: (keys[i], texts[i], docs[i]))
-    firsts = [i for n, i in enumerate(order) if not n or texts[i] != texts[order[n - 1]]]
-    stands: dict[bytes, int] = {texts[i]: n for n, i in enumerate(firsts)}
-    least, owner = resolve(keys[firsts], [texts[i] for i in firsts], docs[firsts])
-    cuts = np.searchsorted(owner, np.arange(len(firsts) + 1))
+    """For the least document of each stretch in each shard: its strings found earlier.
+
+    One row per shard: numbers of stretches, shifts and sizes, and the strings' bits in turn.
+    """
+    texts, docs = part["text"].to_pylist(), part["doc"].to_numpy()
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(t, len(known)) for t in texts], np.int64)
+    distinct = list(known)
+    stands, key = np.full(len(known), LAST), np.empty(len(known), np.uint64)
+    np.minimum.at(stands, number, docs)
+    key[number] = part["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key, kind="stable")
+    least, _ = resolve(key[order], [distinct[i] for i in order.tolist()], stands[order])
+    sizes = np.array([len(t) for t in distinct], np.int64) - LENGTH + 1
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    starts = np.cumsum(sizes[order]) - sizes[order]
     rows = []
     shard, stretch, shift = (part[c].to_numpy() for c in ("shard", "stretch", "shift"))
-    for i in range(len(texts)):
-        n = stands[texts[i]]
-        earlier = least[cuts[n] : cuts[n + 1]] < docs[i]
-        if earlier.any():
-            rows.append((int(shard[i]), int(stretch[i]), int(shift[i]), len(earlier), np.packbits(earlier).tobytes()))
+    by_shard = np.argsort(shard, kind="stable")
+    for mine in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1):
+        size = sizes[number[mine]]
+        earlier = least[many_ranges(starts[place[number[mine]]], size)] < np.repeat(docs[mine], size)
+        some = np.logical_or.reduceat(earlier, np.cumsum(size) - size)
+        if some.any():
+            sent = mine[some]
+            columns = [np.stack([stretch[sent], shift[sent], size[some]]).astype(np.uint32), np.packbits(earlier[np.repeat(some, size)])]
+            rows.append((int(shard[mine[0]]), *[c.tobytes() for c in columns]))
     schema = arrow_schema_of(FOUND)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 3, schema)], schema=schema)
 
 
 def removed_runs(part: pa.Table, reply: pa.Table, found: pa.Table, ranges: int):
     """(id, text, starts and ends of removed runs) of every document of a shard."""
     mine = Contested(part, reply, ranges)
     starts = mine.anchored.starts
-    flags = np.zeros(int(starts[-1]) + 1, bool)  # strings that start here are found earlier
-    marks: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for stretch, shift, size, bits in zip(*(found[c].to_pylist() for c in ("stretch", "shift", "size", "least"))):
-        marks.setdefault(stretch, []).append((shift, np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)))
-    docs = mine.docs[mine.anchored.doc[mine.rows]]
-    for row, number, doc in zip(mine.rows.tolist(), mine.number.tolist(), docs.tolist()):
-        low, stop = int(mine.anchored.low[row]), int(mine.anchored.stop[row])
-        if doc > mine.least[number]:
-            flags[low : stop - LENGTH + 1] = True
-        elif number in marks:
-            for shift, bits in marks[number]:
-                flags[low + shift : low + shift + len(bits)] |= bits
-    cover = np.zeros(len(flags) + LENGTH, np.int32)
-    at = np.flatnonzero(flags)
-    cover[at] += 1
-    np.subtract.at(cover, at + LENGTH, 1)
-    covered = np.cumsum(cover)[: int(starts[-1])] > 0
+    total = int(starts[-1])
+    low, stop = mine.anchored.low[mine.rows], mine.anchored.stop[mine.rows]
+    later = mine.docs[mine.anchored.doc[mine.rows]] > mine.least[mine.number]
+    # Whole stretches, in a smaller document of this shard: all their bytes.
+    cover = np.zeros(total + 1, np.int32)
+    cover += np.bincount(low[later], minlength=total + 1).astype(np.int32)
+    cover -= np.bincount(stop[later], minlength=total + 1).astype(np.int32)
+    # The others' strings, as told by the classes; a split stretch is told string by string.
+    rest = np.flatnonzero(~later)
+    by_number = rest[np.argsort(mine.number[rest], kind="stable")]
+    numbers = mine.number[by_number]
+    strings = [np.zeros(0, np.int64)]
+    for head, bits in zip(found["head"].to_pylist(), found["bits"].to_pylist()):
+        stretch, shift, size = np.frombuffer(head, np.uint32).reshape(3, -1).astype(np.int64)
+        flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(size.sum())).astype(bool)
+        a, b = np.searchsorted(numbers, stretch, side="left"), np.searchsorted(numbers, stretch, side="right")
+        answer = np.repeat(np.arange(len(stretch)), b - a)
+        begin = low[by_number[many_ranges(a, b - a)]] + shift[answer]
+        strings.append(many_ranges(begin, size[answer])[flags[many_ranges((np.cumsum(size) - size)[answer], size[answer])]])
+    string = np.concatenate(strings)
+    cover += np.bincount(string, minlength=total + 1).astype(np.int32)
+    cover -= np.bincount(string + LENGTH, minlength=total + 1).astype(np.int32)
+    gone = np.cumsum(cover)[:total] > 0
+    edge = np.flatnonzero(np.diff(gone, prepend=False, append=False) if total else gone)
+    # Runs must not go on into the next document.
     for d, (i, text) in enumerate(zip(mine.ids, mine.texts)):
-        yield i, text, *runs_of(covered[starts[d] : starts[d + 1]])
+        x, y = starts[d], starts[d + 1]
+        p, q = np.searchsorted(edge, [x, y], side="right")
+        own = edge[p:q]
+        if x < y and gone[x]:
+            own = np.r_[x, own]
+        if len(own) and own[-1] == y:
+            own = own[:-1]
+        if len(own) % 2:
+            own = np.r_[own, y]
+        yield i, text, own[::2] - x, own[1::2] - x
 
 
 def kept_bytes(text: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -463,8 +519,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = RESULT if digests else KEPT
     out = arrow_schema(schema)
     # Replies of both kinds in one table, so that documents are joined with them once.
-    none = F.lit(None)
-    both = replies.select("shard", "range", "repeated", "hot", *[none.cast(t).alias(c) for c, t in (("stretch", "int"), ("shift", "int"), ("size", "int"), ("least", "binary"))])
+    both = replies.select("shard", "range", "repeated", "hot", *[F.lit(None).cast("binary").alias(c) for c in ("head", "bits")])
     both = both.unionByName(found, allowMissingColumns=True)
 
     def finish(key, part: pa.Table, answers: pa.Table) -> pa.Table:
