@@ -34,11 +34,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowquarry.llm.common import arrow_schema, settled, table
+from flowquarry.llm.common import arrow_schema, table
 
 LENGTH = 50
 GRAM = 24
@@ -50,6 +49,8 @@ MERGED_KEYS = 2_000_000
 #: Positions looked at together when anchors are sought; at most 2**24.
 PIECE = 1 << 18
 LAST = np.iinfo(np.int64).max
+#: Anchors are told apart by 48 bits; two that share them are compared in vain, no more.
+KEY_BITS, HEADS = np.uint64((1 << 48) - 1), 1 << 16
 ODD = [np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -115,7 +116,7 @@ class Anchored:
         self.stop = np.concatenate(stops) if stops else np.zeros(0, np.int64)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         key = (key ^ (key >> np.uint64(31))) * ODD[4]  # least hashes are not even; these are
-        self.key = key ^ (key >> np.uint64(33))
+        self.key = (key ^ (key >> np.uint64(33))) & KEY_BITS
         self.doc = np.searchsorted(self.starts, self.low, side="right") - 1
 
     def stretches(self, rows: np.ndarray) -> list[bytes]:
@@ -148,8 +149,14 @@ class Anchored:
         return number, rows[order[new]]
 
 
-def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Even parts by the key's value, so that sorted keys fall into parts in order."""
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+
+
+def heads(r: int, ranges: int) -> tuple[int, int]:
+    """The upper 16 bits of keys in a range: from, to (excluded)."""
+    return -(-r * HEADS // ranges), -(-(r + 1) * HEADS // ranges)
 
 
 def suffix_array(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,9 +302,9 @@ def shard_rows(part: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
     return ids, np.array([LAST if i is None else i for i in ids], np.int64), texts
 
 
-KEYS = "range int, shard int, keys binary, at binary, n binary"
+KEYS = "range int, shard int, heads binary, tails binary, at binary, n binary"
 REPLY = "shard int, range int, repeated binary, hot binary"
-STRETCHES = "bucket int, key long, shard int, stretch int, shift int, doc long, text binary"
+STRETCHES = "bucket int, shard int, facts binary, sizes binary, text binary"
 FOUND = "shard int, head binary, bits binary"
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 KEPT = "id long, kept binary, spans array<struct<start:long,end:long>>"
@@ -316,19 +323,25 @@ def send_keys(key: tuple, part: pa.Table, ranges: int) -> pa.Table:
     distinct = keys[first]
     count = np.bincount(np.cumsum(first) - 1, fresh, len(distinct)).astype(np.uint32)
     rows = []
-    cuts = np.searchsorted(range_of(distinct, ranges), np.arange(ranges + 1))
+    cuts = np.searchsorted(part_of(distinct, ranges), np.arange(ranges + 1))
     for r in range(ranges):
         a, b = cuts[r], cuts[r + 1]
         if a < b:
+            low, high = heads(r, ranges)
+            first = np.bincount((distinct[a:b] >> np.uint64(32)).astype(np.int64) - low, minlength=high - low)
             many = np.flatnonzero(count[a:b] > 1).astype(np.uint32)
-            rows.append((r, key[0].as_py(), distinct[a:b].tobytes(), many.tobytes(), count[a:b][many].tobytes()))
+            tails = distinct[a:b].astype(np.uint32)  # the lower 32 bits
+            rows.append((r, key[0].as_py(), first.astype(np.uint32).tobytes(), tails.tobytes(), many.tobytes(), count[a:b][many].tobytes()))
     schema = arrow_schema_of(KEYS)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
 
 
 def merge_keys(part: pa.Table, hot: int) -> pa.Table:
     """Which anchors of each shard occur in two documents, and which in very many."""
-    lists = [np.frombuffer(k, np.uint64) for k in part["keys"].to_pylist()]
+    lists = []
+    for head, tail in zip(part["heads"].to_pylist(), part["tails"].to_pylist()):
+        head, tail = np.frombuffer(head, np.uint32), np.frombuffer(tail, np.uint32)
+        lists.append(np.repeat(np.arange(len(head), dtype=np.uint64) << np.uint64(32), head) | tail)
     counts = []
     for keys, at, n in zip(lists, part["at"].to_pylist(), part["n"].to_pylist()):
         count = np.ones(len(keys), np.int64)
@@ -349,45 +362,73 @@ def merge_keys(part: pa.Table, hot: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, schema)], schema=schema)
 
 
-class Contested:
-    """The stretches of a shard whose anchors occur elsewhere, equal ones numbered alike."""
+class Shard:
+    """The documents of a shard with their anchors; equal stretches are numbered alike."""
 
-    def __init__(self, part: pa.Table, reply: pa.Table, ranges: int):
+    def __init__(self, part: pa.Table):
         self.ids, self.docs, self.texts = shard_rows(part)
         self.anchored = Anchored(self.texts)
-        found = self.anchored
-        distinct, place = np.unique(found.key, return_inverse=True)
-        repeated, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-        cuts = np.searchsorted(range_of(distinct, ranges), np.arange(ranges + 1))
-        for r, bits, very in zip(reply["range"].to_pylist(), reply["repeated"].to_pylist(), reply["hot"].to_pylist()):
-            a, b = cuts[r], cuts[r + 1]
-            repeated[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-            hot[a + np.frombuffer(very, np.uint32).astype(np.int64)] = True
-        self.rows = np.flatnonzero(repeated[place]) if len(distinct) else np.zeros(0, int)
-        self.number, self.firsts = found.alike(self.rows)
+
+    def group(self, rows: np.ndarray) -> None:
+        """Take up some anchors: their stretches' numbers, first rows and least documents."""
+        self.rows = rows
+        self.number, self.firsts = self.anchored.alike(rows)
         self.least = np.full(len(self.firsts), LAST)
-        np.minimum.at(self.least, self.number, self.docs[found.doc[self.rows]])
-        self.key = found.key[self.firsts]
-        self.hot = hot[place[self.firsts]] if len(distinct) else np.zeros(0, bool)
+        np.minimum.at(self.least, self.number, self.docs[self.anchored.doc[rows]])
+
+
+def contested(key: np.ndarray, reply: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors occur in another document, and which in very many, by the replies."""
+    distinct, place = np.unique(key, return_inverse=True)
+    repeated, hot = np.zeros(len(distinct) + 1, bool), np.zeros(len(distinct) + 1, bool)
+    cuts = np.searchsorted(part_of(distinct, ranges), np.arange(ranges + 1))
+    for r, bits, very in zip(reply["range"].to_pylist(), reply["repeated"].to_pylist(), reply["hot"].to_pylist()):
+        a, b = cuts[r], cuts[r + 1]
+        repeated[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        hot[a + np.frombuffer(very, np.uint32).astype(np.int64)] = True
+    return repeated[place], hot[place]
 
 
 def send_stretches(key: tuple, part: pa.Table, reply: pa.Table, ranges: int, buckets: int) -> pa.Table:
     schema = arrow_schema_of(STRETCHES)
     if not part.num_rows or not reply.num_rows:
         return schema.empty_table()
-    mine = Contested(part, reply, ranges)
-    whole, split = np.flatnonzero(~mine.hot), np.flatnonzero(mine.hot)
-    keys, numbers, shifts = [mine.key[whole]], [whole], [np.zeros(len(whole), np.int64)]
+    mine = Shard(part)
+    repeated, hot = contested(mine.anchored.key, reply, ranges)
+    mine.group(np.flatnonzero(repeated))
+    hot, all_keys = hot[mine.firsts], mine.anchored.key[mine.firsts]
+    whole, split = np.flatnonzero(~hot), np.flatnonzero(hot)
+    keys, numbers, shifts = [all_keys[whole]], [whole], [np.zeros(len(whole), np.int64)]
     texts = mine.anchored.stretches(mine.firsts[whole])
     for i, s in zip(split, mine.anchored.stretches(mine.firsts[split])):
         strings = [s[k : k + LENGTH] for k in range(len(s) - LENGTH + 1)]
-        keys.append(np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in strings]), np.uint64))
+        keys.append(np.frombuffer(b"".join([hashlib.blake2b(t, digest_size=8).digest() for t in strings]), np.uint64) & KEY_BITS)
         numbers.append(np.full(len(strings), i))
         shifts.append(np.arange(len(strings)))
         texts += strings
     keys, numbers, shifts = np.concatenate(keys), np.concatenate(numbers).astype(np.int64), np.concatenate(shifts)
-    columns = [range_of(keys, buckets), keys.view(np.int64), np.full(len(keys), key[0].as_py()), numbers, shifts, mine.least[numbers]]
-    return pa.Table.from_arrays([*[pa.array(c).cast(f.type) for c, f in zip(columns, schema)], pa.array(texts, pa.binary())], schema=schema)
+    facts = np.stack([keys.view(np.int64), mine.firsts[numbers], shifts, mine.least[numbers]])
+    sizes = np.array([len(t) for t in texts], np.uint8)
+    bucket, rows, codec = part_of(keys, buckets), [], pa.Codec("zstd", 1)
+    order = np.argsort(bucket, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        text = codec.compress(b"".join([texts[i] for i in at.tolist()]), asbytes=True)
+        rows.append((int(bucket[at[0]]), key[0].as_py(), codec.compress(facts[:, at].tobytes(), asbytes=True), sizes[at].tobytes(), text))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+
+
+def received(part: pa.Table) -> tuple[np.ndarray, ...]:
+    """(shards, keys, numbers, shifts, documents, texts) of the stretches of a bucket."""
+    codec = pa.Codec("zstd", 1)
+    shards, facts, texts = [], [np.zeros((4, 0), np.int64)], []
+    for shard, fact, size, text in zip(*(part[c].to_pylist() for c in ("shard", "facts", "sizes", "text"))):
+        size = np.frombuffer(size, np.uint8).astype(np.int64)
+        facts.append(np.frombuffer(codec.decompress(fact, 32 * len(size), asbytes=True), np.int64).reshape(4, -1))
+        whole = codec.decompress(text, int(size.sum()), asbytes=True)
+        ends = np.cumsum(size)
+        texts += [whole[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
+        shards.append(np.full(len(size), shard))
+    return np.concatenate(shards), *np.concatenate(facts, axis=1), texts
 
 
 def many_ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -401,13 +442,13 @@ def find_classes(part: pa.Table) -> pa.Table:
 
     One row per shard: numbers of stretches, shifts and sizes, and the strings' bits in turn.
     """
-    texts, docs = part["text"].to_pylist(), part["doc"].to_numpy()
+    shard, keys, stretch, shift, docs, texts = received(part)
     known: dict[bytes, int] = {}
     number = np.array([known.setdefault(t, len(known)) for t in texts], np.int64)
     distinct = list(known)
     stands, key = np.full(len(known), LAST), np.empty(len(known), np.uint64)
     np.minimum.at(stands, number, docs)
-    key[number] = part["key"].to_numpy().view(np.uint64)
+    key[number] = keys.view(np.uint64)
     order = np.argsort(key, kind="stable")
     least, _ = resolve(key[order], [distinct[i] for i in order.tolist()], stands[order])
     sizes = np.array([len(t) for t in distinct], np.int64) - LENGTH + 1
@@ -415,7 +456,6 @@ def find_classes(part: pa.Table) -> pa.Table:
     place[order] = np.arange(len(order))
     starts = np.cumsum(sizes[order]) - sizes[order]
     rows = []
-    shard, stretch, shift = (part[c].to_numpy() for c in ("shard", "stretch", "shift"))
     by_shard = np.argsort(shard, kind="stable")
     for mine in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1):
         size = sizes[number[mine]]
@@ -429,9 +469,22 @@ def find_classes(part: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 3, schema)], schema=schema)
 
 
-def removed_runs(part: pa.Table, reply: pa.Table, found: pa.Table, ranges: int):
+def removed_runs(part: pa.Table, found: pa.Table):
     """(id, text, starts and ends of removed runs) of every document of a shard."""
-    mine = Contested(part, reply, ranges)
+    mine = Shard(part)
+    told = []
+    for head, bits in zip(found["head"].to_pylist(), found["bits"].to_pylist()):
+        stretch, shift, size = np.frombuffer(head, np.uint32).reshape(3, -1).astype(np.int64)
+        told.append((stretch, shift, size, np.unpackbits(np.frombuffer(bits, np.uint8), count=int(size.sum())).astype(bool)))
+    # Anchors that are here more than once, and those that classes speak of.
+    key = mine.anchored.key
+    order = np.argsort(key, kind="stable")
+    twice = np.zeros(len(key), bool)
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    twice[order[same]] = twice[order[same + 1]] = True
+    for stretch, *_ in told:
+        twice[stretch] = True
+    mine.group(np.flatnonzero(twice))
     starts = mine.anchored.starts
     total = int(starts[-1])
     low, stop = mine.anchored.low[mine.rows], mine.anchored.stop[mine.rows]
@@ -445,9 +498,8 @@ def removed_runs(part: pa.Table, reply: pa.Table, found: pa.Table, ranges: int):
     by_number = rest[np.argsort(mine.number[rest], kind="stable")]
     numbers = mine.number[by_number]
     strings = [np.zeros(0, np.int64)]
-    for head, bits in zip(found["head"].to_pylist(), found["bits"].to_pylist()):
-        stretch, shift, size = np.frombuffer(head, np.uint32).reshape(3, -1).astype(np.int64)
-        flags = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(size.sum())).astype(bool)
+    for stretch, shift, size, flags in told:
+        stretch = mine.number[np.searchsorted(mine.rows, stretch)]
         a, b = np.searchsorted(numbers, stretch, side="left"), np.searchsorted(numbers, stretch, side="right")
         answer = np.repeat(np.arange(len(stretch)), b - a)
         begin = low[by_number[many_ranges(a, b - a)]] + shift[answer]
@@ -489,45 +541,41 @@ def arrow_schema_of(ddl: str) -> pa.Schema:
     return _SCHEMAS[ddl]
 
 
-def sharded(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    """Documents dealt to shards of about SHARD_BYTES, their number, and all bytes."""
+def sharded(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Documents dealt to shards of about SHARD_BYTES, and all their bytes."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     # Rows without id are dealt by their text, or they would all be one shard's.
     docs = docs.withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.xxhash64("text"))), F.lit(shards)).cast("int"))
-    return docs.repartition(shards, "shard"), shards, total
+    return docs.repartition(shards, "shard"), total
 
 
-def earlier_strings(docs: DataFrame, shards: int, total: int, hot: int = HOT) -> tuple[DataFrame, DataFrame, int]:
-    """Replies to shards: which anchors are contested, and which strings start earlier."""
-    ranges = max(1, -(-total // (MERGED_KEYS * 12)))
+def earlier_strings(docs: DataFrame, total: int, hot: int = HOT) -> DataFrame:
+    """Which strings of a shard's stretches start in an earlier document."""
+    ranges = min(HEADS, max(1, -(-total // (MERGED_KEYS * 12))))
     buckets = max(1, -(-total // (2 * SHARD_BYTES)))
     keys = docs.groupBy("shard").applyInArrow(lambda k, t: send_keys(k, t, ranges), KEYS)
-    replies = settled(keys.groupBy("range").applyInArrow(lambda t: merge_keys(t, hot), REPLY))
+    # Not settled: one plan shuffles the documents once and uses that exchange three times.
+    replies = keys.groupBy("range").applyInArrow(lambda t: merge_keys(t, hot), REPLY)
     stretches = docs.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(
         lambda k, left, right: send_stretches(k, left, right, ranges, buckets), STRETCHES
     )
-    found = stretches.groupBy("bucket").applyInArrow(find_classes, FOUND)
-    return replies, found, ranges
+    return stretches.groupBy("bucket").applyInArrow(find_classes, FOUND)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, digests: bool = True) -> DataFrame:
     """Per document what is left: digests, or with ``digests`` off the bytes and removed spans."""
-    docs, shards, total = sharded(df, id_col, text_col)
-    replies, found, ranges = earlier_strings(docs, shards, total, hot)
+    docs, total = sharded(df, id_col, text_col)
+    found = earlier_strings(docs, total, hot)
     schema = RESULT if digests else KEPT
     out = arrow_schema(schema)
-    # Replies of both kinds in one table, so that documents are joined with them once.
-    both = replies.select("shard", "range", "repeated", "hot", *[F.lit(None).cast("binary").alias(c) for c in ("head", "bits")])
-    both = both.unionByName(found, allowMissingColumns=True)
 
     def finish(key, part: pa.Table, answers: pa.Table) -> pa.Table:
         if not part.num_rows:
             return out.empty_table()
-        said = pa.compute.is_valid(answers["range"])
         rows = []
-        for i, text, a, b in removed_runs(part, answers.filter(said), answers.filter(pa.compute.invert(said)), ranges):
+        for i, text, a, b in removed_runs(part, answers):
             kept = kept_bytes(text, a, b)
             if digests:
                 rows.append((i, len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest()))
@@ -535,7 +583,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows.append((i, kept, [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())]))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    result = docs.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, schema)
+    result = docs.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(finish, schema)
     return result.withColumnRenamed("id", "doc_id")
 
 
