@@ -82,14 +82,14 @@ def dense_windows(run: str, width: int, bits: float) -> list[tuple[int, int]]:
     total, most = 0.0, (math.log2(width) - bits) * width + 1e-9
     out: list[tuple[int, int]] = []
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        total += weight[c + 1] - weight[c]
-        counts[ch] = c + 1
         if i >= width:
             gone = run[i - width]
             c = counts[gone]
             total += weight[c - 1] - weight[c]
             counts[gone] = c - 1
+        c = counts.get(ch, 0)
+        total += weight[c + 1] - weight[c]
+        counts[ch] = c + 1
         if i >= width - 1 and total <= most:
             start = i - width + 1
             if out and start <= out[-1][1]:

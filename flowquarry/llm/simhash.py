@@ -221,9 +221,9 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = settled(fingerprints(df, id_col, text_col, width))
     found = components(prints, radius)
-    kept = found.filter("doc_id = component_id").select(F.col("component_id").alias("_kept")).distinct()
+    kept = found.filter("doc_id = component_id").select("component_id").distinct()
     nameless = found.filter("component_id IS NULL").select("fp").distinct()
-    with_id = df.join(kept, df[id_col].cast("long") == kept["_kept"]).drop("_kept").dropDuplicates([id_col])
+    with_id = df.join(kept, df[id_col].cast("long") == kept["component_id"], "left_semi").dropDuplicates([id_col])
     if nameless.limit(1).count():
         with_id = with_id.unionByName(df.filter(F.col(id_col).isNull()))
     return with_id

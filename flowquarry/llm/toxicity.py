@@ -52,6 +52,8 @@ CANDIDATES = 3000
 LEAST_ROWS = 3
 THRESHOLD = 0.3
 HELD_OUT = 2
+#: Stands before the first letter of words and landmarks: stems count where words begin.
+START = "^"
 #: Letters of a window, and of the step between windows of longer runs.
 WINDOW, STEP = 24, 12
 #: Words remembered per worker; the memory is emptied when full.
@@ -192,7 +194,7 @@ class Describer:
             self.known[word] = None
             plain = letters(word)
             if len(plain) >= ORDER:
-                for piece in windows(plain):
+                for piece in windows(START + plain):
                     pieces.append(piece)
                     owner.append(word)
         best: dict[str, dict[int, float]] = {}
@@ -317,9 +319,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def work(ids, toxic, bodies):
             out = []
             for k, t in zip(toxic, bodies):
-                plain = {letters(w) for w in words_of(t or "")}
-                stems = {w[:n] for w in plain for n in STEMS if len(w) > n}
-                out += [(w, k) for w in plain | stems if ORDER < len(w) <= WINDOW]
+                plain = {START + letters(w) for w in words_of(t or "")}
+                stems = {w[: n + 1] for w in plain for n in STEMS if len(w) > n + 1}
+                out += [(w, k) for w in plain | stems if ORDER + 1 < len(w) <= WINDOW]
             return out
 
         return work
@@ -348,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Clean texts with one insult each, plain or disguised, are toxic, too.
     rng = random.Random(3)
     clean = np.flatnonzero(y == 0)
-    insults = [disguised(rng.choice(found), rng) for _ in clean]
+    insults = [disguised(rng.choice(found)[len(START) :], rng) for _ in clean]
     added = np.maximum(x[clean[: len(insults)]], Describer(landmarks)(insults)) if insults else x[:0]
     # A disguise that no longer resembles anything teaches nothing.
     added = added[(added > 0.3).any(1)]
