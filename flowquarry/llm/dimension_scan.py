@@ -8,7 +8,7 @@ and a candidate is given up as soon as the estimate exceeds the query's current
 by more than the test allows: d_t * D / t > (r * (1 + EPSILON / sqrt(t)))^2. What survives all
 blocks is scored exactly, in double precision, on the original vectors.
 
-The lists come from k-means on a bounded sample (``SAMPLE`` rows by hash of the id); every row
+The lists come from k-means on a sample of bounded size (about ``SAMPLE`` rows by hash); every row
 is assigned. A list is searched in slots of bounded size with blocks of queries of bounded
 size, so a list with a third of all rows is spread over many tasks.
 
@@ -147,7 +147,10 @@ def neighbours(df: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     dim, n, most = top.dim, top.n, top.most
     rows = rows.filter(F.col("dim") == dim).select("id", "v", "asks")
 
-    sample = rows.select(F.xxhash64("id", "v").alias("h"), "v").orderBy("h").limit(SAMPLE).toArrow()
+    # Hashes are even: a share of their range is a share of the rows, without sorting them.
+    cut = min(2.0**63 - 1024, -(2.0**63) + 2.0**64 * SAMPLE / n)
+    sample = rows.select(F.xxhash64("id", "v").alias("h"), "v").filter(F.col("h") <= int(cut) if n > SAMPLE else F.lit(True)).toArrow()
+    sample = sample.sort_by("h")
     points = extended(matrix(sample["v"], sample.num_rows, np.float64), most)
     lists = int(max(1, min(MOST_LISTS, len(points) // 8, round(2 * n**0.5))))
     centres = centroids_of(points, lists)
