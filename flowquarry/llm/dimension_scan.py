@@ -9,8 +9,8 @@ by more than the test allows: d_t * D / t > (r * (1 + EPSILON / sqrt(t)))^2. Wha
 blocks is scored exactly, in double precision, on the original vectors.
 
 The lists come from k-means on a sample of bounded size (about ``SAMPLE`` rows by hash); every row
-is assigned. A list is searched in slots of bounded size with blocks of queries of bounded
-size, so a list with a third of all rows is spread over many tasks.
+is assigned. Lists are searched in groups, a group in slots of bounded size with blocks of
+queries of bounded size, so a list with a third of all rows is spread over many tasks.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, rows
 without id, and vectors of another length than most have, take no part; of rows that repeat a
@@ -37,7 +37,9 @@ LEAST_PROBED = 12
 #: Columns of a block, and the width of the test.
 COLUMNS = 16
 EPSILON = 2.1
-SLOT_ROWS = 4096
+#: Share of the pairs up to which a block is summed pair by pair.
+DENSE = 0.1
+SLOT_ROWS = 8192
 BLOCK_QUERIES = 1024
 CHUNK = 1024
 
@@ -86,44 +88,67 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def scan_list(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, most: float, turn: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The k best of one slot of a list for each query, by early abandoning."""
+def better(best: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Take values, in order of their rows, into the ascending k least of each row."""
+    own, counts = np.unique(rows, return_counts=True)
+    k = best.shape[1]
+    wide = np.full((len(own), k + int(counts.max())), np.inf)
+    wide[:, :k] = best[own]
+    first = np.cumsum(counts) - counts
+    wide[np.repeat(np.arange(len(own)), counts), k + np.arange(len(rows)) - np.repeat(first, counts)] = values
+    best[own] = np.sort(np.partition(wide, k - 1, axis=1)[:, :k], axis=1)
+
+
+def scan_lists(q: np.ndarray, qid: np.ndarray, probed: list[np.ndarray], x: np.ndarray, xid: np.ndarray, lists: np.ndarray, k: int, most: float, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The k best of some lists for the queries that probe them, by early abandoning.
+
+    A query's k-th distance is carried from list to list. While many pairs are still in, a
+    block of columns is one product for all of them; then only the pairs left are summed on.
+    """
     rq = np.hstack([q, np.zeros((len(q), 1))]) @ turn
+    order = np.lexsort((xid, lists))
+    x, xid, lists = x[order], xid[order], lists[order]
     rx = extended(x, most) @ turn
     dim = rq.shape[1]
     slack = 1e-9 * (most * most + (q**2).sum(1)) + 1e-300
-    # The first candidates are measured whole: they give the first k-th distances.
-    seeds = min(len(x), 4 * k)
-    first = ((rq[:, None, :] - rx[None, :seeds, :]) ** 2).sum(2) if len(q) * seeds * dim < 4e6 else (rq**2).sum(1)[:, None] + (rx[:seeds] ** 2).sum(1)[None] - 2 * rq @ rx[:seeds].T
-    first = np.where(qid[:, None] != xid[None, :seeds], first, np.inf)
+    asks = np.repeat(np.arange(len(q)), [len(p) for p in probed])
+    asked = np.concatenate(probed) if len(probed) else np.zeros(0, int)
+    by_list = np.argsort(asked, kind="stable")
+    asks, asked = asks[by_list], asked[by_list]
     best = np.full((len(q), k), np.inf)
-    best[:, : min(k, seeds)] = np.sort(first, axis=1)[:, :k]
-    found = [(np.nonzero(np.isfinite(first)))]
-    for start in range(seeds, len(x), CHUNK):
-        part = rx[start : start + CHUNK]
-        rows, cols = np.nonzero(qid[:, None] != xid[None, start : start + CHUNK])
-        partial = np.zeros(len(rows))
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    borders = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1], True]) if len(lists) else np.zeros(0, int)
+    cuts = [c for a, b in zip(borders, borders[1:]) for c in range(a, b, CHUNK)] + [len(lists)]
+    for start, stop in zip(cuts, cuts[1:]):
+        mine = asks[slice(*np.searchsorted(asked, [lists[start], lists[start] + 1]))]
+        if not len(mine):
+            continue
+        near, part = rq[mine], rx[start:stop]
+        radius, room = best[mine, k - 1], slack[mine]
+        alive = qid[mine][:, None] != xid[None, start:stop]
+        total = np.zeros(alive.shape)
+        rows = cols = partial = None
         for c in range(0, dim, COLUMNS):
             block = slice(c, min(c + COLUMNS, dim))
-            if c == 0:  # all pairs are still in: one product for the block
-                a, b = rq[:, block], part[:, block]
-                d = np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
-                partial = d[rows, cols]
-            else:
-                partial = partial + ((rq[rows, block] - part[cols, block]) ** 2).sum(1)
             t = block.stop
-            radius = best[rows, k - 1]
-            limit = radius if t == dim else radius * (1 + EPSILON / np.sqrt(t)) ** 2 * t / dim
-            stay = partial <= limit + slack[rows]
-            rows, cols, partial = rows[stay], cols[stay], partial[stay]
+            limit = (radius if t == dim else radius * ((1 + EPSILON / np.sqrt(t)) ** 2 * t / dim)) + room
+            if rows is None:
+                a, b = near[:, block], part[:, block]
+                total += (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * (a @ b.T)
+                alive &= total <= limit[:, None]
+                if t == dim or np.count_nonzero(alive) < DENSE * alive.size:
+                    rows, cols = np.nonzero(alive)
+                    partial = total[rows, cols]
+            else:
+                partial = partial + ((near[rows, block] - part[cols, block]) ** 2).sum(1)
+                stay = partial <= limit[rows]
+                rows, cols, partial = rows[stay], cols[stay], partial[stay]
         if len(rows):
-            found.append((rows, cols + start))
-            wide = np.full((len(q), k + int(np.bincount(rows).max())), np.inf)
-            wide[:, :k] = best
-            place = k + np.arange(len(rows)) - np.searchsorted(rows, rows)
-            wide[rows, place] = partial
-            best = np.sort(np.partition(wide, k - 1, axis=1)[:, :k], axis=1)
-    rows, cols = (np.concatenate(c) for c in zip(*found))
+            better(best, mine[rows], np.maximum(partial, 0))
+            found.append((mine[rows], cols + start, partial))
+    rows, cols, partial = (np.concatenate(c) for c in zip(*found))
+    stay = partial <= best[rows, k - 1] + slack[rows]
+    rows, cols = rows[stay], cols[stay]
     score = exact(q[rows], x[cols])
     order = np.lexsort((xid[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
@@ -156,46 +181,48 @@ def neighbours(df: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     centres = centroids_of(points, lists)
     probes = int(min(lists, max(LEAST_PROBED, -(-lists * PROBED // 1))))
     turn = rotation(dim + 1)
+    groups = int(min(lists, -(-n // SLOT_ROWS)))  # lists searched together, by number
 
     def assign(batches):
         for batch in batches:
             v = matrix(pa.chunked_array([batch["v"]]), batch.num_rows, np.float64)
             home = nearest(extended(v, most), centres, 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.array(home, pa.int32())], names=["id", "v", "list"])
+            columns = [batch["id"], batch["v"], pa.array(home, pa.int32()), pa.array(home % groups, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "list", "group"])
 
     def probe(batches):
         for batch in batches:
             v = matrix(pa.chunked_array([batch["v"]]), batch.num_rows, np.float64)
-            near = nearest(np.hstack([v, np.zeros((len(v), 1))]), centres, probes)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["v"], pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "v", "lists"]
-            )
-
-    homes = rows.select("id", "v").mapInArrow(assign, "id long, v array<double>, list int")
+            near = np.sort(nearest(np.hstack([v, np.zeros((len(v), 1))]), centres, probes), axis=1)
+            for g in range(groups):
+                mine = [row[row % groups == g] for row in near]
+                at = np.flatnonzero([len(m) > 0 for m in mine])
+                columns = [batch["id"].take(pa.array(at)), batch["v"].take(pa.array(at)), pa.array([mine[i] for i in at], pa.list_(pa.int32())), pa.array(np.full(len(at), g), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "lists", "group"])
+
+    homes = rows.select("id", "v").mapInArrow(assign, "id long, v array<double>, list int, group int")
     asked = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(probe, "id long, v array<double>, lists array<int>")
-    visits = asked.select("id", "v", F.explode("lists").alias("list"))
-    # One row per list, at most MOST_LISTS: how many slots and blocks it takes.
-    sizes = homes.groupBy("list").agg(F.count("*").alias("rows")).join(visits.groupBy("list").agg(F.count("*").alias("calls")), "list")
-    sizes = settled(sizes.select("list", F.ceil(F.col("rows") / SLOT_ROWS).cast("int").alias("slots"), F.ceil(F.col("calls") / BLOCK_QUERIES).cast("int").alias("blocks")))
+    visits = asked.mapInArrow(probe, "id long, v array<double>, lists array<int>, group int")
+    # One row per group, at most MOST_LISTS: how many slots and blocks it takes.
+    sizes = homes.groupBy("group").agg(F.count("*").alias("rows")).join(visits.groupBy("group").agg(F.count("*").alias("calls")), "group")
+    sizes = settled(sizes.select("group", F.ceil(F.col("rows") / SLOT_ROWS).cast("int").alias("slots"), F.ceil(F.col("calls") / BLOCK_QUERIES).cast("int").alias("blocks")))
     sizes = F.broadcast(sizes)
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    dealt = homes.join(sizes, "list").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")).withColumn("block", each("blocks"))
-    visits = visits.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("slot", each("slots"))
+    dealt = homes.join(sizes, "group").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")).withColumn("block", each("blocks"))
+    visits = visits.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("slot", each("slots"))
     schema = "query_id long, vec_id long, score double"
     out = arrow_schema(schema)
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        xid = right["id"].to_numpy()
-        order = np.argsort(xid, kind="stable")
-        x = matrix(right["v"], right.num_rows, np.float64)[order]
-        q = matrix(left["v"], left.num_rows, np.float64)
-        return pa.table(dict(zip(out.names, scan_list(q, left["id"].to_numpy(), x, xid[order], k, most, turn))), schema=out)
-
-    key = ["list", "slot", "block"]
-    found = visits.select("id", "v", *key).groupBy(*key).cogroup(dealt.select("id", "v", *key).groupBy(*key)).applyInArrow(search, schema)
+        x, q = (matrix(t["v"], t.num_rows, np.float64) for t in (right, left))
+        probed = [np.asarray(p, int) for p in left["lists"].to_pylist()]
+        found = scan_lists(q, left["id"].to_numpy(), probed, x, right["id"].to_numpy(), right["list"].to_numpy(), k, most, turn)
+        return pa.table(dict(zip(out.names, found)), schema=out)
+
+    key = ["group", "slot", "block"]
+    found = visits.select("id", "v", "lists", *key).groupBy(*key).cogroup(dealt.select("id", "v", "list", *key).groupBy(*key)).applyInArrow(search, schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
