@@ -13,7 +13,7 @@ with everything below it. So no choice contradicts that of an ancestor or a desc
 Training has no given labels. The teacher is the structure of pages that have an article
 element: blocks inside it and outside any boilerplate element are article. So that the trees
 don't rest on one tag alone, they also see the same pages with boilerplate of every kind put
-in, and with the names of tags and classes blanked. Bounds: ``TRAIN_PAGES`` pages of at most
+in, and with the names of tags and classes blanked. Bounds: about ``TRAIN_PAGES`` pages of at most
 ``TRAIN_CHARS`` characters by hash of the id; extraction covers every page whole.
 
 Defined cases: null or empty html gives the empty text; unclosed and stray tags are repaired as
@@ -376,8 +376,11 @@ def training_rows(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarr
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Boosted | None:
     """Boosted trees from a bounded sample of pages, on the driver."""
-    sample = pages.filter(F.length(html_col) <= TRAIN_CHARS).select(F.xxhash64(id_col, html_col).alias("h"), html_col).orderBy("h").limit(TRAIN_PAGES)
-    x, y = training_rows([r[1] for r in sample.collect()])
+    n = pages.count()
+    hashed = pages.filter(F.length(html_col) <= TRAIN_CHARS).select(F.xxhash64(id_col, html_col).alias("h"), html_col)
+    if n > TRAIN_PAGES:  # hashes are even: a share of their range is a share of the pages
+        hashed = hashed.filter(F.col("h") <= int(-(2.0**63) + 2.0**64 * TRAIN_PAGES / n))
+    x, y = training_rows([r[1] for r in sorted(hashed.collect())])
     return Boosted(x, y) if len(y) and 0 < y.sum() < len(y) else None
 
 
