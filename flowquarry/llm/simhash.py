@@ -37,7 +37,7 @@ BLOCKS = 4
 #: Fingerprints that may share a block value before it is divided.
 CROWD = 2048
 #: Entries of a shard, about.
-SHARD_ROWS = 50_000
+SHARD_ROWS = 8_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
