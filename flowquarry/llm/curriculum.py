@@ -29,7 +29,7 @@ from flowquarry.llm.common import settled, table
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Rows that share a hash range of a source, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 #: Hexadecimal digits of the hash that tell ranges.
 DIGITS = 7
 
