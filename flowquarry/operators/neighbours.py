@@ -137,7 +137,11 @@ def nearest(
                     d[ids[:, None] == pid[None, :]] = np.inf
                 last = min(k, d.shape[1]) - 1
                 edge = np.partition(d, last, axis=1)[:, last]
-                rows, cols = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+                # Exactly k by distance and id: points come by id, and ties fill what is left.
+                less, tie = d < edge[:, None], d == edge[:, None]
+                room = last + 1 - less.sum(axis=1)
+                taken = less | (tie & (np.cumsum(tie, axis=1) <= room[:, None]))
+                rows, cols = np.nonzero(taken & np.isfinite(d))
                 found.append(pd.DataFrame({"qid": ids[rows], "pid": pid[cols], "distance": d[rows, cols]}))
         return pd.concat(found) if found else pd.DataFrame({"qid": [], "pid": [], "distance": []})
 

@@ -26,7 +26,11 @@ SMALL = 50_000
 
 @dataclass
 class _Bracket:
-    """Values in [lo, hi] hold the wanted rank; ``below`` rows lie under lo."""
+    """Values between lo and hi hold the wanted rank; ``below`` rows lie under them.
+
+    The extremes themselves belong to the bracket at first; bounds that were counted
+    since do not (``past_lo``, ``past_hi``).
+    """
 
     rank: int
     lo: float | int | None = None
@@ -34,6 +38,8 @@ class _Bracket:
     below: int = 0
     inside: int = 0
     value: float | int | None = None
+    past_lo: bool = False
+    past_hi: bool = False
 
     @property
     def open(self) -> bool:
@@ -119,7 +125,7 @@ def _slots(state) -> dict[tuple[str, int], dict]:
 def _settle(state) -> None:
     for brackets in state.values():
         for b in brackets:
-            if b and b.open and b.lo == b.hi:
+            if b and b.open and b.lo == b.hi and not (b.past_lo or b.past_hi):
                 b.value = b.lo
 
 
@@ -128,18 +134,31 @@ def _open_slots(state) -> dict[tuple[str, int], dict]:
     return {key: groups for key, groups in slots.items() if groups}
 
 
+def _inside(by, column: Column, groups: dict, kind: str) -> Column:
+    """Whether a row's value lies in its group's bracket."""
+    lo = _per_group(by, {g: b.lo for g, b in groups.items()}, kind)
+    hi = _per_group(by, {g: b.hi for g, b in groups.items()}, kind)
+    past_lo = _per_group(by, {g: b.past_lo for g, b in groups.items()}, "boolean")
+    past_hi = _per_group(by, {g: b.past_hi for g, b in groups.items()}, "boolean")
+    return ((column > lo) | ((column == lo) & ~past_lo)) & ((column < hi) | ((column == hi) & ~past_hi))
+
+
 def _narrow(df, by, clean, types, state, whole) -> None:
-    """Shrink every open bracket; ``whole`` is the sketch over all rows, while it applies."""
+    """Shrink every open bracket; ``whole`` is the sketch over all rows, while it applies.
+
+    Two values inside the bracket are guessed around the rank, and rows are counted below,
+    at and between them. The rank then lies at a guess, which ends the search however many
+    rows share it, or in one of three smaller brackets without the guesses: a sketch that
+    missed costs a round, and every round takes at least one value out.
+    """
     slots = _open_slots(state)
     if whole is not None:
         points_of = lambda g, n, j: whole[g][f"p_{n}"]
     else:
         aggs = []
         for (n, j), groups in slots.items():
-            lo = _per_group(by, {g: b.lo for g, b in groups.items()}, types[n])
-            hi = _per_group(by, {g: b.hi for g, b in groups.items()}, types[n])
-            inside = (clean[n] >= lo) & (clean[n] <= hi)
-            aggs.append(F.percentile_approx(F.when(inside, clean[n]), _POINTS, ACCURACY).alias(f"p_{n}_{j}"))
+            held = F.when(_inside(by, clean[n], groups, types[n]), clean[n])
+            aggs.append(F.percentile_approx(held, _POINTS, ACCURACY).alias(f"p_{n}_{j}"))
         sketched = _grouped(df, by, aggs)
         points_of = lambda g, n, j: sketched[g][f"p_{n}_{j}"]
 
@@ -150,26 +169,34 @@ def _narrow(df, by, clean, types, state, whole) -> None:
             wanted = (b.rank - b.below) / b.inside
             left = max(0, math.floor((wanted - 2 / ACCURACY) * GRID) - 1)
             right = min(GRID, math.ceil((wanted + 2 / ACCURACY) * GRID) + 1)
-            lo = b.lo if left == 0 else points[left]
-            hi = b.hi if right == GRID else points[right]
-            guesses.setdefault((n, j), {})[g] = (lo, hi)
+            guesses.setdefault((n, j), {})[g] = (points[left], points[right])
 
     aggs = []
     for (n, j), groups in guesses.items():
         lo = _per_group(by, {g: v[0] for g, v in groups.items()}, types[n])
         hi = _per_group(by, {g: v[1] for g, v in groups.items()}, types[n])
         aggs.append(F.count_if(clean[n] < lo).alias(f"b_{n}_{j}"))
-        aggs.append(F.count_if((clean[n] >= lo) & (clean[n] <= hi)).alias(f"i_{n}_{j}"))
+        aggs.append(F.count_if(clean[n] == lo).alias(f"l_{n}_{j}"))
+        aggs.append(F.count_if((clean[n] > lo) & (clean[n] < hi)).alias(f"i_{n}_{j}"))
+        aggs.append(F.count_if(clean[n] == hi).alias(f"h_{n}_{j}"))
     counted = _grouped(df, by, aggs)
     for (n, j), groups in guesses.items():
         for g, (lo, hi) in groups.items():
-            b = state[g, n][j]
-            below, inside = counted[g][f"b_{n}_{j}"], counted[g][f"i_{n}_{j}"]
-            if not below < b.rank <= below + inside:
-                raise ArithmeticError("sketch bracket lost the wanted rank")
-            if inside >= b.inside and lo == b.lo and hi == b.hi:
-                raise ArithmeticError("bracket did not narrow")
-            b.lo, b.hi, b.below, b.inside = lo, hi, below, inside
+            b, row = state[g, n][j], counted[g]
+            below, at_lo, between, at_hi = (row[f"{c}_{n}_{j}"] for c in "blih")
+            if b.rank <= below:
+                b.hi, b.past_hi, b.inside = lo, True, below - b.below
+            elif b.rank <= below + at_lo:
+                b.value, b.below, b.inside = lo, below, at_lo
+            elif b.rank <= below + at_lo + between:
+                b.lo, b.hi, b.past_lo, b.past_hi = lo, hi, True, True
+                b.below, b.inside = below + at_lo, between
+            elif lo != hi and b.rank <= below + at_lo + between + at_hi:
+                b.value, b.below, b.inside = hi, below + at_lo + between, at_hi
+            else:
+                under = below + at_lo + (between + at_hi if lo != hi else 0)
+                b.lo, b.past_lo, b.inside = hi, True, b.below + b.inside - under
+                b.below = under
 
 
 def _finish(df, by, clean, types, state) -> None:
@@ -180,10 +207,8 @@ def _finish(df, by, clean, types, state) -> None:
     # One distributed value count per (group, slot) over the rows left, then a running sum.
     picks = []
     for (n, j), groups in slots.items():
-        lo = _per_group(by, {g: b.lo for g, b in groups.items()}, types[n])
-        hi = _per_group(by, {g: b.hi for g, b in groups.items()}, types[n])
         target = _per_group(by, {g: b.rank - b.below for g, b in groups.items()}, "bigint")
-        keep = (clean[n] >= lo) & (clean[n] <= hi)
+        keep = _inside(by, clean[n], groups, types[n])
         wide = "double" if types[n] in ("double", "float") else "bigint"
         picks.append(
             (wide, F.when(keep, F.struct(

@@ -103,16 +103,18 @@ class PrototypeModel:
         ``confidence`` and ``distance`` of the winner."""
         names = [f"_d{i}" for i in range(len(self.classes))]
         df = computed_once(df, dict(zip(names, self.distances())))
-        weights = [F.exp(-F.col(n)) for n in names]
-        total = sum(weights[1:], weights[0])
-        df = df.withColumn("_w", total)
+        # Relative to the nearest class, so that a far outlier's weights don't all underflow.
+        nearest = F.least(*[F.col(n) for n in names]) if len(names) > 1 else F.col(names[0])
+        df = df.withColumn("_near", nearest)
+        weights = [F.exp(F.col("_near") - F.col(n)) for n in names]
+        df = df.withColumn("_w", sum(weights[1:], weights[0]))
         classes = F.array(*[F.lit(c) for c in self.classes])
         winner = F.array_position("distances", F.array_min("distances")).cast("int")
         return (
             df.withColumns(
                 {
                     "distances": F.array(*[F.col(n) for n in names]),
-                    "probabilities": F.array(*[F.exp(-F.col(n)) / F.col("_w") for n in names]),
+                    "probabilities": F.array(*[w / F.col("_w") for w in weights]),
                 }
             )
             .withColumns(
@@ -122,7 +124,7 @@ class PrototypeModel:
                     "confidence": F.array_max("probabilities"),
                 }
             )
-            .drop(*names, "_w")
+            .drop(*names, "_w", "_near")
         )
 
 
@@ -163,9 +165,10 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str = "lab
 
     counts = binned_counts(df, features, label, bins)
     of_feature = Window.partitionBy("feature")
-    n, total = F.col("n"), F.sum("n").over(of_feature)
-    by_bin = F.sum("n").over(Window.partitionBy("feature", "bin"))
-    by_label = F.sum("n").over(Window.partitionBy("feature", "label"))
+    # In doubles: products of counts outgrow a long.
+    n, total = F.col("n").cast("double"), F.sum("n").over(of_feature).cast("double")
+    by_bin = F.sum("n").over(Window.partitionBy("feature", "bin")).cast("double")
+    by_label = F.sum("n").over(Window.partitionBy("feature", "label")).cast("double")
     parts = counts.select("feature", (n / total * F.log(n * total / (by_bin * by_label))).alias("part"))
     mi = parts.groupBy("feature").agg(F.sum("part").alias("mi"))
     return mi.withColumn("position", F.row_number().over(Window.orderBy(F.round("mi", 9).desc(), "feature")))

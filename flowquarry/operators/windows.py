@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowquarry.operators.positions import with_position
+from flowquarry.operators.positions import top_per_group, with_position
 
 
 def micros(ts: Column) -> Column:
@@ -71,8 +71,8 @@ def majority_per_key(df: DataFrame, key: str, label: str, order: Sequence[Column
 
 
 def latest(df: DataFrame, key: str, values: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The values of each key's last row; combines before the shuffle."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v")).select(key, "v.*")
+    """The values of each key's last row; a group limit prunes before the shuffle."""
+    return top_per_group(df, [key], [c.desc() for c in order], 1).select(key, *values)
 
 
 def recent_rate(df: DataFrame, ts: str, asof: Column, span: str = "5 seconds", high: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(cores: str | int = 8, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -52,16 +52,3 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan that comes in fewer partitions than there are cores.
-
-    For heavy row-by-row work on a small or unsplittable file; a large table already has
-    more partitions than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    # By hash of the columns: unlike a round-robin it needs no sort to be repeatable.
-    return df.repartition(cores, *[c for c, t in df.dtypes if not t.startswith("map")])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,38 +20,62 @@ def flow_schema(features: Sequence[str] = FLOW_FEATURES, text: Sequence[str] = (
     return T.StructType([T.StructField(f, T.StringType() if f in text else T.DoubleType()) for f in features])
 
 
-def infer_schema(spark: SparkSession, root: str, share: float = 0.01, pattern: str = "*.csv") -> T.StructType:
-    """Fallback where columns are unknown: inferred from a share of the rows."""
+def infer_schema(spark: SparkSession, root: str, share: float = 1.0, pattern: str = "*.csv") -> T.StructType:
+    """Fallback where columns are unknown: inferred from all rows, unless a share is given."""
     reader = spark.read.option("header", True).option("inferSchema", True).option("samplingRatio", share)
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root).schema
 
 
+def file_headers(spark: SparkSession, root: str | list[str], names: Sequence[str], pattern: str = "*.csv") -> list[tuple[str, str | None]]:
+    """(path, header line) of every file below ``root``; None where it names no wanted column.
+
+    Only lines that hold a wanted name are compared, so that one line per file remains; one
+    row per file goes to the driver, which lists the files anyway. A missing root raises.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    path = F.col("_metadata.file_path")
+    files = lines.select(path.alias("path")).groupBy("path").count()
+    wanted = F.lit(False)
+    for name in names:
+        wanted = wanted | F.col("value").contains(name)
+    found = (
+        lines.select("value", path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+        .filter((F.col("start") == 0) & wanted)
+        .groupBy("path")
+        .agg(F.min_by("value", "line").alias("header"))
+    )
+    return [(unquote(r["path"]), r["header"]) for r in files.join(found, "path", "left").select("path", "header").collect()]
+
+
 def scan_flows(
     spark: SparkSession, root: str | list[str], schema: T.StructType | None = None, name_contains: str | None = None,
     pattern: str = "*.csv",
 ) -> DataFrame | None:
     """All CSV files below ``root`` as one table with ``source_file`` and ``basename``;
-    None if there is none.
+    None if there is none, an error if ``root`` does not exist.
 
-    A given schema avoids the inference pass, Spark lists the files in parallel, and
-    ``name_contains`` prunes files by lower-case name through the metadata column before
-    any is read.
+    Columns are found by the names in each file's own header, trimmed: files may hold them in
+    another order, hold more of them, or lack some, which are null then. Values are read as
+    text and cast; one that doesn't fit its type is null. ``name_contains`` prunes files by
+    lower-case name before their rows are read.
     """
     schema = schema or flow_schema()
-    reader = (
-        spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    )
-    try:
-        df = reader.csv(root)
-    except AnalysisException:
-        return None
-    if df.isEmpty():
-        return None
-    if name_contains is not None:
-        df = df.filter(F.lower(F.col("_metadata.file_name")).contains(name_contains.lower()))
-    return df.select(
-        "*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("basename")
-    )
+    groups: dict[str | None, list[str]] = {}
+    for path, header in file_headers(spark, root, [f.name for f in schema.fields], pattern):
+        if name_contains is None or name_contains.lower() in path.rsplit("/", 1)[-1].lower():
+            groups.setdefault(header, []).append(path)
+    parts = []
+    for header in sorted(groups, key=lambda h: h or ""):
+        present = [c.strip() for c in next(csv.reader([header.lstrip("\ufeff")]))] if header else [""]
+        as_text = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(present))])
+        df = spark.read.schema(as_text).option("header", True).csv(groups[header])
+        columns = [
+            (F.col(f"_c{present.index(f.name)}").try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields
+        ]
+        name = F.col("_metadata.file_name").alias("basename")
+        parts.append(df.select(*columns, F.col("_metadata.file_path").alias("source_file"), name))
+    return reduce(DataFrame.unionAll, parts) if parts else None
 
 
 def with_labels(df: DataFrame, name: str = "basename", legacy: bool = True) -> DataFrame:

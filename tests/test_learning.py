@@ -176,3 +176,27 @@ def test_search_finds_the_best_subset(scored):
 def test_correlated_groups(spark):
     df = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", -0.2)], "a string, b string, corr double")
     assert X.correlated_groups(df, ["a", "b", "c"]) == [["a", "b"], ["c"]]
+
+
+def test_far_outlier_is_scored(spark):
+    rows = [(float(i % 10), "a" if i % 10 < 5 else "b") for i in range(10_000)] + [(1e9, "b")]
+    df = spark.createDataFrame(rows, "x double, label string")
+    model = P.fit_prototypes(df.filter("x < 100"), ["x"])
+    out = model.transform(df).filter("x > 100").first()
+    assert out["predicted"] == "b" and out["confidence"] == pytest.approx(1.0) and sum(out["probabilities"]) == pytest.approx(1.0)
+
+
+def test_mutual_information_of_many_rows(spark, monkeypatch):
+    n = 4_000_000_000
+    counts = spark.createDataFrame([("f", 0, "a", n), ("f", 1, "b", n)], "feature string, bin int, label string, n long")
+    monkeypatch.setattr(P, "binned_counts", lambda *a: counts)
+    assert P.mutual_information(counts, ["f"]).first()["mi"] == pytest.approx(np.log(2))
+
+
+def test_equal_points_give_k_rows_each(spark):
+    df = spark.range(1500).select("id", F.lit("c").alias("block"), F.array(F.lit(1.0), F.lit(2.0)).alias("vec"))
+    got = nearest(df, df, 3, same_table=True)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["qid"], []).append((r["position"], r["pid"]))
+    assert len(rows) == 1500 and all([p for _, p in sorted(v)] == [i for i in range(5) if i != q][:3] for q, v in rows.items())

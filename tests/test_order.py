@@ -115,3 +115,30 @@ def test_oversample_and_burst(spark):
     assert P.oversample(df, F.col("label") == "Benign", 20).count() == 22
     rows = P.burst_order(df, "label", "key", ["DDoS", "DoS"]).orderBy("place").collect()
     assert [r["label"] for r in rows] == ["Benign", "DDoS"]
+
+
+@pytest.mark.parametrize("values", [2, 10, 50])
+def test_few_values_and_very_many_rows(spark, values):
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") % values).cast("double").alias("x"), (F.col("id") % 3).alias("g"))
+    for q in (0.1, 0.5, 0.9, 1.0):
+        assert quantile_table(df, ["x"], q).first()["value"] == (math.ceil(q * n) - 1) // (n // values)
+    found = order_statistics(df, {"x": F.col("x")}, lambda g, name, total: [1, total // 2, total // 2 + 1, total], F.col("g"), small=10)
+    pdf = df.toPandas()
+    for g, part in pdf.groupby("g"):
+        ordered = np.sort(part["x"].to_numpy())
+        for rank, (value, below, equal, _) in zip([1, len(part) // 2, len(part) // 2 + 1, len(part)], found[g, "x"]):
+            assert value == ordered[rank - 1] and below == (ordered < value).sum() and equal == (ordered == value).sum()
+
+
+def test_splits_by_day(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id"), (F.col("id") % 2).cast("string").alias("label"), (F.col("id") % 10).alias("day"))
+    parts = P.stratified_split(df, "label", [F.col("day"), F.xxhash64("id")], {"train": 0.7, "val": 0.15, "test": 0.15})
+    counts = {(r["label"], r["split"]): r["count"] for r in parts.groupBy("label", "split").count().collect()}
+    assert counts == {(label, s): c for label in "01" for s, c in (("train", 350_000), ("val", 75_000), ("test", 75_000))}
+    days = parts.groupBy("label", "split").agg(F.min("day").alias("lo"), F.max("day").alias("hi")).collect()
+    days = {(r["label"], r["split"]): (r["lo"], r["hi"]) for r in days}
+    for label in "01":
+        train, val, test = (days[label, s] for s in ("train", "val", "test"))
+        assert train[0] == int(label) and test[1] == 8 + int(label) and train[1] <= val[0] and val[1] <= test[0]

@@ -6,6 +6,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from flowquarry.operators import alerts as A
@@ -108,7 +109,10 @@ def test_flow_scan(spark, tmp_path):
     assert flow_files.scan_flows(spark, str(tmp_path), schema, name_contains="BENIGN").count() == 1
     splits = flow_files.scan_splits(spark, str(tmp_path / "train"), str(tmp_path / "test"), schema)
     assert {r["split"]: r["count"] for r in splits.groupBy("split").count().collect()} == {"train": 3, "test": 1}
+    (tmp_path / "nothing").mkdir()
     assert flow_files.scan_flows(spark, str(tmp_path / "nothing")) is None
+    with pytest.raises(AnalysisException):
+        flow_files.scan_flows(spark, str(tmp_path / "missing"))
     inferred = flow_files.infer_schema(spark, str(tmp_path / "test"), 1.0)
     assert [f.dataType.simpleString() for f in inferred] == ["double", "int"]
 
@@ -149,3 +153,13 @@ def test_alert_edges(spark):
 def test_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    files = {"a b.csv": "a,b\n1,2\n", "b.csv": "b,a\n20,10\n", "c.csv": "a, zzz ,b \n100,7,200\n", "d.csv": "b\n5\nx\n", "e.csv": "other\n9\n"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    rows = flow_files.scan_flows(spark, str(tmp_path), flow_files.flow_schema(["a", "b"])).collect()
+    got = sorted(((r["basename"], r["a"], r["b"]) for r in rows), key=repr)
+    want = [("a b.csv", 1, 2), ("b.csv", 10, 20), ("c.csv", 100, 200), ("d.csv", None, 5), ("d.csv", None, None), ("e.csv", None, None)]
+    assert [(n.replace("%20", " "), a, b) for n, a, b in got] == sorted(want, key=lambda r: repr((r[0], r[1] and float(r[1]), r[2] and float(r[2]))))
