@@ -43,7 +43,7 @@ LENGTH = 50
 GRAM = 24
 HOT = 20_000
 #: Bytes of text in a document shard, of stretches in a suffix array; anchors merged in a task.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 ARRAY_BYTES = 1 << 18
 MERGED_KEYS = 2_000_000
 #: Positions looked at together when anchors are sought; at most 2**24.
@@ -554,7 +554,7 @@ def sharded(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
 def earlier_strings(docs: DataFrame, total: int, hot: int = HOT) -> DataFrame:
     """Which strings of a shard's stretches start in an earlier document."""
     ranges = min(HEADS, max(1, -(-total // (MERGED_KEYS * 12))))
-    buckets = max(1, -(-total // (2 * SHARD_BYTES)))
+    buckets = max(1, -(-total // SHARD_BYTES))
     keys = docs.groupBy("shard").applyInArrow(lambda k, t: send_keys(k, t, ranges), KEYS)
     # Not settled: one plan shuffles the documents once and uses that exchange three times.
     replies = keys.groupBy("range").applyInArrow(lambda t: merge_keys(t, hot), REPLY)
