@@ -4,16 +4,19 @@ but (features x classes) parameters."""
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowquarry.functions.features import computed_once, quoted, title_of
-from flowquarry.functions.hashing import fast_unit
+from flowquarry.functions.features import quoted, title_of
+from flowquarry.functions.hashing import WORD
 from flowquarry.operators.profiles import PrototypeModel, Scaler
 
 # Message wording and thresholds of the two-audience explanation.
@@ -175,7 +178,49 @@ def dual_messages(description: Column) -> dict[str, Column]:
     }
 
 
-# --- sampled Shapley for any scorer ------------------------------------------------
+# --- Shapley values for any scorer ---------------------------------------------------
+
+
+def exact_shapley(
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    background: dict[str, float],
+    score: Callable[[np.ndarray], np.ndarray],
+    groups: Sequence[Sequence[str]] | None = None,
+) -> DataFrame:
+    """(key, part, phi) over all 2^parts coalitions; the parts of a row add up to
+    score(row) - score(background). A row with a missing feature has null phi.
+
+    ``score`` turns a matrix of rows x features into scores. All coalitions of an Arrow
+    batch are scored in place, so there is no shuffle. The work doubles with each part:
+    beyond about a dozen, group them or use :func:`sampled_shapley`.
+    """
+    parts = [list(g) for g in (groups or [[f] for f in features])]
+    n = len(parts)
+    columns = [[list(features).index(f) for f in g] for g in parts]
+    point = np.array([background[f] for f in features])
+
+    def values(*series: pd.Series) -> pd.DataFrame:
+        rows = np.column_stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
+        phi = np.zeros((len(rows), n))
+        for mask in range(1 << n):
+            mixed = np.tile(point, (len(rows), 1))
+            for i, places in enumerate(columns):
+                if mask >> i & 1:
+                    mixed[:, places] = rows[:, places]
+            v = score(mixed)
+            for i in range(n):
+                # The score counts for a part that is in the coalition, else against it.
+                weight = 1.0 / (n * math.comb(n - 1, (mask & ~(1 << i)).bit_count()))
+                phi[:, i] += weight * v if mask >> i & 1 else -weight * v
+        phi[np.isnan(phi).any(axis=1)] = np.nan
+        return pd.DataFrame({f"p{i}": phi[:, i] for i in range(n)})
+
+    schema = ", ".join(f"p{i} double" for i in range(n))
+    scored = df.select(key, F.pandas_udf(values, schema)(*[quoted(f).cast("double") for f in features]).alias("_phi"))
+    entries = [F.struct(F.lit("+".join(g)).alias("part"), F.col(f"_phi.p{i}").alias("phi")) for i, g in enumerate(parts)]
+    return scored.select(key, F.inline(F.array(*entries)))
 
 
 def sampled_shapley(
@@ -184,7 +229,7 @@ def sampled_shapley(
     features: Sequence[str],
     background: dict[str, float],
     score: Callable[[DataFrame], DataFrame],
-    permutations: int = 4,
+    permutations: int = 100,
     groups: Sequence[Sequence[str]] | None = None,
     seed: int = 42,
 ) -> DataFrame:
@@ -193,7 +238,8 @@ def sampled_shapley(
 
     ``score`` adds a ``score`` column to rows of features. Each row is expanded to its
     coalitions in the same task, so the sums per key combine before the shuffle. The
-    sampled permutations are shared by all rows.
+    sampled permutations are shared by all rows. Use :func:`exact_shapley` where the
+    coalitions can be counted.
     """
     parts = [list(g) for g in (groups or [[f] for f in features])]
     n = len(parts)
@@ -288,37 +334,67 @@ def anchor_rules(
 
 # --- counterfactuals -------------------------------------------------------------------
 
+# The walk to a prototype goes this share of the rest of the way beyond the crossing.
+OVERSHOOT = 0.01
+
 
 def random_counterfactuals(
     df: DataFrame, key: str, model: PrototypeModel, tries: int = 8, wanted: str = "Benign"
 ) -> DataFrame:
-    """For rows not predicted ``wanted``: the nearest of ``tries`` hash-perturbed copies
-    that is. Tries combine to one small row per key before the shuffle.
+    """For rows not predicted ``wanted``: the nearest changed row that is, among ``tries``
+    hash-drawn perturbations of up to two spreads per feature and the point just beyond the
+    crossing on the straight way to the ``wanted`` prototype (try -1).
+
+    Along that way the distances to two prototypes differ by something linear, so the
+    crossing is a closed form. It exists for every row whose values are finite, unless
+    another prototype coincides with the wanted one. Each row is settled within its Arrow
+    batch, with no shuffle.
 
-    Adds ``counterfactual``: {distance, try, features...}, null where every try failed.
+    Adds ``counterfactual``: {distance, try, features...}; null only without a crossing.
     """
     features = model.scaler.features
-    stds = [s or 1.0 for s in model.scaler.stds]
+    n = len(features)
+    words = -(-n // 4)
+    means, stds = np.array(model.scaler.means), np.array([s or 1.0 for s in model.scaler.stds])
     target = model.classes.index(wanted)
-
-    def move(i: int, attempt: Column) -> Column:
-        return fast_unit(F.col(key), attempt, F.lit(i)) * 4.0 - 2.0
-
-    scaled = [(quoted(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(features, model.scaler.means, stds)]
-    start = df.select(key, *[x.alias(f"_x{i}") for i, x in enumerate(scaled)])
-    tried = start.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    tried = computed_once(tried, {f"_m{i}": move(i, F.col("_try")) for i in range(len(features))})
-    gaps = []
-    for centre in model.centres:
-        steps = [F.col(f"_x{i}") + F.col(f"_m{i}") - F.lit(c) for i, c in enumerate(centre)]
-        gaps.append(sum([s * s for s in steps[1:]], steps[0] * steps[0]))
-    moves = [F.col(f"_m{i}") for i in range(len(features))]
-    hit = gaps[target] < F.least(*[g for k, g in enumerate(gaps) if k != target])
-    tried = tried.filter(hit).select(key, "_try", F.sqrt(sum([m * m for m in moves[1:]], moves[0] * moves[0])).alias("_far"))
-    # Only the number and distance of each row's best try are kept; the try itself is
-    # drawn again from them.
-    best = tried.groupBy(key).agg(F.min_by("_try", "_far").alias("_try"), F.min("_far").alias("_far"))
-    moved = [(quoted(f) + move(i, F.col("_try")) * F.lit(s)).alias(f) for i, (f, s) in enumerate(zip(features, stds))]
-    record = F.struct(F.col("_far").alias("distance"), F.col("_try").alias("try"), *moved)
-    found = df.join(best, key, "left")
-    return found.withColumn("counterfactual", F.when(F.col("_far").isNotNull(), record)).drop("_try", "_far")
+    centre = np.array(model.centres[target])
+    others = np.array([c for k, c in enumerate(model.centres) if k != target])
+
+    def beyond(points: np.ndarray) -> np.ndarray:
+        """How much further each other prototype is than the wanted one."""
+        near = ((points - centre) ** 2).sum(axis=1)
+        return np.column_stack([((points - c) ** 2).sum(axis=1) - near for c in others])
+
+    def nearest(draws: pd.Series, *series: pd.Series) -> pd.DataFrame:
+        raw = np.column_stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
+        x = (raw - means) / stds
+        # Sixteen bytes of digest are four numbers; the rest of the last block is unused.
+        units = np.frombuffer(bytes.fromhex("".join(draws)), dtype=">u4") / float(WORD)
+        moves = (units * 4.0 - 2.0).reshape(len(x), tries, words * 4)[:, :, :n]
+        # The crossing with each other prototype, as a share of the way.
+        here = beyond(x)
+        there = ((others - centre) ** 2).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = np.where(here <= 0, -here / (there - here), 0.0).max(axis=1, initial=0.0)
+        reached = at < 1.0
+        at = at + (1.0 - at) * OVERSHOOT
+        best = at[:, None] * (centre - x)
+        far = np.where(reached, np.sqrt((best**2).sum(axis=1)), np.inf)
+        chosen = np.where(reached, -1, -2)
+        for t in range(tries):
+            step = moves[:, t]
+            length = np.sqrt((step**2).sum(axis=1))
+            hit = (beyond(x + step) > 0).all(axis=1) & (length < far)
+            far, chosen = np.where(hit, length, far), np.where(hit, t, chosen)
+            best = np.where(hit[:, None], step, best)
+        moved = np.where((chosen > -2)[:, None], raw + best * stds, np.nan)
+        out = {"far": far, "try": chosen.astype(np.int32)}
+        return pd.DataFrame(out | {f"x{i}": moved[:, i] for i in range(n)})
+
+    blocks = [F.md5(F.concat_ws(":", F.col(key), F.lit(t), F.lit(b)).cast("binary")) for t in range(tries) for b in range(words)]
+    schema = ", ".join(["far double", "try int", *[f"x{i} double" for i in range(n)]])
+    settled = F.pandas_udf(nearest, schema)(F.concat(*blocks), *[quoted(f).cast("double") for f in features])
+    found = F.struct(
+        F.col("_best.far").alias("distance"), F.col("_best.try").alias("try"), *[F.col(f"_best.x{i}").alias(f) for i, f in enumerate(features)]
+    )
+    return df.withColumn("_best", settled).withColumn("counterfactual", F.when(F.col("_best.try") > -2, found)).drop("_best")

@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,14 @@ class PrototypeModel:
             result.append(total)
         return result
 
+    def probability(self, rows: np.ndarray, name: str) -> np.ndarray:
+        """The probability of one class for a matrix of rows x features."""
+        scaled = (rows - np.array(self.scaler.means)) / np.array([s or 1.0 for s in self.scaler.stds])
+        near = ((scaled - np.array(self.centres[self.classes.index(name)])) ** 2).sum(axis=1)
+        with np.errstate(over="ignore"):
+            odds = sum(np.exp(near - ((scaled - np.array(c)) ** 2).sum(axis=1)) for c in self.centres)
+        return 1.0 / odds
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``distances`` and ``probabilities`` (class order), ``predicted``,
         ``confidence`` and ``distance`` of the winner."""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import functions as F
 
 from flowquarry.functions.features import quoted
+from flowquarry.functions.hashing import hash_word_sql
+from flowquarry.functions.labels import CLASSES
 from flowquarry.functions.numeric import round6
 from flowquarry.operators import explain as X
 from flowquarry.operators import profiles as P
 from flowquarry.operators.cleaning import impact_value
-from flowquarry.plans.profiling import IMPORTANCE_SQL, NAMES, SCORED, importance_table
+from flowquarry.plans.profiling import IMPORTANCE_SQL, NAMES, SCORED, SCORED_SQL, importance_table
 from flowquarry.plans.registry import query
 from flowquarry.sources import tables as S
 from flowquarry.sources.artifacts import FEATURE_DESCRIPTIONS
@@ -139,31 +143,80 @@ def _background(df):
     return {f: row[f"m{i}"] for i, f in enumerate(SCORED)}
 
 
-def _attack_score(model):
-    benign = model.classes.index("Benign")
-    return lambda rows: model.transform(rows).withColumn("score", 1.0 - F.col("probabilities")[benign])
+def _shapley(spark, sf_dir, groups=None):
+    df = S.flows(spark, sf_dir)
+    model = P.fit_prototypes(df, SCORED)
+    phi = X.exact_shapley(df, "flow_id", SCORED, _background(df), lambda rows: 1.0 - model.probability(rows, "Benign"), groups)
+    return phi.select("flow_id", "part", round6(F.col("phi")).alias("phi"))
+
+
+def _shapley_sql(parts):
+    """Every coalition of the parts as a column; the background is the Benign prototype."""
+    n = len(parts)
+    centres = ", ".join(f"max(CASE WHEN c = '{c}' THEN c_{a} END) AS {a}_{c}" for c in CLASSES for a in NAMES.values())
 
+    def score(mask):
+        chosen = {a: a if any(mask >> i & 1 and f in g for i, g in enumerate(parts)) else f"{a}_Benign" for f, a in NAMES.items()}
+        far = {c: " + ".join(f"({y} - {a}_{c}) ^ 2" for a, y in chosen.items()) for c in CLASSES}
+        return f"1 - 1 / ({' + '.join(f'exp(({far["Benign"]}) - ({far[c]}))' for c in CLASSES)}) AS v{mask}"
 
-@query()
+    rows = []
+    for i, g in enumerate(parts):
+        rest = [m for m in range(1 << n) if not m >> i & 1]
+        phi = " + ".join(f"(v{m | 1 << i} - v{m}) / {n * comb(n - 1, m.bit_count())}" for m in rest)
+        rows.append(f"SELECT flow_id, '{'+'.join(g)}' AS part, round({phi}, 6) + 0.0 AS phi FROM v")
+    return f"""WITH {SCORED_SQL}, w AS (SELECT {centres} FROM proto),
+  v AS (SELECT flow_id, {", ".join(score(m) for m in range(1 << n))} FROM scaled, w) {" UNION ALL ".join(rows)}"""
+
+
+@query(_shapley_sql([[f] for f in SCORED]))
 def sampled_shapley(spark, sf_dir):
-    df = S.flows(spark, sf_dir)
-    model = P.fit_prototypes(df, SCORED)
-    return X.sampled_shapley(df, "flow_id", SCORED, _background(df), _attack_score(model), permutations=2)
+    """Four features have sixteen coalitions: all are taken instead of a sample."""
+    return _shapley(spark, sf_dir)
+
 
+VOLUME_AND_TIMING = [["Rate", "Tot size"], ["IAT", "Variance"]]
 
-@query()
+
+@query(_shapley_sql(VOLUME_AND_TIMING))
 def grouped_shapley(spark, sf_dir):
-    df = S.flows(spark, sf_dir)
-    model = P.fit_prototypes(df, SCORED)
-    groups = X.correlated_groups(P.correlations(df, SCORED), SCORED, threshold=0.3)
-    return X.sampled_shapley(df, "flow_id", SCORED, _background(df), _attack_score(model), 2, groups)
+    """Named groups; ``correlated_groups`` finds groups where features move together."""
+    return _shapley(spark, sf_dir, VOLUME_AND_TIMING)
+
+
+def _counterfactual_sql(tries=8):
+    attacks = [c for c in CLASSES if c != "Benign"]
+    names = list(NAMES.values())
+    centres = ", ".join(f"max(CASE WHEN c = '{c}' THEN c_{a} END) AS {a}_{c}" for c in CLASSES for a in names)
 
+    def far(point, c):
+        return " + ".join(f"({y} - {a}_{c}) ^ 2" for a, y in zip(names, point))
 
-@query()
+    draws = ", ".join(f"{hash_word_sql('s', i)} / 4294967296::double * 4 - 2 AS m{i}" for i in range(4))
+    hit = " AND ".join(f"{far([f'{a} + m{i}' for i, a in enumerate(names)], 'Benign')} < {far([f'{a} + m{i}' for i, a in enumerate(names)], c)}" for c in attacks)
+    crossing = ", ".join(
+        f"CASE WHEN ({far(names, c)}) <= ({far(names, 'Benign')}) THEN (({far(names, 'Benign')}) - ({far(names, c)})) "
+        f"/ (({far([f'{a}_Benign' for a in names], c)}) + ({far(names, 'Benign')}) - ({far(names, c)})) ELSE 0 END"
+        for c in attacks
+    )
+    return f"""WITH {SCORED_SQL}, w AS (SELECT {centres} FROM proto), a AS (SELECT x.*, w.*, predicted FROM scaled x JOIN scored USING (flow_id), w WHERE predicted <> 'Benign'),
+  d AS (SELECT *, {draws} FROM (SELECT *, concat_ws(':', flow_id, t, 0) AS s FROM a, range({tries}) r(t))),
+  walk AS (SELECT *, at0 + (1 - at0) * {X.OVERSHOOT} AS pos FROM (SELECT *, greatest(0.0, {crossing}) AS at0 FROM a)),
+  cand AS (SELECT flow_id, predicted, t::int AS try, sqrt(m0 ^ 2 + m1 ^ 2 + m2 ^ 2 + m3 ^ 2) AS far, m0, m1 FROM d WHERE {hit}
+    UNION ALL SELECT flow_id, predicted, -1, pos * sqrt({far(names, 'Benign')}), pos * (rate_Benign - rate), pos * (size_Benign - size) FROM walk),
+  best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY far, try) = 1)
+  SELECT flow_id, predicted, round(far, 6) + 0.0 AS distance, try, round(f."Rate" + m0 * s_rate, 2) + 0.0 AS rate, round(f."Tot size" + m1 * s_size, 6) + 0.0 AS size
+  FROM best JOIN flows f USING (flow_id), params"""
+
+
+@query(_counterfactual_sql())
 def counterfactual_random(spark, sf_dir):
     df = S.flows(spark, sf_dir)
     model = P.fit_prototypes(df, SCORED)
     attacks = model.transform(df).filter("predicted <> 'Benign'")
     found = X.random_counterfactuals(attacks, "flow_id", model)
     c = F.col("counterfactual")
-    return found.select("flow_id", "predicted", c["distance"].alias("distance"), c["try"].alias("try"), c["Rate"].alias("rate"), c["Tot size"].alias("size"))
+    return found.select(
+        "flow_id", "predicted", round6(c["distance"]).alias("distance"), c["try"].alias("try"),
+        (F.round(c["Rate"], 2) + F.lit(0.0)).alias("rate"), round6(c["Tot size"]).alias("size"),
+    )

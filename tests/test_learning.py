@@ -1,5 +1,7 @@
 """Neighbours, resampling, explanations and models against brute force and invariants."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -101,13 +103,46 @@ def test_shapley_efficiency(scored, groups):
         assert sums[r["key"]] == pytest.approx(r["score"] - at_zero, abs=1e-9)
 
 
+@pytest.mark.parametrize("groups", [None, [["a", "c"], ["b"]]])
+def test_exact_shapley_is_the_mean_over_all_orders(scored, groups):
+    features = ["a", "b", "c"]
+    model = P.fit_prototypes(scored, features)
+    background = {"a": 0.5, "b": -1.0, "c": 2.0}
+    phi = X.exact_shapley(scored, "key", features, background, lambda rows: model.probability(rows, "Benign"), groups)
+    got = {(r["key"], r["part"]): r["phi"] for r in phi.collect()}
+    parts = groups or [[f] for f in features]
+    probability = lambda row: float(model.probability(np.array([[row[f] for f in features]]), "Benign")[0])
+    for row in scored.select("key", *features).limit(20).collect():
+        expected = dict.fromkeys(range(len(parts)), 0.0)
+        orders = list(itertools.permutations(range(len(parts))))
+        for order in orders:
+            mixed = dict(background)
+            for i in order:
+                before = probability(mixed)
+                mixed |= {f: row[f] for f in parts[i]}
+                expected[i] += (probability(mixed) - before) / len(orders)
+        for i, g in enumerate(parts):
+            assert got[row["key"], "+".join(g)] == pytest.approx(expected[i], abs=1e-9)
+
+
+def test_one_row_explanations_do_not_shuffle(scored):
+    features = ["a", "b", "c"]
+    model = P.fit_prototypes(scored, features)
+    phi = X.exact_shapley(scored, "key", features, dict.fromkeys(features, 0.0), lambda rows: model.probability(rows, "Benign"))
+    found = X.random_counterfactuals(scored, "key", model)
+    own = scored._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    for df in (phi, found):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == own
+
+
 def test_counterfactuals_really_are_benign(scored):
     features = ["a", "b", "c"]
     model = P.fit_prototypes(scored, features)
     attacks = model.transform(scored).filter("predicted <> 'Benign'").drop("distances", "probabilities", "distance", "confidence")
     found = X.random_counterfactuals(attacks, "key", model, tries=32)
     assert found.count() == attacks.count()
-    moved = found.filter("counterfactual is not null").select("key", "label", *[F.col(f"counterfactual.{f}").alias(f) for f in features])
+    assert found.filter("counterfactual is null").count() == 0
+    moved = found.select("key", "label", *[F.col(f"counterfactual.{f}").alias(f) for f in features])
     assert moved.count() > 0
     assert {r["predicted"] for r in model.transform(moved).collect()} == {"Benign"}
 
