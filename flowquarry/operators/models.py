@@ -73,6 +73,26 @@ def train_classifier(
     return fitted
 
 
+def choose_classifier(
+    train: DataFrame, val: DataFrame, label: str, numeric: Sequence[str], kinds: Sequence[str] = ("logistic", "tree")
+) -> tuple[PipelineModel, str, float]:
+    """The model of the kind with the best balanced accuracy on ``val``, its kind and that
+    accuracy; the kind named first wins a tie."""
+    best = None
+    for kind in kinds:
+        model = train_classifier(train, label, numeric, kind=kind)
+        reached = mean_recall(score(model, val), label)
+        if best is None or reached > best[2]:
+            best = model, kind, reached
+    return best
+
+
+def mean_recall(scored: DataFrame, label: str) -> float:
+    """Balanced accuracy: the mean over classes of the share predicted right."""
+    right = (F.col("predicted") == F.col(label)).cast("double")
+    return scored.groupBy(label).agg(F.avg(right).alias("recall")).agg(F.coalesce(F.avg("recall"), F.lit(0.0))).first()[0]
+
+
 def train_perceptron(train: DataFrame, label: str, numeric: Sequence[str], hidden: Sequence[int] = (16,)) -> PipelineModel:
     """Small feed-forward net. It takes no weights: balance the classes beforehand."""
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(train)
@@ -148,9 +168,12 @@ def subset_merit(mask: int, relevance: Sequence[float], overlap: Sequence[Sequen
     return k * told / math.sqrt(k + k * (k - 1) * shared)
 
 
-def ga_select(relevance: DataFrame, correlations: DataFrame, features: Sequence[str], seed: int = 42, size_cost: float = 0.0) -> tuple[list[str], float]:
+def ga_select(
+    relevance: DataFrame, correlations: DataFrame, features: Sequence[str], seed: int = 42, size_cost: float = 0.0, finalists: int = 1
+) -> list[tuple[list[str], float]]:
     """Feature subset by evolutionary search. Spark has reduced the data to one relevance
-    per feature and one correlation per pair; the search sees only those numbers."""
+    per feature and one correlation per pair; the search sees only those numbers. Returns
+    the ``finalists`` best (features, merit) met, best first, for :func:`held_out_choice`."""
     told = {r["feature"]: r["mi"] for r in relevance.collect()}
     weight = [math.sqrt(max(0.0, told.get(f, 0.0))) for f in features]
     place = {f: i for i, f in enumerate(features)}
@@ -166,7 +189,7 @@ def ga_select(relevance: DataFrame, correlations: DataFrame, features: Sequence[
     rng = random.Random(seed)
     n = len(features)
     people = [rng.randrange(1, 1 << n) for _ in range(SEARCH["population"])]
-    best = max(people, key=fitness)
+    met = set(people)
     for _ in range(SEARCH["generations"]):
         parents = [max(rng.sample(people, min(SEARCH["tournament"], len(people))), key=fitness) for _ in people]
         children = []
@@ -179,5 +202,19 @@ def ga_select(relevance: DataFrame, correlations: DataFrame, features: Sequence[
         people = [
             c ^ sum(1 << i for i in range(n) if rng.random() < SEARCH["mutation"]) or 1 << rng.randrange(n) for c in children
         ]
-        best = max([best, *people], key=fitness)
-    return [f for i, f in enumerate(features) if best >> i & 1], fitness(best)
+        met.update(people)
+    best = sorted(met, key=lambda mask: (-fitness(mask), mask))[:finalists]
+    return [([f for i, f in enumerate(features) if mask >> i & 1], fitness(mask)) for mask in best]
+
+
+def held_out_choice(
+    train: DataFrame, val: DataFrame, label: str, subsets: Sequence[tuple[list[str], float]]
+) -> tuple[list[str], float, PipelineModel]:
+    """The subset whose tree has the best balanced accuracy on ``val``, its merit and tree."""
+    best = None
+    for chosen, merit in subsets:
+        model = train_classifier(train, label, chosen, kind="tree")
+        reached = mean_recall(score(model, val), label)
+        if best is None or reached > best[0]:
+            best = reached, chosen, merit, model
+    return best[1:]

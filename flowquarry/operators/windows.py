@@ -59,15 +59,22 @@ def row_blocks(df: DataFrame, keys: Sequence[str], first: Column, second: Column
     )
 
 
-def majority_per_key(df: DataFrame, key: str, label: str, order: Sequence[Column]) -> DataFrame:
+def packed_order(ts: Column, row_id: Column) -> Column:
+    """(time, id) as one decimal that sorts alike. Aggregates keep it in a fixed-width
+    buffer and hash, where a struct would make them sort their input. Ids are not negative."""
+    packed = micros(ts).cast("decimal(19,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + row_id.cast("decimal(19,0)")
+    return packed.cast("decimal(38,0)")
+
+
+def majority_per_key(df: DataFrame, key: str, label: str, ts: str, row_id: str) -> DataFrame:
     """Most frequent label per key over any number of rows; first seen wins a tie.
 
     Counting by (key, label) combines before the shuffle, so a hot key is no burden.
     """
-    counts = df.groupBy(key, label).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("seen"))
-    return counts.groupBy(key).agg(F.min_by(F.struct(label, "n"), F.struct(-F.col("n"), F.col("seen"))).alias("m")).select(
-        key, F.col(f"m.{label}").alias("majority_label"), F.col("m.n").alias("n")
-    )
+    seen = packed_order(F.col(ts), F.col(row_id))
+    counts = df.groupBy(key, label).agg(F.count("*").alias("n"), F.min(seen).alias("seen"))
+    best = top_per_group(counts, [key], [F.col("n").desc(), F.col("seen")], 1)
+    return best.select(key, F.col(label).alias("majority_label"), "n")
 
 
 def latest(df: DataFrame, key: str, values: Sequence[str], order: Sequence[Column]) -> DataFrame:

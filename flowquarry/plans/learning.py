@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from flowquarry.functions.features import quoted
 from flowquarry.functions.numeric import round6
 from flowquarry.operators import evaluation as E
 from flowquarry.operators import models as M
 from flowquarry.operators import profiles as P
 from flowquarry.operators.scoring import Rule, Test, apply_rules as rule_labels, cascade
 from flowquarry.operators.splits import stratified_split as split_rows
-from flowquarry.functions.hashing import hash_word
 from flowquarry.plans.profiling import NAMES, SCORED
 from flowquarry.plans.registry import query
 from flowquarry.sources import tables as S
 
-PACKET_FEATURES = ["rate", "confidence", "hour"]
-
 _PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
@@ -34,54 +32,55 @@ def feature_pipeline(spark, sf_dir):
     )
 
 
-def labelled_packets(spark, sf_dir):
-    """Packets with features, class and a 70/15/15 split."""
-    df = S.packets(spark, sf_dir).select(
-        "packet_id", F.col("truth").alias("label"), "rate", "confidence", F.hour("ts").cast("double").alias("hour")
-    )
-    order = [hash_word(F.col("packet_id"), 0), hash_word(F.col("packet_id"), 1)]
-    return split_rows(df, "label", order, {"train": 0.70, "val": 0.15, "test": 0.15})
+def labelled_flows(spark, sf_dir):
+    """Flows with their features, class and a 70/15/15 split. No feature is made from the class."""
+    df = S.flows(spark, sf_dir).select("flow_id", "label", *[quoted(f) for f in S.FEATURES])
+    return split_rows(df, "label", S.flow_words(), {"train": 0.70, "val": 0.15, "test": 0.15})
 
 
-def _trained(spark, sf_dir, kind):
-    df = labelled_packets(spark, sf_dir)
-    train = df.filter("split = 'train'").persist()
+def _halves(df):
+    return df.filter("split = 'train'").persist(), df.filter("split = 'val'").persist()
+
+
+def _chosen(df):
+    """The best kind of classifier on the validation rows, trained on the training rows."""
+    train, val = _halves(df)
     try:
-        model = M.train_classifier(train, "label", PACKET_FEATURES, kind=kind)
+        return M.choose_classifier(train, val, "label", S.FEATURES)[0]
     finally:
         train.unpersist()
-    return df, model
+        val.unpersist()
 
 
 @query()
 def train_classifier(spark, sf_dir):
-    """Report on the held-out test split of the class-weighted model."""
-    df, model = _trained(spark, sf_dir, "logistic")
-    return E.classification_report(M.score(model, df.filter("split = 'test'")), truth="label")
+    """Report on the held-out test split of the model chosen on the validation split."""
+    df = labelled_flows(spark, sf_dir)
+    return E.classification_report(M.score(_chosen(df), df.filter("split = 'test'")), truth="label")
 
 
 @query()
 def train_binary(spark, sf_dir):
-    df = labelled_packets(spark, sf_dir).withColumn("label", F.when(F.col("label") == "Benign", "Benign").otherwise("Attack"))
-    train = df.filter("split = 'train'").persist()
-    try:
-        model = M.train_classifier(train, "label", PACKET_FEATURES, kind="tree")
-    finally:
-        train.unpersist()
-    return E.classification_report(M.score(model, df.filter("split = 'test'")), truth="label")
+    df = labelled_flows(spark, sf_dir).withColumn("label", F.when(F.col("label") == "Benign", "Benign").otherwise("Attack"))
+    return E.classification_report(M.score(_chosen(df), df.filter("split = 'test'")), truth="label")
 
 
 @query()
 def score_model(spark, sf_dir):
-    df, model = _trained(spark, sf_dir, "tree")
-    return M.score(model, df).select("packet_id", "label", "predicted", round6(F.col("confidence")).alias("confidence"))
+    df = labelled_flows(spark, sf_dir)
+    train = df.filter("split = 'train'").persist()
+    try:
+        model = M.train_classifier(train, "label", S.FEATURES, kind="tree")
+    finally:
+        train.unpersist()
+    return M.score(model, df).select("flow_id", "label", "predicted", round6(F.col("confidence")).alias("confidence"))
 
 
 def _rules(spark, sf_dir):
-    df = labelled_packets(spark, sf_dir)
+    df = labelled_flows(spark, sf_dir)
     train = df.filter("split = 'train'")
-    tree, classes = M.fit_rule_tree(train, "label", PACKET_FEATURES)
-    return df, train, tree, M.extract_rules(tree, PACKET_FEATURES, classes)
+    tree, classes = M.fit_rule_tree(train, "label", S.FEATURES)
+    return df, train, tree, M.extract_rules(tree, S.FEATURES, classes)
 
 
 @query()
@@ -108,7 +107,7 @@ def extract_rules(spark, sf_dir):
 @query()
 def tree_importance(spark, sf_dir):
     _, _, tree, _ = _rules(spark, sf_dir)
-    return spark.createDataFrame(M.tree_importances(tree, PACKET_FEATURES), "feature string, importance double")
+    return spark.createDataFrame(M.tree_importances(tree, S.FEATURES), "feature string, importance double")
 
 
 _SAMPLE_RULES = [
@@ -139,14 +138,14 @@ def cascade_predict(spark, sf_dir):
 
 @query()
 def ga_select(spark, sf_dir):
-    """The chosen subset, its merit, and the held-out accuracy of a tree on it."""
-    df = labelled_packets(spark, sf_dir).join(S.packets(spark, sf_dir).select("packet_id", F.col("device_id").cast("double").alias("device")), "packet_id")
-    features = [*PACKET_FEATURES, "device"]
-    train = df.filter("split = 'train'").persist()
+    """The subset chosen on the validation rows, its merit, and its tree's test accuracy."""
+    df = labelled_flows(spark, sf_dir)
+    train, val = _halves(df)
     try:
-        chosen, merit = M.ga_select(P.mutual_information(train, features), P.correlations(train, features), features)
-        model = M.train_classifier(train, "label", chosen, kind="tree")
+        finalists = M.ga_select(P.mutual_information(train, S.FEATURES), P.correlations(train, S.FEATURES), S.FEATURES, finalists=3)
+        chosen, merit, model = M.held_out_choice(train, val, "label", finalists)
     finally:
         train.unpersist()
+        val.unpersist()
     right = M.score(model, df.filter("split = 'test'")).agg(F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
     return right.select(F.lit(",".join(chosen)).alias("features"), F.lit(merit).alias("merit"), "accuracy")

@@ -70,7 +70,7 @@ def row_blocks(spark, sf_dir):
 @query(f"""WITH {S.PACKETS_SQL}, v AS (SELECT device_id, truth, count(*) AS n, min((ts, packet_id)) AS seen FROM packets GROUP BY ALL)
   SELECT device_id, truth AS majority_label, n FROM v QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY n DESC, seen) = 1""")
 def majority_label(spark, sf_dir):
-    return W.majority_per_key(S.packets(spark, sf_dir), "device_id", "truth", [F.col("ts"), F.col("packet_id")])
+    return W.majority_per_key(S.packets(spark, sf_dir), "device_id", "truth", "ts", "packet_id")
 
 
 @query(f"""WITH {S.PACKETS_SQL} SELECT device_id, CASE WHEN predicted <> 'Benign' AND confidence > 0.5 THEN 'ATTACK' ELSE 'SAFE' END AS status, confidence AS last_risk_score, packet_id

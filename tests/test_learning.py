@@ -168,6 +168,21 @@ def test_models_beat_the_majority_and_round_trip(spark, scored, tmp_path):
     assert a == M.score(again, scored).select("key", "confidence").orderBy("key").collect()
 
 
+def test_choice_by_held_out_rows(scored):
+    train, val = scored.filter("key % 2 = 0"), scored.filter("key % 2 = 1")
+    model, kind, reached = M.choose_classifier(train, val, "label", ["a", "b", "c"], kinds=("logistic", "tree"))
+    single = {k: M.mean_recall(M.score(M.train_classifier(train, "label", ["a", "b", "c"], kind=k), val), "label") for k in ("logistic", "tree")}
+    assert reached == pytest.approx(max(single.values())) == pytest.approx(single[kind])
+    assert M.mean_recall(M.score(model, val), "label") == pytest.approx(reached)
+    told, overlap = P.mutual_information(train, ["a", "b", "c"]), P.correlations(train, ["a", "b", "c"])
+    finalists = M.ga_select(told, overlap, ["a", "b", "c"], finalists=3)
+    assert len(finalists) == 3 and finalists[0][1] >= finalists[1][1] >= finalists[2][1]
+    chosen, _, tree = M.held_out_choice(train, val, "label", finalists)
+    trees = [M.mean_recall(M.score(M.train_classifier(train, "label", f, kind="tree"), val), "label") for f, _ in finalists]
+    assert M.mean_recall(M.score(tree, val), "label") == pytest.approx(max(trees))
+    assert chosen in [f for f, _ in finalists]
+
+
 def test_perceptron_and_forest(scored):
     net = M.train_perceptron(scored, "label", ["a", "b", "c"], (6,))
     assert M.score(net, scored).filter("predicted = label").count() > 200
@@ -199,7 +214,7 @@ def test_rules_are_the_tree(spark, scored, tmp_path):
 def test_search_finds_the_best_subset(scored):
     features = ["a", "b", "c"]
     told, overlap = P.mutual_information(scored, features), P.correlations(scored, features)
-    _, merit = M.ga_select(told, overlap, features)
+    ((_, merit),) = M.ga_select(told, overlap, features)
     weight = [next(r["mi"] for r in told.collect() if r["feature"] == f) ** 0.5 for f in features]
     table = [[0.0] * 3 for _ in features]
     for r in overlap.collect():

@@ -142,3 +142,20 @@ def test_splits_by_day(spark):
     for label in "01":
         train, val, test = (days[label, s] for s in ("train", "val", "test"))
         assert train[0] == int(label) and test[1] == 8 + int(label) and train[1] <= val[0] and val[1] <= test[0]
+
+
+def test_latest_and_majority_do_not_sort_their_input(spark):
+    from flowquarry.operators import windows as W
+
+    df = spark.range(1000).selectExpr("id % 7 as k", "id % 3 as v", "timestamp_seconds(id) as ts", "id")
+    majority = W.majority_per_key(df, "k", "v", "ts", "id")
+    latest = W.latest(df, "k", ["v"], [F.col("ts"), F.col("id")])
+    for plan in (majority, latest):
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    # Every value is seen 47 or 48 times per key; the first seen wins a tie.
+    rows = df.collect()
+    for r in majority.collect():
+        own = [x for x in rows if x["k"] == r["k"]]
+        count = {v: sum(x["v"] == v for x in own) for v in range(3)}
+        first = {v: min(x["id"] for x in own if x["v"] == v) for v in range(3)}
+        assert r["majority_label"] == min(range(3), key=lambda v: (-count[v], first[v])) and r["n"] == max(count.values())
