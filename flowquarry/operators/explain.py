@@ -292,7 +292,8 @@ def anchor_rules(
     precision: float = 0.85, bins: int = 16,
 ) -> DataFrame:
     """Predicates "feature in bin" that hold one class with the wanted precision, and
-    pairs of predicates built from those that do not reach it alone.
+    pairs of predicates built from those that do not reach it alone. ``label`` is the class
+    to explain: the prediction, for rules that say what the model does.
 
     Singles and pairs are counted in one map-side-combined aggregation; the count table
     has at most (predicates^2 x classes) rows.
@@ -306,16 +307,15 @@ def anchor_rules(
     nothing = (F.lit(None).cast("string"), F.lit(None).cast("int"))
 
     def predicate(a, b=None):
-        second = nothing if b is None else (F.lit(b), F.col(f"_b_{b}"))
-        return F.struct(F.lit(a).alias("f1"), F.col(f"_b_{a}").alias("b1"), second[0].alias("f2"), second[1].alias("b2"))
+        second = nothing if b is None else (F.lit(b), quoted(f"_b_{b}"))
+        return F.struct(F.lit(a).alias("f1"), quoted(f"_b_{a}").alias("b1"), second[0].alias("f2"), second[1].alias("b2"))
 
     binned = df.select(F.col(label).alias("label"), *[c.alias(f"_b_{f}") for f, c in bin_of.items()])
     candidates = F.array(*[predicate(f) for f in features], *[predicate(a, b) for a, b in combinations(features, 2)])
-    cube = binned.groupBy("label", *[f"_b_{f}" for f in features]).agg(F.count("*").alias("c"))
     counts = (
-        cube.select("label", "c", F.explode(candidates).alias("p"))
+        binned.select("label", F.explode(candidates).alias("p"))
         .groupBy("p.f1", "p.b1", "p.f2", "p.b2", "label")
-        .agg(F.sum("c").alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     covered = F.sum("n").over(Window.partitionBy("f1", "b1", "f2", "b2"))
     total = df.agg(F.count("*")).scalar()

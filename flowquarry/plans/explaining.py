@@ -112,29 +112,33 @@ def dual_explanation(spark, sf_dir):
     return _deviating(spark, sf_dir).select("flow_id", *[c.alias(n) for n, c in texts.items()])
 
 
-ANCHOR_SQL = (
-    S.PACKETS_SQL
-    + """, b AS (SELECT truth, least(floor((rate - (SELECT min(rate) FROM packets)) / ((SELECT max(rate) FROM packets) - (SELECT min(rate) FROM packets)) * 16), 15)::int AS rate,
-    least(floor((confidence - (SELECT min(confidence) FROM packets)) / ((SELECT max(confidence) FROM packets) - (SELECT min(confidence) FROM packets)) * 16), 15)::int AS confidence,
-    least(floor(extract(hour FROM ts)::double / 23 * 16), 15)::int AS hour FROM packets),
-cand AS (SELECT 'rate' AS f1, rate AS b1, NULL AS f2, NULL::int AS b2, truth FROM b UNION ALL SELECT 'confidence', confidence, NULL, NULL, truth FROM b
-  UNION ALL SELECT 'hour', hour, NULL, NULL, truth FROM b UNION ALL SELECT 'rate', rate, 'confidence', confidence, truth FROM b
-  UNION ALL SELECT 'rate', rate, 'hour', hour, truth FROM b UNION ALL SELECT 'confidence', confidence, 'hour', hour, truth FROM b),
-n AS (SELECT f1, b1, f2, b2, truth, count(*) AS n FROM cand GROUP BY ALL),
-s AS (SELECT *, sum(n) OVER (PARTITION BY f1, b1, f2, b2) AS c FROM n),
-ok AS (SELECT *, n / c::double AS precision, c / (SELECT count(*) FROM packets)::double AS coverage FROM s WHERE n / c::double >= 0.85)"""
-)
+def _anchor_sql():
+    bins = ", ".join(
+        f"""least(floor(("{f}" - min("{f}") OVER ()) / (max("{f}") OVER () - min("{f}") OVER ()) * 16), 15)::int AS {a}"""
+        for f, a in NAMES.items()
+    )
+    singles = [f"SELECT '{f}' AS f1, {a} AS b1, NULL AS f2, NULL::int AS b2, predicted FROM b" for f, a in NAMES.items()]
+    pairs = [
+        f"SELECT '{f}', {NAMES[f]}, '{g}', {NAMES[g]}, predicted FROM b" for i, f in enumerate(SCORED) for g in SCORED[i + 1 :]
+    ]
+    return f"""WITH {SCORED_SQL}, b AS (SELECT predicted, {bins} FROM flows JOIN scored USING (flow_id)),
+  cand AS ({" UNION ALL ".join(singles + pairs)}),
+  n AS (SELECT f1, b1, f2, b2, predicted, count(*) AS n FROM cand GROUP BY ALL),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY f1, b1, f2, b2) AS c FROM n),
+  ok AS (SELECT *, n / c::double AS precision, c / (SELECT count(*) FROM flows)::double AS coverage FROM s WHERE n / c::double >= 0.85)
+  SELECT f1, b1, f2, b2, predicted AS label, round(precision, 6) AS precision, round(coverage, 6) AS coverage FROM ok
+  WHERE f2 IS NULL OR (NOT EXISTS (SELECT 1 FROM ok o WHERE o.f2 IS NULL AND o.f1 = ok.f1 AND o.b1 = ok.b1)
+    AND NOT EXISTS (SELECT 1 FROM ok o WHERE o.f2 IS NULL AND o.f1 = ok.f2 AND o.b1 = ok.b2))"""
 
 
-@query(f"""WITH {ANCHOR_SQL} SELECT f1, b1, f2, b2, truth AS label, round(precision, 6) AS precision, round(coverage, 6) AS coverage FROM ok
-  WHERE f2 IS NULL OR (NOT EXISTS (SELECT 1 FROM ok o WHERE o.f2 IS NULL AND o.f1 = ok.f1 AND o.b1 = ok.b1)
-    AND NOT EXISTS (SELECT 1 FROM ok o WHERE o.f2 IS NULL AND o.f1 = ok.f2 AND o.b1 = ok.b2))""")
+@query(_anchor_sql())
 def anchor_rules(spark, sf_dir):
-    df = S.packets(spark, sf_dir).select("truth", "rate", "confidence", F.hour("ts").cast("double").alias("hour"))
-    features = ["rate", "confidence", "hour"]
-    row = df.agg(*[fn(f).alias(f"{n}_{f}") for f in features for n, fn in (("lo", F.min), ("hi", F.max))]).collect()[0]
-    edges = {f: (row[f"lo_{f}"], row[f"hi_{f}"]) for f in features}
-    rules = X.anchor_rules(df, features, edges, "truth")
+    """What the prototypes predict, told by one or two features."""
+    flows = S.flows(spark, sf_dir)
+    scored = P.fit_prototypes(flows, SCORED).transform(flows).select("predicted", *[quoted(f) for f in SCORED])
+    row = flows.agg(*[fn(quoted(f)).alias(f"{n}{i}") for i, f in enumerate(SCORED) for n, fn in (("lo", F.min), ("hi", F.max))]).collect()[0]
+    edges = {f: (row[f"lo{i}"], row[f"hi{i}"]) for i, f in enumerate(SCORED)}
+    rules = X.anchor_rules(scored, SCORED, edges, "predicted")
     return rules.select("f1", "b1", "f2", "b2", "label", round6(F.col("precision")).alias("precision"), round6(F.col("coverage")).alias("coverage"))
 
 
