@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.labels import status_is_attack
+from flowquarry.operators.positions import top_per_group
 
 
-def visible_logs(logs: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, log columns): users of a site see its lines, users without one see only
-    lines without a site. A null-safe key does both cases in one equi join."""
+def visible_logs(logs: DataFrame, users: DataFrame, newest: int = 50) -> DataFrame:
+    """(user_id, log columns): users of a site see its ``newest`` lines, users without one
+    see those without a site. Lines are cut to the newest of each site before they meet
+    the users, and before their shuffle, so neither a busy site nor a large staff
+    multiplies the log. A null-safe key does both cases in one equi join."""
     viewers = users.select(F.col("id").alias("user_id"), F.col("hospital_id").alias("_site"))
-    return viewers.join(logs, F.col("_site").eqNullSafe(F.col("hospital_id"))).drop("_site")
+    recent = top_per_group(logs, ["hospital_id"], [F.col("timestamp").desc(), F.col("id").desc()], newest, "_place").drop("_place")
+    return viewers.join(recent, F.col("_site").eqNullSafe(F.col("hospital_id"))).drop("_site")
 
 
 def logs_of(logs: DataFrame, site: int | None) -> DataFrame:

@@ -14,10 +14,10 @@ from flowquarry.sources import tables as S
 SITES_SQL = f"{S.DEVICES_SQL}, {S.HOSPITALS_SQL}, {S.USERS_SQL}"
 
 
-@query(f"""WITH {S.USERS_SQL}, {S.LOGS_SQL} SELECT u.id AS user_id, l.id AS log_id FROM users u JOIN logs l ON u.hospital_id IS NOT DISTINCT FROM l.hospital_id WHERE l.log_type = 'DANGER' OR l.hospital_id IS NULL""")
+@query(f"""WITH {S.USERS_SQL}, {S.LOGS_SQL}, newest AS (SELECT * FROM logs QUALIFY row_number() OVER (PARTITION BY hospital_id ORDER BY "timestamp" DESC, id DESC) <= 50)
+  SELECT u.id AS user_id, l.id AS log_id FROM users u JOIN newest l ON u.hospital_id IS NOT DISTINCT FROM l.hospital_id""")
 def tenant_logs(spark, sf_dir):
-    logs = S.activity_logs(spark, sf_dir).filter("log_type = 'DANGER' or hospital_id is null")
-    seen = R.visible_logs(logs, S.users(spark, sf_dir))
+    seen = R.visible_logs(S.activity_logs(spark, sf_dir), S.users(spark, sf_dir))
     return seen.select("user_id", F.col("id").alias("log_id"))
 
 
@@ -191,14 +191,14 @@ def route_alerts(spark, sf_dir):
     return A.route(known, S.users(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'error'),
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
   fold AS (SELECT user_id, rn, ts, event_id, ts AS fired_at, true AS fired FROM e WHERE rn = 1
     UNION ALL SELECT e.user_id, e.rn, e.ts, e.event_id, CASE WHEN e.ts >= f.fired_at + INTERVAL 3 DAY THEN e.ts ELSE f.fired_at END, e.ts >= f.fired_at + INTERVAL 3 DAY
       FROM fold f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
   SELECT user_id, event_id, ts FROM fold WHERE fired""")
 def alert_cooldown(spark, sf_dir):
-    errors = S.table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "ts", "event_id")
-    return cooldown(errors, "user_id", "ts", "event_id", "3 days")
+    rows = S.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return cooldown(rows, "user_id", "ts", "event_id", "3 days")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

@@ -123,6 +123,6 @@ def stream_tumbling(spark, sf_dir):
 
 @query(ORACLE["alert_cooldown"])
 def stream_cooldown(spark, sf_dir):
-    errors = X.stream_table(spark, sf_dir, "events").filter("event_type = 'error'").select("user_id", "ts", "event_id")
-    fired = X.cooldown_stream(errors, "user_id", "ts", "event_id", 3 * 86400)
+    rows = X.stream_table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    fired = X.cooldown_stream(rows, "user_id", "ts", "event_id", 3 * 86400)
     return _run(spark, fired.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "cooldown")
