@@ -8,7 +8,9 @@ times its target density. Its integral says how many of its words the run has as
 time t; inverting that gives every document the time at which its words are reached. The
 stream of a source is all its documents in the order of a hash, as often as the target asks:
 a document is in pass e when the words before it, e whole passes included, are below the
-target. The result is range-sorted by the time of the first pass.
+target, and that copy's time is found from the same words before it, so that later passes come
+when the schedule asks for them. Copies are range-sorted by their own times; ``mix`` has one row
+per document with all its copies counted and the time of the first.
 
 No source is handled by one task: hash ranges are summed first, their running sums joined
 back, and only the documents of one range are ordered together.
@@ -88,11 +90,11 @@ def time_of(demand: Column, start: float, end: float) -> Column:
     return (F.sqrt(F.lit(start * start) + 2 * slope * area * demand) - start) / slope
 
 
-def mix(
+def passes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     schedules: tuple[tuple[float, float], ...] = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5)), keep: bool = False,
 ) -> DataFrame:
-    """Sizes, targets, words taken, copies and training position of every document, by position.
+    """Every document with its hash and the training positions of its copies, pass by pass.
 
     ``schedules`` repeat over weights: sources of weight 1 are asked for early, of weight 3
     late. ``keep`` carries the input columns along in one struct ``row``.
@@ -123,25 +125,36 @@ def mix(
     placed = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(known, placed["source"].eqNullSafe(known["_source"]) & (F.col("_range") == F.col("_known")))
     start = F.col("_before") + F.col("_inside")
+    def position(e: int) -> Column:
+        share = F.least(F.try_divide(start + F.col("source_size") * e, F.col("target")), F.lit(1.0))
+        when = F.lit(None).cast("double")
+        for k, (a, b) in reversed(list(enumerate(schedules))):
+            when = F.when((F.col("weight") - 1) % len(schedules) == k, time_of(share, a, b)).otherwise(when)
+        return when
+
     # Pass e takes a document whose middle, after e whole passes, is still wanted.
     middle = start + F.col("size") / 2
-    copies = sum([F.when(middle + F.col("source_size") * e < F.col("target"), 1).otherwise(0) for e in range(most)], F.lit(0)).cast("int")
-    placed = placed.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-    share = F.least(F.try_divide(start, F.col("target")), F.lit(1.0))
-    when = F.lit(None).cast("double")
-    for k, (a, b) in reversed(list(enumerate(schedules))):
-        when = F.when((F.col("weight") - 1) % len(schedules) == k, time_of(share, a, b)).otherwise(when)
-    result = placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
-        F.when(F.col("copies") > 0, when).alias("position"), *(["row"] if keep else []), "_digest",
-    )
+    taken = [F.when((F.col("size") > 0) & (middle + F.col("source_size") * e < F.col("target")), position(e)) for e in range(most)]
+    positions = F.array_compact(F.array(*taken)).alias("positions")
+    return placed.select("doc_id", "size", "source_size", "target", positions, *(["row"] if keep else []), "_digest")
+
+
+def mix(df: DataFrame, **options) -> DataFrame:
+    """Sizes, targets, words taken, copies and first training position of every document, by position.
+
+    Options are those of ``passes``.
+    """
+    copies = F.size("positions")
+    result = passes(df, **options).withColumns({"taken": F.col("size") * copies, "copies": copies, "position": F.get("positions", F.lit(0))})
+    kept = [c for c in result.columns if c == "row"]
+    result = result.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", *kept, "_digest")
     return result.orderBy(F.col("position").asc_nulls_last(), "_digest").drop("_digest")
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The documents the mix takes, as often as it takes them, in the order of their position."""
-    taken = mix(df, keep=True, **options).filter(F.col("copies") > 0)
-    return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+    """The documents the mix takes, as often as it takes them, each copy at its own position."""
+    copies = passes(df, keep=True, **options).select(F.explode("positions").alias("position"), "_digest", "row")
+    return copies.orderBy("position", "_digest").select("row.*")
 
 
 ORACLE_SQL = r"""

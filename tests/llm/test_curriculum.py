@@ -1,5 +1,6 @@
 """The mix against a plain single-machine version."""
 
+import hashlib
 import re
 
 import pytest
@@ -60,6 +61,28 @@ def test_small_sources_stop_at_the_bound(spark):
     assert kept.count() == sum(r.copies for r in got)
 
 
+def test_every_copy_has_its_own_time(spark):
+    rows = [(100 * k + i, "w " * n, s) for k, (s, count, n) in enumerate([("a", 30, 20), ("b", 12, 10), ("c", 25, 8)]) for i in range(count)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    targets = brute_targets(sizes)
+    assert targets["b"] > sizes["b"] and targets["c"] > 2 * sizes["c"]
+    digest = lambda i, t: hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+    want = []
+    for s, (start, end) in zip("abc", ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))):
+        before = 0
+        for e in range(3):
+            for h, i, n in sorted((digest(i, t), i, len(t.split())) for i, t, x in rows if x == s):
+                if before + n / 2 < targets[s]:
+                    share, slope = before / targets[s], end - start
+                    want.append(((share if not slope else ((start * start + 2 * slope * share) ** 0.5 - start) / slope), h, i))
+                before += n
+    got = [r.doc_id for r in m.mixed_documents(df).collect()]
+    assert got == [i for _, _, i in sorted(want)]
+    # The last third of the run still holds the late source, and no copies stand side by side.
+    assert max(p for p, _, i in want if i >= 200) > 0.95 and all(x != y for x, y in zip(got, got[1:]))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.mix(df).count() == 0 and m.mixed_documents(df).count() == 0
