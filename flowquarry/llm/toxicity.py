@@ -6,10 +6,13 @@ The kernel of two words sums, over all subsequences of ``ORDER`` letters they sh
 and the best stretch of its words; the inverse square root of the landmarks' own kernel matrix (Nystroem)
 maps these to the features of a linear support vector machine.
 
-Words are runs of letters after lower-casing, with characters inside a word that are not
-letters left out, single letters in a row joined, and long runs read in overlapping windows;
-every word of a text counts. Only words that share most of a landmark's neighbouring letter
-pairs (allowing two letters between) are measured against it; the others score zero.
+Words are runs of letters after lower-casing. What stands between white space counts joined,
+with characters that are not letters left out, and so does each run of letters in it, alone and
+joined with what follows; single letters in a row are joined. Where words can't be told apart, in
+runs longer than a window and in scripts without spaces, one may begin at every letter; every
+word of a text counts. Only words that share most of a landmark's neighbouring letter
+pairs (allowing two letters between) are measured against it; the others score zero. A word that
+lacks a letter of the landmark, or has two in another order, scores zero, too.
 
 Training reads labelled rows outside the held-out quarter only (crc32 of the id as text, mod
 4, equal to 2), at most ``CLASS_ROWS`` per label by hash of the id, and their texts alone.
@@ -37,7 +40,7 @@ from flowquarry.llm.common import map_rows, settled, table
 ORDER = 3
 DECAY = 0.6
 LANDMARKS = 48
-#: Likeness up to here is that of any two words and counts as none.
+#: Likeness up to here is that of any two words and counts as none, unless all letters are there.
 FLOOR = 0.5
 #: Standard errors by which a landmark's log-odds must exceed zero.
 CERTAINTY = 3.0
@@ -54,13 +57,15 @@ THRESHOLD = 0.3
 HELD_OUT = 2
 #: Stands before the first letter of words and landmarks: stems count where words begin.
 START = "^"
-#: Letters of a window, and of the step between windows of longer runs.
-WINDOW, STEP = 24, 12
+#: Letters of a window with its START, and of the step between windows where words can't be told apart.
+WINDOW, STEP = 24, 1
 #: Words remembered per worker; the memory is emptied when full.
 MEMORY = 1 << 20
 PAIR_BITS = 512
 LETTERS = re.compile(r"[^\W\d_]+")
 OTHERS = re.compile(r"[\W\d_]+")
+#: Thai to Tibetan, Burmese, Khmer, kana, Han: scripts without spaces between words.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 SPACED = re.compile(r"(?<!\S)[^\W\d_](?:\s+[^\W\d_](?!\S)){2,}")
 
 
@@ -69,9 +74,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct words with at least one letter, single letters in a row joined to one more."""
+    """Distinct words: tokens, the letter runs inside them, and single letters in a row joined."""
     low = text.lower()
     found = set(low.split())
+    for token in [w for w in found if not w.isalpha()]:
+        runs = LETTERS.findall(token)
+        joined, at = "".join(runs), 0
+        for run in runs:
+            found.update((run, joined[at : at + WINDOW - 1]))
+            at += len(run)
     found.update(OTHERS.sub("", m.group()) for m in SPACED.finditer(low))
     return found
 
@@ -80,10 +91,29 @@ def letters(word: str) -> str:
     return word if word.isalpha() else OTHERS.sub("", word)
 
 
-def windows(word: str) -> list[str]:
-    if len(word) <= WINDOW:
-        return [word]
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STEP, STEP)]
+def windows(run: str) -> list[str]:
+    """Stretches that begin at every letter, without START."""
+    return [run[i : i + WINDOW - 1] for i in range(0, max(1, len(run) - ORDER + 1), STEP)]
+
+
+def undivided(word: str) -> bool:
+    """Whether words may begin inside a run of letters."""
+    return word.isalpha() and (len(word) >= WINDOW or not word.isascii() and UNSPACED.search(word) is not None)
+
+
+def put_in(word: str, landmark: str) -> int | None:
+    """The fewest letters that stand between those of the landmark, None if one is missing."""
+    least, at = None, word.find(landmark[0])
+    while at >= 0:
+        end = at
+        for ch in landmark[1:]:
+            end = word.find(ch, end + 1)
+            if end < 0:
+                return least
+        gaps = end - at + 1 - len(landmark)
+        least = gaps if least is None else min(least, gaps)
+        at = word.find(landmark[0], at + 1)
+    return least
 
 
 def coded(words: list[str], width: int) -> np.ndarray:
@@ -131,10 +161,11 @@ class Landmarks:
     """Likeness of words to landmark words: the normalised kernels of their best stretch.
 
     Half of it is the kernel of order ``ORDER``, half that of the landmark's whole length,
-    which is the decay to the power of the letters put in, or 0 if one is missing.
+    which is the decay to the power of the letters put in, or 0 if one is missing. Of this the
+    floor is taken off, but where no letter is missing, likeness is the decay at least, however
+    many are put in.
     """
 
-
     def __init__(self, words: list[str]):
         self.words = words
         self.width = max(map(len, words))
@@ -160,7 +191,8 @@ class Landmarks:
             pair += [p] * len(cuts)
             stretch += cuts
         pair = np.array(pair, int)
-        value = np.zeros(len(w))
+        value, gaps = np.zeros(len(w)), [put_in(words[i], self.words[j]) for i, j in zip(w.tolist(), l.tolist())]
+        decayed = np.array([0.0 if g is None else DECAY**g for g in gaps])
         for start in range(0, len(pair), 4096):
             part = pair[start : start + 4096]
             cut = coded(stretch[start : start + 4096], self.width + 2)
@@ -170,7 +202,7 @@ class Landmarks:
                 whole = subsequence_kernel(cut[rows], self.codes[l[part][rows]], int(k)) / DECAY ** (2 * k)
                 like[rows] = (like[rows] + np.minimum(whole, 1.0)) / 2
             np.maximum.at(value, part, like)
-        return w, l, np.maximum(value - FLOOR, 0) / (1 - FLOOR)
+        return w, l, np.maximum(np.maximum(value - FLOOR, 0) / (1 - FLOOR), decayed)
 
     def gram(self) -> np.ndarray:
         k = len(self.words)
@@ -194,8 +226,8 @@ class Describer:
             self.known[word] = None
             plain = letters(word)
             if len(plain) >= ORDER:
-                for piece in windows(START + plain):
-                    pieces.append(piece)
+                for piece in windows(plain) if undivided(word) else [plain[: WINDOW - 1]]:
+                    pieces.append(START + piece)
                     owner.append(word)
         best: dict[str, dict[int, float]] = {}
         for w, l, v in zip(*(a.tolist() for a in self.landmarks.likeness(pieces))):
@@ -319,9 +351,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def work(ids, toxic, bodies):
             out = []
             for k, t in zip(toxic, bodies):
-                plain = {START + letters(w) for w in words_of(t or "")}
+                words = words_of(t or "")
+                plain = {START + letters(w) for w in words}
                 stems = {w[: n + 1] for w in plain for n in STEMS if len(w) > n + 1}
-                out += [(w, k) for w in plain | stems if ORDER + 1 < len(w) <= WINDOW]
+                stems |= {START + p[:n] for w in words if undivided(w) for p in windows(w) for n in (ORDER, *STEMS) if len(p) >= n}
+                out += [(w, k) for w in plain | stems if ORDER < len(w) <= WINDOW]
             return out
 
         return work

@@ -71,3 +71,21 @@ def test_scores_do_not_depend_on_neighbours():
     texts = ["you idiot", "nothing here", "st-upid and idxiot", ""]
     together = m.Describer(landmarks)(texts)
     assert np.array_equal(together, np.vstack([m.Describer(landmarks)([t]) for t in texts]))
+
+
+def test_words_after_signs_and_inside_long_runs():
+    describe = m.Describer(m.Landmarks(["^moron", "^大白痴", "^twit", "^git"]))
+    for text in ("well,moron", "you-moron", "x/moron", "#you_moron", "you,m.o.r.o.n", "you-mo-ron", "moron's", "q" * 60 + "moron" + "z" * 60):
+        assert describe([text])[0, 0] == pytest.approx(1), text
+    assert describe(["这个人真是大白痴吧"])[0, 1] == pytest.approx(1) and describe(["you/git"])[0, 3] == pytest.approx(1)
+    # Every letter put in costs the decay, none the whole likeness.
+    values = [describe(["mo" + "x" * n + "ron"])[0, 0] for n in range(7)]
+    assert all(v >= m.DECAY**n for n, v in enumerate(values)) and values == sorted(values, reverse=True)
+    assert describe(["digit outwits"]).max() <= m.DECAY**2  # words count where they begin, others as letters put in
+
+
+def test_short_words_become_landmarks(spark):
+    docs = [(i, f"{'you git' if i % 2 else 'my friend'} number{'abcdefghij'[i % 10]} word{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]} again") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    landmarks, _ = m.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert "^git" in landmarks.words
