@@ -60,6 +60,27 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert scan(f"password={strong}")[1] == []  # reported once
 
 
+def test_short_and_lower_case_tokens():
+    rng = random.Random(4)
+    lower, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/abcdefghijklmnopqrstuvwxyz"
+    for alphabet, length, least in [(lower + "0123456789", 24, 0.98), (lower + "0123456789", 32, 0.98), (lower + "234567", 24, 0.98), (mixed, 20, 0.94), (mixed, 22, 0.94)]:
+        tokens = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(500)]
+        assert sum(any(x < 12 and y > 14 for x, y, _ in sum(scan(f"see {t} here"), [])) for t in tokens) >= least * len(tokens)
+    for calm in ["internationalisierungsbestrebungen", "aaaabbbb11112222aaaabbbb", "thisIsALongNameInCamelCase"]:
+        assert scan(calm)[1] == []
+
+
+def test_listed_words_hold_back_their_part_only():
+    strong = "Zx9Qw7Lk2Mv8Bn4Rt6Yp1Hs3Df5"
+    for before in ("/sample/", "/example/", "lorem_"):
+        _, more = scan(f"{before}{strong}")
+        assert more and more[0][0] <= len(before) and more[-1][1] == len(before) + len(strong)
+        assert strong not in masked(f"{before}{strong}") and masked(f"{before}{strong}").startswith(before[:-1])
+    assert scan(f"{strong}/sample")[1][0][0] == 0
+    for calm in [f"/sample{strong}", f"a/{strong}example/b", "/sample/some/long/path/of/words/only"]:
+        assert scan(calm)[1] == []
+
+
 def test_masking_and_frames(spark):
     strong = "Zx9Qw7Lk2Mv8Bn4Rt6Yp1Hs3Df5"
     rows = [(1, f"a {strong} b", 9, "x"), (2, None, 0, "y"), (None, "clean " * 4000, 24000, "z"), (1, "password=aaaabbbbcccc", 21, "x"), (1, "password=aaaabbbbcccc", 21, "x"), (4, "", 0, None)]
