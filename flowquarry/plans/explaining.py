@@ -184,10 +184,16 @@ VOLUME_AND_TIMING = [["Rate", "Tot size"], ["IAT", "Variance"]]
 
 @query(_shapley_sql(VOLUME_AND_TIMING))
 def grouped_shapley(spark, sf_dir):
-    """Named groups; ``correlated_groups`` finds groups where features move together."""
+    """Named groups, as the SQL has them; ``correlated_shapley`` finds the groups in the table."""
     return _shapley(spark, sf_dir, VOLUME_AND_TIMING)
 
 
+@query()
+def correlated_shapley(spark, sf_dir):
+    """Groups are the features that move together in the table; the tests hold it against brute force."""
+    return _shapley(spark, sf_dir, X.correlated_groups(P.correlations(S.flows(spark, sf_dir), SCORED), SCORED, threshold=0.3))
+
+
 def _counterfactual_sql(tries=8):
     attacks = [c for c in CLASSES if c != "Benign"]
     names = list(NAMES.values())

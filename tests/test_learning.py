@@ -228,6 +228,31 @@ def test_correlated_groups(spark):
     assert X.correlated_groups(df, ["a", "b", "c"]) == [["a", "b"], ["c"]]
 
 
+def test_shapley_groups_come_from_the_table(spark, monkeypatch):
+    from flowquarry.plans import QUERIES, explaining
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(0, 1, (60, 3))
+    # Rate moves with IAT, against the named groups; the others move alone.
+    rows = [(i, "Benign" if i % 2 else "DDoS", float(x + i % 2), float(y), float(-x - i % 2), float(z)) for i, (x, y, z) in enumerate(base)]
+    flows = spark.createDataFrame(rows, "flow_id long, label string, Rate double, `Tot size` double, IAT double, Variance double")
+    monkeypatch.setattr(explaining.S, "flows", lambda *a: flows)
+    features, parts = explaining.SCORED, [["Rate", "IAT"], ["Tot size"], ["Variance"]]
+    got = {(r["flow_id"], r["part"]): r["phi"] for r in QUERIES["correlated_shapley"](spark, "").collect()}
+    assert len(got) == len(rows) * len(parts) and {p for _, p in got} == {"+".join(g) for g in parts}
+    model = P.fit_prototypes(flows, features)
+    background = {f: float(np.mean([r[2 + i] for r in rows if r[1] == "Benign"])) for i, f in enumerate(features)}
+    score = lambda row: 1.0 - float(model.probability(np.array([[row[f] for f in features]]), "Benign")[0])
+    for row in rows[:10]:
+        for order in (orders := list(itertools.permutations(range(len(parts))))):
+            mixed = dict(background)
+            for i in order:
+                before = score(mixed)
+                mixed |= {f: row[2 + features.index(f)] for f in parts[i]}
+                got[row[0], "+".join(parts[i])] -= (score(mixed) - before) / len(orders)
+        assert all(got[row[0], "+".join(g)] == pytest.approx(0, abs=2e-6) for g in parts)
+
+
 def test_far_outlier_is_scored(spark):
     rows = [(float(i % 10), "a" if i % 10 < 5 else "b") for i in range(10_000)] + [(1e9, "b")]
     df = spark.createDataFrame(rows, "x double, label string")
