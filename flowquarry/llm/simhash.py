@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowquarry.llm.common import map_rows, settled, table
@@ -197,11 +197,16 @@ def closed(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def labelled(prints: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:
+    """(fp, first, label): each fingerprint once, an aggregate of its rows, and its component's smallest fingerprint."""
+    nodes = settled(prints.groupBy("fp").agg(first.alias("first")))
+    labels = closed(links(nodes.select("fp"), nodes.count(), radius))
+    return nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of fingerprinted documents; ``prints`` should be settled."""
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = closed(links(nodes.select("fp"), nodes.count(), radius))
-    named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = labelled(prints, F.min("doc_id"), radius)
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.select("fp", "label").join(smallest, "label").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
@@ -216,17 +221,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each component with all its columns: the one with the smallest id.
 
-    Of rows that repeat this id one stays. Rows without id can't be told apart: they go if
-    every component has an id, and all stay if one has none.
+    Rows are told apart by id and text: an id on unrelated texts stands for each of them. Rows
+    without id come after all others; of rows equal in both, or in id, one stays.
     """
-    prints = settled(fingerprints(df, id_col, text_col, width))
-    found = components(prints, radius)
-    kept = found.filter("doc_id = component_id").select("component_id").distinct()
-    nameless = found.filter("component_id IS NULL").select("fp").distinct()
-    with_id = df.join(kept, df[id_col].cast("long") == kept["component_id"], "left_semi").dropDuplicates([id_col])
-    if nameless.limit(1).count():
-        with_id = with_id.unionByName(df.filter(F.col(id_col).isNull()))
-    return with_id
+    body = F.xxhash64(text_col)
+
+    def make():
+        return lambda ids, texts, digests: [(i, signed(fingerprint(t, width)), d) for i, t, d in zip(ids, texts, digests)]
+
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), text_col, body.alias("digest"))
+    prints = settled(map_rows(source, make, "doc_id long, fp long, digest long"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
+    kept = labelled(prints, least, radius).groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    rows = df.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_digest": body})
+    rows = rows.join(kept, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest")), "left_semi")
+    return rows.dropDuplicates(["_row_id", "_row_digest"]).drop("_row_id", "_row_digest")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,14 @@ def test_frames(spark):
     assert m.near_duplicates(df.limit(0)).count() == 0 and m.representatives(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(300)) for w in ("apple", "pear", "plum", "fig"))
+    rows = [(1, one, "a"), (1, two, "b"), (2, one, "c"), (3, two, "d"), (None, three, "e"), (None, three, "f"), (None, one, "g"), (None, four, "h"), (4, four, "i"), (4, four, "j")]
+    kept = m.representatives(spark.createDataFrame(rows, "doc_id long, text string, name string"))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([(1, one), (1, two), (None, three), (4, four)], key=repr) and kept.columns == ["doc_id", "text", "name"]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     prints = [brute_fingerprint(r.text) for r in docs]
