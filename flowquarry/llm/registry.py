@@ -6,6 +6,7 @@ from flowquarry.llm import (
     dimension_scan,
     histogram_topk,
     html_extract,
+    hyperminhash,
     secrets,
     simhash,
     suffix_dedup,
@@ -15,6 +16,7 @@ from flowquarry.llm import (
 
 MODULES = [
     secrets, byte_bpe, suffix_dedup, html_extract, toxicity, simhash, curriculum, dimension_scan, token_counts, histogram_topk,
+    hyperminhash,
 ]
 
 QUERIES = {m.QUERY.__name__: m.QUERY for m in MODULES}
