@@ -4,6 +4,7 @@ from flowquarry.llm import (
     byte_bpe,
     curriculum,
     dimension_scan,
+    fp_search,
     histogram_topk,
     html_extract,
     hyperminhash,
@@ -12,11 +13,12 @@ from flowquarry.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    whitening,
 )
 
 MODULES = [
     secrets, byte_bpe, suffix_dedup, html_extract, toxicity, simhash, curriculum, dimension_scan, token_counts, histogram_topk,
-    hyperminhash,
+    hyperminhash, whitening, fp_search,
 ]
 
 QUERIES = {m.QUERY.__name__: m.QUERY for m in MODULES}
