@@ -10,12 +10,13 @@ register with probability J. A register is compressed to 16 bits: the count of l
 of its hash and the ten bits after the leading one.
 
 **Bands.** Four compressed registers are a band. At J = 0.8 a pair misses all 40 bands with
-probability 1e-9. Pairs of a band value shared by at most ``CROWD`` nodes are all compared; a
-crowded value compares every node with ``PIVOTS`` of its nodes, which joins up a large group
-by stars. Pairs then pass the estimate of J, corrected for registers that agree by chance,
-and are confirmed on the full sets.
+probability 1e-9. First every node of a band value is compared with one of its nodes, the
+pivot, which joins up a large group by stars. Of the values whose nodes are then still in more
+than one component, those of at most ``CROWD`` nodes compare all pairs from different
+components. Pairs pass the estimate of J, corrected for registers that agree by chance, and
+are confirmed on the full sets.
 
-**The rest of crowded values, exactly.** Nodes of crowded values that the stars left in more
+**The rest of crowded values, exactly.** Nodes of larger values that the stars left in more
 than one component are joined by prefixes: shingles ordered from rare to common, two sets with
 the wanted overlap share one among the first fifth, at places that leave room for the overlap.
 Only nodes of different components are compared, and a shingle whose nodes are all in one
@@ -51,10 +52,8 @@ PERCENT = 80
 REGISTERS = 160
 BAND = 4
 MANTISSA_BITS = 10
-#: Nodes that may share a band value before only stars are compared.
-CROWD = 32
-#: Nodes of a crowded band value that every other one is compared with.
-PIVOTS = 2
+#: Nodes of a band value of which all pairs may be compared.
+CROWD = 16
 #: Pairs estimated this far below the wanted similarity are not confirmed; over seven standard deviations.
 MARGIN = 0.25
 
@@ -263,34 +262,37 @@ def crossing(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct()
 
 
+def torn_values(entries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, node, label, count) of the band values whose nodes are still in several components."""
+    labels = nodes.select("node").join(closed(edges).withColumnRenamed("fp", "node"), "node", "left")
+    named = settled(entries.join(labels.select("node", F.coalesce("label", "node").alias("label")), "node"))
+    torn = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return settled(named.join(torn.select("key"), "key", "left_semi").select("key", "node", "label", "count"))
+
+
 def links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """(a, b): edges whose closure is the closure of all pairs with the wanted similarity."""
-    entries = settled(shared_bands(nodes))
-    shared = entries.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
-    entries = settled(entries.join(shared, "key"))
-    small = entries.filter(F.col("count") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
-    each = small.select(F.posexplode("all").alias("i", "a"), "all")
-    pairs = each.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    crowded = entries.filter(F.col("count") > CROWD)
-    pivot = [F.min(F.struct(F.xxhash64("node", "key", F.lit(p)), "node"))["node"] for p in range(PIVOTS)]
-    pivots = crowded.groupBy("key").agg(F.array(*pivot).alias("pivots"))
-    stars = crowded.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).filter("node <> pivot")
-    pairs = pairs.union(stars.select(F.least("node", "pivot"), F.greatest("node", "pivot"))).distinct()
-    likely = settled(estimated(pairs, nodes, percent))
-
-    hot = settled(crowded.select("key", "node"))
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).union(hot.select("node")).distinct()
-    sets = settled(full_sets(df, text_col, nodes.join(wanted, "node", "left_semi").select("node", "digest"), width))
-    edges = settled(confirmed(likely, sets, percent))
-    if hot.isEmpty():
-        return edges
-    labels = hot.select("node").distinct().join(closed(edges).withColumnRenamed("fp", "node"), "node", "left")
-    labels = settled(labels.select("node", F.coalesce("label", "node").alias("label")))
-    torn = hot.join(labels, "node").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    torn = hot.join(torn.select("key"), "key", "left_semi").select("node").distinct()
-    labels = settled(labels.join(torn, "node", "left_semi"))
-    rest = crossing(sets.join(torn, "node", "left_semi"), labels, percent)
-    return edges.union(confirmed(rest, sets, percent))
+    entries = shared_bands(nodes)
+    shared = entries.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot"))
+    entries = settled(entries.join(shared.filter("count > 1"), "key"))
+    meeting = settled(nodes.join(entries.select("node").distinct(), "node", "left_semi"))
+    sets = settled(full_sets(df, text_col, meeting.select("node", "digest"), width))
+
+    # A group's nodes have much the same pivot in all their bands: few pairs, most of the links.
+    stars = entries.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    edges = settled(confirmed(estimated(stars, meeting, percent), sets, percent))
+
+    torn = torn_values(entries.select("key", "node", "count"), meeting, edges)
+    small = torn.filter(F.col("count") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "label"))).alias("all"))
+    each = small.select(F.posexplode("all").alias("i", "x"), "all")
+    each = each.select("x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y")).filter("x.label <> y.label")
+    pairs = each.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = confirmed(estimated(pairs, meeting, percent), sets, percent)
+    labels = settled(torn.filter(F.col("count") > CROWD).select("node", "label").distinct())
+    if not labels.isEmpty():
+        rest = crossing(sets.join(labels.select("node"), "node", "left_semi"), labels, percent)
+        found = found.union(confirmed(rest, sets, percent))
+    return edges.union(found)
 
 
 def near_duplicates(

@@ -87,7 +87,7 @@ def expect(spark, rows):
     assert got == sorted(brute(rows), key=repr)
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
+@pytest.mark.parametrize("crowd", [16, 3])
 def test_components(spark, monkeypatch, crowd):
     monkeypatch.setattr(m, "CROWD", crowd)
     rng = random.Random(crowd)
