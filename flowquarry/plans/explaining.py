@@ -10,8 +10,10 @@ from flowquarry.functions.features import quoted
 from flowquarry.functions.hashing import hash_word_sql
 from flowquarry.functions.labels import CLASSES
 from flowquarry.functions.numeric import round6
+from flowquarry.operators import anchors as A
 from flowquarry.operators import explain as X
 from flowquarry.operators import profiles as P
+from flowquarry.operators import shapley as K
 from flowquarry.operators.cleaning import impact_value
 from flowquarry.plans.profiling import IMPORTANCE_SQL, NAMES, SCORED, SCORED_SQL, importance_table
 from flowquarry.plans.registry import query
@@ -194,6 +196,141 @@ def correlated_shapley(spark, sf_dir):
     return _shapley(spark, sf_dir, X.correlated_groups(P.correlations(S.flows(spark, sf_dir), SCORED), SCORED, threshold=0.3))
 
 
+# --- explainers with a background sample ---------------------------------------------
+
+
+def _mixed_score_sql(names, chosen):
+    """1 - P(Benign) of a row whose ``chosen`` features are its own and the others the background's."""
+    point = {a: f"x.{a}" if a in chosen else f"g.{a}" for a in names}
+    far = {c: " + ".join(f"({y} - {a}_{c}) ^ 2" for a, y in point.items()) for c in CLASSES}
+    return f"avg(1 - 1 / ({' + '.join(f'exp(({far["Benign"]}) - ({far[c]}))' for c in CLASSES)}))"
+
+
+def _values_sql(names, rows=K.BACKGROUND_ROWS, of="scaled"):
+    """Every coalition's mean score over the background as a column, by bits of the features."""
+    centres = ", ".join(f"max(CASE WHEN c = '{c}' THEN c_{a} END) AS {a}_{c}" for c in CLASSES for a in names)
+    columns = ", ".join(f"{_mixed_score_sql(names, [a for i, a in enumerate(names) if m >> i & 1])} AS v{m}" for m in range(1 << len(names)))
+    return f"""w AS (SELECT {centres} FROM proto),
+  g AS (SELECT {", ".join(names)} FROM scaled ORDER BY {hash_word_sql("flow_id", 0)}, {hash_word_sql("flow_id", 1)}, flow_id LIMIT {rows}),
+  v AS (SELECT flow_id, {columns} FROM {of} x, w, g GROUP BY flow_id)"""
+
+
+def _kernel_sql(of="scaled", more=""):
+    n, names = len(SCORED), list(NAMES.values())
+    rows = []
+    for i, f in enumerate(SCORED):
+        rest = [m for m in range(1 << n) if not m >> i & 1]
+        phi = " + ".join(f"(v{m | 1 << i} - v{m}) / {n * comb(n - 1, m.bit_count())}" for m in rest)
+        rows.append(f"SELECT flow_id, '{f}' AS part, round({phi}, 6) + 0.0 AS phi FROM v")
+    return f"WITH {SCORED_SQL}{more}, {_values_sql(names, of=of)} {' UNION ALL '.join(rows)}"
+
+
+def _kernel(explained, df):
+    model = P.fit_prototypes(df, SCORED)
+    background = K.background_rows(df, "flow_id", SCORED)
+    phi = K.kernel_shapley(explained(model), "flow_id", SCORED, background, lambda rows: 1.0 - model.probability(rows, "Benign"))
+    return phi.select("flow_id", "part", round6(F.col("phi")).alias("phi"))
+
+
+@query(_kernel_sql())
+def kernel_shapley(spark, sf_dir):
+    """Weighted least squares over coalitions against 50 rows; with four features all coalitions."""
+    df = S.flows(spark, sf_dir)
+    return _kernel(lambda model: df, df)
+
+
+@query(
+    _kernel_sql(
+        "flagged",
+        ", flagged AS (SELECT x.* FROM scaled x JOIN scored s USING (flow_id) WHERE s.predicted <> 'Benign' ORDER BY x.ts, x.flow_id LIMIT 1)",
+    )
+)
+def first_flagged(spark, sf_dir):
+    """Why the first flow in time that is not predicted Benign was flagged."""
+    df = S.flows(spark, sf_dir)
+    return _kernel(lambda model: model.transform(df).filter("predicted <> 'Benign'").orderBy("ts", "flow_id").limit(1), df)
+
+
+#: Two pairs that move together by their making.
+PAIRED = {"Rate": '"Rate"', "Tot sum": '"Rate" + 1000 * "Tot size"', "IAT": '"IAT"', "Std": '"IAT" + 0.5 * "Variance"'}
+PAIRED_NAMES = {"Rate": "rate", "Tot sum": "tot", "IAT": "iat", "Std": "std"}
+
+
+def _partition_sql():
+    names = list(PAIRED_NAMES.values())
+    made = ", ".join(f"{e} AS r_{a}" for e, a in zip(PAIRED.values(), names))
+    stats = ", ".join(f"avg(r_{a}) AS m_{a}, stddev_pop(r_{a}) AS s_{a}" for a in names)
+    rows = []
+    for i, f in enumerate(PAIRED):
+        sibling, others = 1 << (i ^ 1), 0b1100 if i < 2 else 0b0011
+        contexts = [0, sibling, others, sibling | others]
+        phi = " + ".join(f"(v{c | 1 << i} - v{c}) / 4" for c in contexts)
+        rows.append(f"SELECT flow_id, '{f}' AS part, round({phi}, 6) + 0.0 AS phi FROM v")
+    return f"""WITH {S.FLOWS_SQL}, made AS (SELECT flow_id, label, {made} FROM flows), params AS (SELECT {stats} FROM made),
+  scaled AS (SELECT flow_id, label, {", ".join(f"(r_{a} - m_{a}) / s_{a} AS {a}" for a in names)} FROM made, params),
+  proto AS (SELECT label AS c, {", ".join(f"avg({a}) AS c_{a}" for a in names)} FROM scaled GROUP BY label),
+  {_values_sql(names)} {" UNION ALL ".join(rows)}"""
+
+
+@query(_partition_sql())
+def partition_shapley(spark, sf_dir):
+    """Owen values down the tree of the features' correlations, against 50 rows."""
+    df = S.flows(spark, sf_dir)
+    made = df.select("flow_id", "label", *[F.expr(e.replace('"', "`")).alias(f) for f, e in PAIRED.items()])
+    features = list(PAIRED)
+    model = P.fit_prototypes(made, features)
+    phi = K.partition_shapley(
+        made, "flow_id", features, K.background_rows(made, "flow_id", features),
+        lambda rows: 1.0 - model.probability(rows, "Benign"), P.correlations(made, features),
+    )
+    return phi.select("flow_id", "part", round6(F.col("phi")).alias("phi"))
+
+
+# --- anchors by beam search ----------------------------------------------------------
+
+SURE = 0.9
+
+
+def _beam_sql():
+    bins = ", ".join(
+        f"""least(floor(("{f}" - min("{f}") OVER ()) / (max("{f}") OVER () - min("{f}") OVER ()) * {A.BINS}), {A.BINS - 1})::int AS {a}"""
+        for f, a in NAMES.items()
+    )
+    long = " UNION ALL ".join(f"SELECT flow_id, predicted, {i} AS f, {i * 100} + {a} AS code FROM b" for i, a in enumerate(NAMES.values()))
+    p, off = "(hits / n::double)", f"{A.Z} * sqrt(hits / n::double * (1 - hits / n::double) / n + {A.Z * A.Z} / (4.0 * n * n))"
+    steps = []
+    for k in range(1, A.ROUNDS + 1):
+        grown = (
+            "SELECT label, [code] AS rule, flow_id, predicted FROM classes, long"
+            if k == 1
+            else f"""SELECT DISTINCT m.label, list_sort(list_append(m.rule, l.code)) AS rule, l.flow_id, l.predicted FROM m{k - 1} m JOIN long l USING (flow_id)
+              WHERE NOT list_contains(list_transform(m.rule, lambda c: c // 100), l.f)"""
+        )
+        steps.append(f"""g{k} AS ({grown}), n{k} AS (SELECT label, rule, count(*) AS n, count(*) FILTER (predicted = label) AS hits FROM g{k} GROUP BY ALL),
+  r{k} AS (SELECT *, {k} AS round, ({p} + {A.Z * A.Z} / (2 * n) - {off}) / (1 + {A.Z * A.Z} / n) AS lower FROM n{k}),
+  o{k} AS (SELECT * FROM r{k} WHERE lower < {SURE} QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(lower, 9) DESC, n DESC, rule) <= {A.BEAM}),
+  k{k} AS (SELECT * FROM o{k} UNION ALL SELECT * FROM r{k} WHERE lower >= {SURE}),
+  m{k} AS (SELECT g.label, g.rule, g.flow_id FROM g{k} g JOIN o{k} o ON g.label = o.label AND g.rule = o.rule)""")
+    names = "[" + ", ".join(f"'{f}'" for f in SCORED) + "]"
+    return f"""WITH {SCORED_SQL}, b AS (SELECT flow_id, predicted, {bins} FROM flows JOIN scored USING (flow_id)), long AS ({long}),
+  classes AS (SELECT DISTINCT predicted AS label FROM b), {", ".join(steps)}
+  SELECT label, round::int AS round, array_to_string(list_transform(rule, lambda c: {names}[c // 100 + 1] || '=' || (c % 100)), ' & ') AS rule, n,
+    round(hits / n::double, 6) AS precision, round(lower, 6) + 0.0 AS lower, round(n / (SELECT count(*) FROM b)::double, 6) AS coverage, lower >= {SURE} AS anchor
+  FROM ({" UNION ALL ".join(f"SELECT * FROM k{k}" for k in range(1, A.ROUNDS + 1))})"""
+
+
+@query(_beam_sql())
+def anchor_beam(spark, sf_dir):
+    """What the prototypes predict, told by as many predicates as the precision needs, three at most."""
+    flows = S.flows(spark, sf_dir)
+    scored = P.fit_prototypes(flows, SCORED).transform(flows).select("predicted", *[quoted(f) for f in SCORED])
+    row = flows.agg(*[fn(quoted(f)).alias(f"{n}{i}") for i, f in enumerate(SCORED) for n, fn in (("lo", F.min), ("hi", F.max))]).collect()[0]
+    edges = {f: (row[f"lo{i}"], row[f"hi{i}"]) for i, f in enumerate(SCORED)}
+    rules = A.anchor_beam(scored, SCORED, edges, "predicted", precision=SURE)
+    numbers = [round6(F.col(c)).alias(c) for c in ("precision", "lower", "coverage")]
+    return rules.select("label", "round", F.concat_ws(" & ", "rule").alias("rule"), "n", *numbers, "anchor")
+
+
 def _counterfactual_sql(tries=8):
     attacks = [c for c in CLASSES if c != "Benign"]
     names = list(NAMES.values())
