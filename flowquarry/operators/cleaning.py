@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowquarry.functions.features import LEAKAGE_COLUMNS, quoted
 from flowquarry.functions.numeric import finite_or_null, to_double
+from flowquarry.operators.heavy_hitters import modes
 from flowquarry.operators.order_statistics import quantile_table
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -65,24 +66,9 @@ def impute_median(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | Non
 
 
 def mode_values(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
-    """Most frequent value per column, the smallest on ties.
-
-    Values are counted as (column, value) rows with map-side combine, so neither a
-    column with billions of distinct values nor a very frequent one burdens one task.
-    """
+    """Most frequent value per column, the smallest on ties, from summaries of bounded size."""
     types = dict(df.dtypes)
-    result: dict[str, object] = {c: None for c in columns}
-    by_type: dict[str, list[str]] = {}
-    for c in columns:
-        by_type.setdefault("double" if types[c] in NUMERIC else "string", []).append(c)
-    for kind, names in by_type.items():
-        pairs = F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast(kind).alias("v")) for c in names])
-        counts = (
-            df.select(F.explode(pairs).alias("e")).filter("e.v is not null").groupBy("e.c", "e.v").count()
-        )
-        best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("v"))
-        result.update({r["c"]: r["v"] for r in best.collect()})
-    return result
+    return modes(df, {c: "double" if types[c] in NUMERIC else "string" for c in columns})
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:

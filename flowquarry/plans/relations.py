@@ -9,7 +9,9 @@ from flowquarry.operators import relational as R
 from flowquarry.operators.cooldown import cooldown
 from flowquarry.operators.encoding import unseen
 from flowquarry.plans.registry import query
+from flowquarry.session import fresh_path
 from flowquarry.sources import tables as S
+from flowquarry.sources.keyed import KeyedTable
 
 SITES_SQL = f"{S.DEVICES_SQL}, {S.HOSPITALS_SQL}, {S.USERS_SQL}"
 
@@ -120,6 +122,17 @@ def apply_updates(spark, sf_dir):
     return R.apply_updates(S.devices(spark, sf_dir), _updates(spark, sf_dir), "id", ["status", "last_risk_score"], F.col("status") != "ISOLATED")
 
 
+@query(f"""WITH {SITES_SQL}, hit AS (SELECT o_custkey AS id FROM orders GROUP BY 1 HAVING max(o_totalprice) > 450000)
+  SELECT d.id, d.name, d.ip_address, CASE WHEN d.id IN (SELECT id FROM hit) THEN 'ATTACK' ELSE d.status END AS status, d.last_risk_score, d.hospital_id FROM devices d""")
+def update_in_place(spark, sf_dir):
+    """The attacked devices of a kept table; parts without one keep their files."""
+    store = KeyedTable(spark, fresh_path(spark, "devices"), "id", parts=64)
+    store.create(S.devices(spark, sf_dir))
+    attacked = _updates(spark, sf_dir).filter("status = 'ATTACK'").select("id", "status")
+    store.rewrite(attacked, lambda old: R.apply_updates(old, attacked, "id", ["status"]))
+    return store.read()
+
+
 def _requests(spark, sf_dir):
     """orders as requests: a user asks for a device."""
     users = S.table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()

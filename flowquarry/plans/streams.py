@@ -14,6 +14,7 @@ from flowquarry.session import fresh_path
 from flowquarry.sources import flows as flow_files
 from flowquarry.sources import sinks
 from flowquarry.sources import tables as S
+from flowquarry.streaming import latency, ordered
 from flowquarry.streaming import streams as X
 
 
@@ -126,3 +127,23 @@ def stream_cooldown(spark, sf_dir):
     rows = X.stream_table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     fired = X.cooldown_stream(rows, "user_id", "ts", "event_id", 3 * 86400)
     return _run(spark, fired.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "cooldown")
+
+
+@query(f"""SELECT * FROM ({ORACLE["alert_cooldown"]}) WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_cooldown_ordered(spark, sf_dir):
+    """The batch answer up to the watermark, whatever order rows arrive in."""
+    rows = X.stream_table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    fired = ordered.ordered_cooldown(rows, "user_id", "ts", "event_id", 3 * 86400)
+    with ordered.with_ordered_state(spark):
+        return _run(spark, fired.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "cooldown-ordered")
+
+
+@query()
+def batch_latency(spark, sf_dir):
+    """Rows, milliseconds and rows per second of every micro-batch that scores the flows."""
+    path, checkpoint = fresh_path(spark, "latency-scores"), fresh_path(spark, "latency-state")
+    model = P.fit_prototypes(S.flows(spark, sf_dir), SCORED)
+    scored = model.transform(_Streaming(spark, sf_dir).flows()).select("flow_id", "predicted")
+    with latency.recorded(spark, fresh_path(spark, "latency")) as record:
+        X.finish(sinks.stream_to_files(scored, path, checkpoint))
+    return record.table()
