@@ -12,7 +12,9 @@ reaches k: the global k-th score is never below that. Ties leave a task as at mo
 Defined cases: vectors that are null or hold null or non-finite components, and rows without
 id, take no part; vectors meet those of their own length; of rows that repeat a query's id the
 smallest vector asks once, and none of them is its candidate; other repeated rows are
-candidates each; extra columns are ignored; no queries give no rows. Scores fit a long.
+candidates each; extra columns are ignored; no queries give no rows. Scores are exact up to
+62 bits, so that their differences fit a long; beyond that, or where a component itself does
+not fit a long, the job fails and says so.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ BLOCK_QUERIES = 1024
 #: Rows scored at once inside a task.
 CHUNK = 2048
 BINS = 256
+MOST_SCORE = 1 << 62
 
 
 def sound(vector: Column) -> Column:
@@ -39,7 +42,12 @@ def sound(vector: Column) -> Column:
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    vector = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    def entry(x: Column) -> Column:
+        value = x.cast("double") * scale
+        message = F.concat(F.lit("component does not fit a long: "), value.cast("string"))
+        return F.when(F.abs(value) >= float(1 << 63), F.raise_error(message).cast("long")).otherwise(F.floor(value).cast("long"))
+
+    vector = F.transform(F.col(vector_col), entry)
     return df.filter(F.col(id_col).isNotNull() & sound(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
 
 
@@ -49,10 +57,17 @@ def matrix(column: pa.ChunkedArray, rows: int, kind) -> np.ndarray:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; through doubles where those are exact."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
+    """Integer inner products: through doubles where those are exact, through Python's integers
+    where longs might not hold them."""
+    most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] if q.size and x.size else 0.0
+    if most < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    if most < MOST_SCORE:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    if max(abs(exact.max()), abs(exact.min())) >= MOST_SCORE:
+        raise OverflowError("inner product beyond 62 bits")
+    return exact.astype(np.int64)
 
 
 def scored(left: pa.Table, right: pa.Table):

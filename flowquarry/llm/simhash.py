@@ -233,10 +233,15 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = settled(map_rows(source, make, "doc_id long, fp long, digest long"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest"))
     kept = labelled(prints, least, radius).groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-    rows = df.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_digest": body})
-    rows = rows.join(kept, F.col("_row_id").eqNullSafe(F.col("_kept_id")) & (F.col("_row_digest") == F.col("_kept_digest")), "left_semi")
-    return rows.dropDuplicates(["_row_id", "_row_digest"]).drop("_row_id", "_row_digest")
+    # Whole rows travel in one struct, so that no name of theirs can meet a helper's.
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), body.alias("digest"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return rows.dropDuplicates(["id", "digest"]).select("row.*")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

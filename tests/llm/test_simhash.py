@@ -90,6 +90,15 @@ def test_one_row_of_each_component(spark):
     assert sorted(got, key=repr) == sorted([(1, one), (1, two), (None, three), (4, four)], key=repr) and kept.columns == ["doc_id", "text", "name"]
 
 
+def test_extra_columns_with_any_name_stay(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    names = ["doc_id", "text", "_row_id", "_kept_id", "id", "digest", "kept_id", "kept_digest", "row", "fp", "a.b", "label"]
+    rows = [(i, t, *[f"{i}{c}" for c in names[2:]]) for i, t in ((3, text), (5, text.upper()), (8, "quite different words here"))]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    kept = m.representatives(df)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     prints = [brute_fingerprint(r.text) for r in docs]

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flowquarry.llm import dimension_scan, histogram_topk
@@ -61,6 +62,19 @@ def test_top_k_of_large_numbers(spark):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 20, 3)
 
 
+@pytest.mark.parametrize("size", [1e300, 1e8])
+def test_scores_beyond_a_long_are_an_error(spark, size):
+    wide = spark.createDataFrame([(i, [size, -size * (i + 1)]) for i in range(4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 62 bits|does not fit a long"):
+        histogram_topk.top_k(wide, F.col("vec_id") % 2 == 0, 2).collect()
+
+
+def test_large_components_with_small_scores_are_exact(spark):
+    rows = [(i, [float(2**50), float((-1) ** i * i)] if i % 2 else [0.0, float(2**50 * i)]) for i in range(8)]
+    got = histogram_topk.top_k(spark.createDataFrame(rows[:1] + rows[1::2], "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 2, scale=1)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows[:1] + rows[1::2], 2, 2, 1)
+
+
 def true_neighbours(ids, x, q, k):
     score = np.zeros(len(x))
     for c in range(x.shape[1]):
