@@ -35,9 +35,10 @@ class Summary:
         self.size, self.counts, self.taken = size, {}, 0
 
     def add(self, values: pa.Array) -> None:
-        for entry in pc.value_counts(values.drop_null()).to_pylist():
-            value = NAN if entry["values"] != entry["values"] else entry["values"]
-            self.counts[value] = self.counts.get(value, 0) + entry["counts"]
+        counted = pc.value_counts(values.drop_null())
+        for value, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
+            value = NAN if value != value else value
+            self.counts[value] = self.counts.get(value, 0) + n
         if len(self.counts) > self.size:
             cut = sorted(self.counts.values(), reverse=True)[self.size]
             self.counts = {v: n - cut for v, n in self.counts.items() if n > cut}
