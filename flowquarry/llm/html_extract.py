@@ -1,7 +1,8 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the hierarchy.
 
 A page becomes a tree of block elements; inline markup joins the text of the block around
-it. Every block gets features: share and density of text and links in its subtree, tokens of
+it, and loose text under the body is a block of its own, as far as two line breaks or the next
+block. Every block gets features: share and density of text and links in its subtree, tokens of
 its tag, class, id and role and of its ancestors', depth, place among and likeness to its
 siblings. Gradient-boosted trees give the log-odds that the block belongs to the article.
 
@@ -12,10 +13,17 @@ with everything below it. So no choice contradicts that of an ancestor or a desc
 
 Training has no given labels. The teacher is the structure of pages that have an article
 element: blocks inside it and outside any boilerplate element are article. So that the trees
-don't rest on one tag alone, they also see the same pages with boilerplate of every kind put
-in, and with the names of tags and classes blanked. Bounds: about ``TRAIN_PAGES`` pages of at most
+don't rest on one tag or one template, they also see the same pages with boilerplate of every
+kind put in or all boilerplate taken out, with names of tags and classes blanked (of boilerplate, only where it is lists of links), with
+paragraphs turned into lists, quotes, tables, code and captions, with the article renamed to
+other containers or its blocks loose under the body, and without the article. Bounds: about ``TRAIN_PAGES`` pages of at most
 ``TRAIN_CHARS`` characters by hash of the id; extraction covers every page whole.
 
+Tags end as in browsers: a quote counts only after an equals sign. From a quote on that is
+never closed tags end at the next ``>``; a tag without one is text. Reading a page takes time in proportion to its length. Formulas and
+drawings (math, svg) give their text; what browsers show only in place of an object, canvas,
+video or sound is dropped, as are form controls.
+
 Defined cases: null or empty html gives the empty text; unclosed and stray tags are repaired as
 browsers do for blocks; white space, no-break space included, becomes one space; a null id stays
 a row; repeated rows are extracted each; extra columns are ignored; with no page to learn from
@@ -27,6 +35,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +52,17 @@ QUANTILES = 32
 #: How much of a block's log-odds, cut off at CERTAIN, its children inherit.
 PASSED_ON, CERTAIN = 0.5, 4.0
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment or declaration, or the start of a tag; then a tag's attributes up to its end.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+ATTRIBUTES = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+WITHOUT_QUOTES = re.compile(r"([^>]*+)>")
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
 #: Elements without content, elements whose content is never text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe canvas object math head title select textarea button audio video".split())
-RAW = frozenset("script style template svg iframe noscript title textarea".split())
+HIDDEN = frozenset("script style noscript template iframe canvas object head title select textarea button audio video".split())
+RAW = frozenset("script style template iframe noscript title textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Elements that close an open element of the first name.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -73,6 +85,12 @@ KINDS = list(BOILERPLATE)
 
 
 STRUCTURE = frozenset(("#root", "html", "body"))
+#: The tag of a run of text right under one of these.
+LOOSE = "#text"
+#: Stands for a line break in the runs of text.
+BREAK = "\v"
+#: Elements whose content has other tags than a page.
+FOREIGN = frozenset(("math", "svg"))
 
 
 class Node:
@@ -97,77 +115,135 @@ def tokens_of(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of block elements, and runs of text with their block, in page order."""
+def parse(source: str) -> tuple[Node, list[tuple[Node, str, int]]]:
+    """The tree of block elements, and runs of text in page order, each with its block and how
+    much of it is linked."""
     root = Node("#root", None, frozenset())
-    at, runs, links, hidden, position = root, [], 0, 0, 0
-    skip_to: re.Pattern | None = None
+    at, runs, links, position, attributes = root, [], 0, 0, ATTRIBUTES
+    opened: dict[str, int] = {}
+    unending: set[str] = set()
+    foreign = ""
 
     def add(raw: str) -> None:
-        if hidden or not raw:
+        if not raw:
             return
         text = entities.unescape(raw) if "&" in raw else raw
-        runs.append((at, text))
         n = len(text.strip())
+        runs.append((at, text, n if links else 0))
         at.text += n
-        if links:
-            at.linked += n
+        at.linked += n if links else 0
+
+    def leave(node: Node) -> None:
+        """Close the open blocks up to and with this one."""
+        nonlocal at
+        while at is not node.parent:
+            opened[at.tag] -= 1
+            at = at.parent
 
     while True:
-        m = TAG.search(source, position)
+        m = MARKUP.search(source, position)
         if m is None:
             add(source[position:])
             break
         add(source[position : m.start()])
         position = m.end()
-        name = m[2]
-        if name is None:
+        if m[2] is None:
             continue
-        tag, closing = name.lower(), m[1]
+        rest = attributes.match(source, position)
+        if rest is None:
+            attributes = WITHOUT_QUOTES
+            rest = attributes.match(source, position)
+            if rest is None:
+                add(source[m.start() :])
+                break
+        position = rest.end()
+        tag, closing = m[2].lower(), m[1]
         if tag in HIDDEN:
-            if not closing and not m[3].rstrip().endswith("/"):
-                skip_to = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
-                end = skip_to.search(source, position)
+            if not closing and not rest[1].rstrip().endswith("/") and tag not in unending:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, position)
                 if end is not None:
                     position = end.end()
                 elif tag in RAW:
                     position = len(source)
-                runs.append((at, " "))
+                else:
+                    unending.add(tag)
+            runs.append((at, " ", 0))
             continue
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
             continue
+        if tag in FOREIGN:
+            foreign = "" if closing or rest[1].endswith("/") else tag
+        elif foreign and tag in CLOSES_P:
+            foreign = ""
+        if tag in FOREIGN or foreign:
+            if foreign != "math":
+                runs.append((at, " ", 0))
+            continue
         if tag in VOID:
-            runs.append((at, " "))
+            runs.append((at, BREAK if tag == "br" else " ", 0))
             continue
         if closing:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at, links = node.parent, 0
-            runs.append((at, " "))
+            if opened.get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
+                links = 0
+            runs.append((at, " ", 0))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened.get("p"):
             node = at
             while node is not root and node.tag not in ("div", "article", "section", "td", "li", "body", "main", "aside", "blockquote"):
                 if node.tag == "p":
-                    at, links = node.parent, 0
+                    leave(node)
+                    links = 0
                     break
                 node = node.parent
         if tag in ITEMS:
             node = at
             while node is not root and node.tag not in ITEMS[tag]:
                 if node.tag == tag or {node.tag, tag} == {"dt", "dd"} or {node.tag, tag} == {"td", "th"}:
-                    at = node.parent
+                    leave(node)
                     break
                 node = node.parent
-        at = Node(tag, at, tokens_of(tag, m[3]))
-        runs.append((at, " "))
+        at = Node(tag, at, tokens_of(tag, rest[1]))
+        opened[tag] = opened.get(tag, 0) + 1
+        runs.append((at, " ", 0))
     return root, runs
 
 
+def page_of(source: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """Blocks and runs of a page, loose text right under its body in blocks of its own."""
+    root, runs = parse(source)
+    out, seen, children = [], {root}, {root: []}
+    loose, breaks = None, 0
+    for node, text, linked in runs:
+        if node not in seen:
+            seen.add(node)
+            if node.tag in STRUCTURE:
+                children[node] = []
+            if node.parent in children:
+                children[node.parent].append(node)
+        n = len(text.strip())
+        if node.tag not in STRUCTURE:
+            loose, breaks = None, 0
+        elif text == BREAK:
+            breaks += 1
+        elif n:
+            if loose is None or loose.parent is not node or breaks > 1:
+                loose = Node(LOOSE, node, frozenset((LOOSE,)))
+                children[node].append(loose)
+            breaks = 0
+            node.text, node.linked, loose.text, loose.linked = node.text - n, node.linked - linked, loose.text + n, loose.linked + linked
+            node = loose
+        out.append((node, text, linked))
+    for node, inside in children.items():
+        node.children = inside
+    return walk(root), out
+
+
 def walk(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
@@ -181,7 +257,7 @@ def walk(root: Node) -> list[Node]:
 FEATURES = [
     "depth", "own_text", "subtree_text", "share_of_page", "blocks", "text_per_block", "link_density", "own_link_density", "before", "after",
     "sibling_text", "sibling_links", "sibling_share", "same_tag_siblings", "parent_link_density", "parent_share", "heading", "paragraph", "item",
-    "article_here", "article_above", *[f"{k}_here" for k in KINDS], *[f"{k}_above" for k in KINDS],
+    "article_here", "article_above", "boilerplate_here", "boilerplate_above", *[f"{k}_here" for k in KINDS], *[f"{k}_above" for k in KINDS],
 ]
 
 
@@ -207,7 +283,7 @@ def feature_rows(nodes: list[Node], blank: frozenset[str] | None = None) -> list
         parent = node.parent or node
         seen_article, seen = above[parent.order] if node.parent else (0, NOTHING)
         tokens = node.tokens if blank is None else node.tokens - blank
-        kinds = NOTHING if tokens.isdisjoint(ALL_BOILERPLATE) else tuple([int(not tokens.isdisjoint(BOILERPLATE[k])) for k in KINDS])
+        kinds = NOTHING if node.tag in STRUCTURE or tokens.isdisjoint(ALL_BOILERPLATE) else tuple([int(not tokens.isdisjoint(BOILERPLATE[k])) for k in KINDS])
         article = int(node.tag not in ("body", "html") and not tokens.isdisjoint(ARTICLE_TOKENS))
         above.append((max(seen_article, article), seen if kinds is NOTHING else tuple(map(max, seen, kinds))))
         tags = alike.get(parent.order)
@@ -221,7 +297,7 @@ def feature_rows(nodes: list[Node], blank: frozenset[str] | None = None) -> list
             node.depth, node.text, size, size / page, node.blocks, size / node.blocks, node.links / max(size, 1), node.linked / max(node.text, 1),
             starts / page, 1 - (starts + size) / page, others / max(len(parent.children) - 1, 1), other_links / max(others, 1),
             size / max(parent.size, 1), tags.get(node.tag, 1), parent.links / max(parent.size, 1), parent.size / page,
-            heading, node.tag == "p", node.tag in ("li", "dt", "dd", "td"), article, seen_article, *kinds, *seen,
+            heading, node.tag in ("p", LOOSE), node.tag in ("li", "dt", "dd", "td"), article, seen_article, any(kinds), any(seen), *kinds, *seen,
         ])
         starts += node.text
     return out
@@ -321,8 +397,8 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return kept
 
 
-def joined(runs: list[tuple[Node, str]], kept: np.ndarray) -> str:
-    text = "".join([t if kept[n.order] else " " for n, t in runs])
+def joined(runs: list[tuple[Node, str, int]], kept: np.ndarray) -> str:
+    text = "".join([t if kept[n.order] else " " for n, t, _ in runs])
     return SPACE.sub(" ", text).strip()
 
 
@@ -359,18 +435,108 @@ def shortened(source: str, paragraphs: int) -> str:
     return source[:cut] + source[end:] if 0 <= cut < end else source
 
 
+def article_alone(source: str) -> str:
+    """The article element with nothing around it."""
+    start, end = source.find("<article"), source.rfind("</article>")
+    return f"<html><body>{source[start:end]}</article></body></html>" if 0 <= start < end else source
+
+
+def enriched(source: str, rng: random.Random) -> str:
+    """The page with some of its article's paragraphs turned into other kinds of block."""
+    start, end = source.find("<article"), source.rfind("</article>")
+    if not 0 <= start < end:
+        return source
+
+    def other(m: re.Match) -> str:
+        words = m[1].split()
+        k = max(1, len(words) // rng.randrange(2, 6))
+        parts = [" ".join(words[i : i + k]) for i in range(0, len(words), k)]
+        tag = rng.choice(("ul", "ol"))
+        kinds = [
+            m[0], m[0], f"<{tag}>" + "".join(f"<li>{p}</li>" for p in parts) + f"</{tag}>", f"<blockquote><p>{m[1]}</p></blockquote>", f"<blockquote>{m[1]}</blockquote>",
+            "<table><tbody>" + "".join(f"<tr><td>{p}</td><td>{p}</td></tr>" for p in parts) + "</tbody></table>", f"<pre>{m[1]}</pre>", f"<h2>{parts[0] if parts else ''}</h2>" + m[0],
+            f"<figure><img><figcaption>{m[1]}</figcaption></figure>", "<dl>" + "".join(f"<dt>{p}</dt><dd>{p}</dd>" for p in parts) + "</dl>", f"<div>{m[1]}</div>",
+            f"<section><h3>{parts[0] if parts else ''}</h3>{m[0]}</section>", f'<p><a href="/x">{m[1]}</a></p>' if len(words) < 12 else m[0], "<ul>" + "".join(f'<li><a href="/x">{p}</a> {m[1]}</li>' for p in parts) + "</ul>",
+        ]
+        return rng.choice(kinds)
+
+    return source[:start] + re.sub(r"<p>([^<]*)</p>", other, source[start:end]) + source[end:]
+
+
+#: Tags and tokens an article's container has on other pages.
+CONTAINERS = (("div", ()), ("div", ("content",)), ("div", ("post", "body")), ("div", ("page",)), ("main", ()), ("section", ()), ("div", ("entry", "content")), ("td", ()))
+
+
+def without_article(nodes: list[Node], label: np.ndarray, rng: random.Random) -> tuple[list[Node], np.ndarray]:
+    """The same page after its article was taken out."""
+    left = [n for n, y in zip(nodes, label) if not y]
+    for n in left:
+        n.children = [c for c in n.children if not label[c.order]]
+    nodes = walk(nodes[0])
+    return nodes, np.zeros(len(nodes))
+
+
+def nameless_links(nodes: list[Node], label: np.ndarray, rng: random.Random) -> tuple[list[Node], np.ndarray]:
+    """The same page with lists of links outside the article in plain blocks without a name."""
+    feature_rows(nodes)  # sizes of subtrees
+    for n, y in zip(nodes, label):
+        if not y and n.tag not in STRUCTURE and n.links > 0.7 * n.size:
+            n.tag = n.tag if n.tag in ("ul", "li", "p") else "div"
+            n.tokens = frozenset((n.tag,))
+    return nodes, label
+
+
+def recast(nodes: list[Node], label: np.ndarray, rng: random.Random) -> tuple[list[Node], np.ndarray]:
+    """The same page with its article in another container, or with none and its blocks, as
+    paragraphs or loose text, right under the container's parent."""
+    truth = {id(n): y for n, y in zip(nodes, label)}
+    way = rng.randrange(3)
+    for n in nodes:
+        if n.tag != "article":
+            continue
+        if way == 0:
+            n.tag, extra = rng.choice(CONTAINERS)
+            n.tokens = frozenset((n.tag, *extra))
+            continue
+        here = n.parent.children
+        at = here.index(n)
+        here[at : at + 1] = n.children
+        for c in n.children:
+            c.parent = n.parent
+            if way == 2 and c.tag == "p" and not c.children and c.parent.tag in STRUCTURE:
+                c.tag, c.tokens = LOOSE, frozenset((LOOSE,))
+        stack = list(n.children)
+        while stack:
+            c = stack.pop()
+            c.depth -= 1
+            stack += c.children
+    nodes = walk(nodes[0])
+    return nodes, np.array([truth[id(n)] for n in nodes], float)
+
+
 def training_rows(pages: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rng = random.Random(seed)
     xs, ys = [], []
     for page in pages:
         spare = pages[rng.randrange(len(pages))]
         short = shortened(page, rng.randrange(3))
-        for variant, blank in ((page, None), (short, None), (furnished(short, spare, rng), None), (furnished(page, spare, rng), None), (furnished(page, spare, rng), ARTICLE_TOKENS)):
-            nodes = walk(parse(variant)[0])
+        rich = enriched(page, rng)
+        full = furnished(rich, spare, rng)
+        variants = (
+            (page, None, None), (short, None, None), (furnished(short, spare, rng), None, None), (furnished(page, spare, rng), None, None), (furnished(page, spare, rng), ARTICLE_TOKENS, None),
+            (rich, None, None), (full, ARTICLE_TOKENS, None), (full, None, recast), (rich, None, recast), (short, None, recast),
+            (article_alone(short), None, None), (article_alone(short), None, recast), (article_alone(rich), None, None), (article_alone(rich), None, recast), (full, None, without_article), (page, None, nameless_links), (full, None, nameless_links),
+        )
+        for variant, blank, change in variants:
+            nodes = page_of(variant)[0]
             y = taught(nodes)
-            if y.any():
-                xs += feature_rows(nodes, blank)
-                ys.append(y)
+            if not y.any():
+                continue
+            if change is not None:
+                nodes, y = change(nodes, y, rng)
+            taken = [n.tag not in STRUCTURE for n in nodes]
+            xs += compress(feature_rows(nodes, blank), taken)
+            ys.append(y[taken])
     return features(xs), np.concatenate(ys) if ys else np.zeros(0)
 
 
@@ -385,8 +551,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 
 
 def extract_page(source: str, model: Boosted | None) -> str:
-    root, runs = parse(source)
-    nodes = walk(root)
+    nodes, runs = page_of(source)
     odds = np.where(taught(nodes) > 0, 1.0, -1.0) if model is None else model.log_odds(features(feature_rows(nodes)))
     return joined(runs, decode(nodes, odds))
 
@@ -396,14 +561,14 @@ def extract(pages: DataFrame, model: Boosted | None, id_col: str = "page_id", ur
 
     def make():
         def work(ids, urls, sources):
-            trees = [parse(s or "") for s in sources]
-            nodes = [walk(root) for root, _ in trees]
+            parsed = [page_of(s or "") for s in sources]
+            nodes = [n for n, _ in parsed]
             odds = [np.where(taught(n) > 0, 1.0, -1.0) for n in nodes]
             if model is not None:
                 every = model.log_odds(features([r for n in nodes for r in feature_rows(n)]))
                 odds = np.split(every, np.cumsum([len(n) for n in nodes])[:-1])
             out = []
-            for i, u, (_, runs), n, o in zip(ids, urls, trees, nodes, odds):
+            for i, u, (_, runs), n, o in zip(ids, urls, parsed, nodes, odds):
                 text = joined(runs, decode(n, o))
                 out.append((i, u, text, len(text)))
             return out
