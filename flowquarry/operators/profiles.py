@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowquarry.functions.features import computed_once, quoted
-from flowquarry.operators.order_statistics import quantile_table
+from flowquarry.operators.order_statistics import order_statistics, quantile_table
 
 
 def _long(wide: DataFrame, keys: Sequence[str], features: Sequence[str], stats: Sequence[str]) -> DataFrame:
@@ -168,11 +168,43 @@ def binned_counts(df: DataFrame, features: Sequence[str], label: str = "label",
     )
 
 
-def mutual_information(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 16) -> DataFrame:
-    """(feature, mi, position) in nats, best first. Counts are (features x bins x classes)."""
+def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int = 16) -> dict[str, list[float]]:
+    """The values of rank ceil(j n / bins), j below ``bins``, of each feature, equal ones once.
 
+    They come from counting passes, not from a sort; ``bins`` - 1 numbers a feature reach the driver.
+    """
+    names = {f"c{i}": f for i, f in enumerate(features)}
+    found = order_statistics(
+        df,
+        {k: quoted(f).cast("double") for k, f in names.items()},
+        lambda _g, _n, n: [-(-j * n // bins) for j in range(1, bins)] if n else [],
+    )
+    return {f: sorted({float(v[0]) for v in found.get((None, k), ()) if v is not None}) for k, f in names.items()}
 
-    counts = binned_counts(df, features, label, bins)
+
+def quantile_binned_counts(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 16) -> DataFrame:
+    """(feature, bin, label, n) over bins of about equal counts: a value's bin is the number of
+    cuts below it, so equal values share a bin. A feature with few distinct values has fewer
+    bins; missing values (null, NaN) are a bin of their own, null."""
+    entries = []
+    for f, cuts in quantile_cuts(df, features, bins).items():
+        value = quoted(f).cast("double")
+        below = sum(((value > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+        entries.append(F.struct(F.lit(f).alias("feature"), F.when(value.isNotNull() & ~F.isnan(value), below).alias("bin")))
+    return (
+        df.select(F.col(label).alias("label"), F.explode(F.array(*entries)).alias("e"))
+        .groupBy("e.feature", "e.bin", "label")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def mutual_information(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 16, equal_counts: bool = False) -> DataFrame:
+    """(feature, mi, position) in nats, best first. Counts are (features x bins x classes).
+
+    Bins are of equal width, or with ``equal_counts`` between quantiles, so that a skewed
+    feature does not fall into one bin.
+    """
+    counts = (quantile_binned_counts if equal_counts else binned_counts)(df, features, label, bins)
     of_feature = Window.partitionBy("feature")
     # In doubles: products of counts outgrow a long.
     n, total = F.col("n").cast("double"), F.sum("n").over(of_feature).cast("double")

@@ -59,6 +59,20 @@ def train_classifier(spark, sf_dir):
     return E.classification_report(M.score(_chosen(df), df.filter("split = 'test'")), truth="label")
 
 
+@query()
+def train_boosted(spark, sf_dir):
+    """Report on the test split of boosted trees whose rounds are chosen on the validation split."""
+    df = labelled_flows(spark, sf_dir)
+    train, val = _halves(df)
+    try:
+        model = M.train_boosted(train, val, "label", S.FEATURES)
+    finally:
+        train.unpersist()
+        val.unpersist()
+    report = E.classification_report(model.transform(df.filter("split = 'test'")), truth="label")
+    return report.withColumn("rounds", F.lit(model.rounds))
+
+
 @query()
 def train_binary(spark, sf_dir):
     df = labelled_flows(spark, sf_dir).withColumn("label", F.when(F.col("label") == "Benign", "Benign").otherwise("Attack"))

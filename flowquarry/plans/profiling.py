@@ -192,6 +192,30 @@ def mutual_information(spark, sf_dir):
     return _mi(spark, sf_dir).select("feature", round6(F.col("mi")).alias("mi"), "position")
 
 
+SKEWED_SQL = """f AS (SELECT l_returnflag AS label, 'price' AS feature, l_extendedprice::double AS v FROM lineitem
+  UNION ALL SELECT l_returnflag, 'skewed', exp(l_extendedprice::double / 10000) FROM lineitem
+  UNION ALL SELECT l_returnflag, 'discount', l_discount::double FROM lineitem
+  UNION ALL SELECT l_returnflag, 'day', date_diff('day', DATE '1992-01-01', l_shipdate::date)::double FROM lineitem),
+r AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS rn, count(*) OVER (PARTITION BY feature) AS n FROM f),
+cuts AS (SELECT feature, list(DISTINCT v) AS c FROM r, range(1, 16) j(j) WHERE rn = (j * n + 15) // 16 GROUP BY feature),
+b AS (SELECT f.feature, label, len(list_filter(c, lambda x: x < v)) AS bin, count(*)::double AS n FROM f JOIN cuts USING (feature) GROUP BY ALL),
+m AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS total, sum(n) OVER (PARTITION BY feature, bin) AS nb,
+  sum(n) OVER (PARTITION BY feature, label) AS nl FROM b),
+mi AS (SELECT feature, sum(n / total * ln(n * total / (nb * nl))) AS mi FROM m GROUP BY feature)"""
+
+
+@query(f"WITH {SKEWED_SQL} SELECT feature, round(mi, 6) + 0.0 AS mi, row_number() OVER (ORDER BY round(mi, 9) DESC, feature)::int AS position FROM mi")
+def mutual_information_quantiles(spark, sf_dir):
+    """Bins between quantiles: a feature and its exponential tell the same of the class."""
+    df = S.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("label"), F.col("l_extendedprice").cast("double").alias("price"),
+        F.exp(F.col("l_extendedprice").cast("double") / 10000).alias("skewed"), F.col("l_discount").cast("double").alias("discount"),
+        F.date_diff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("day"),
+    )
+    found = P.mutual_information(df, ["price", "skewed", "discount", "day"], equal_counts=True)
+    return found.select("feature", round6(F.col("mi")).alias("mi"), "position")
+
+
 @query(f"""WITH {MI_SQL} SELECT feature, round(mi, 6) + 0.0 AS mi, row_number() OVER (ORDER BY round(mi, 9) DESC, feature)::int AS from_top,
   row_number() OVER (ORDER BY round(mi, 9), feature DESC)::int AS from_bottom FROM mi WHERE mi >= 0.01""")
 def select_by_mi(spark, sf_dir):

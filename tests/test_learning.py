@@ -275,3 +275,73 @@ def test_equal_points_give_k_rows_each(spark):
     for r in got.collect():
         rows.setdefault(r["qid"], []).append((r["position"], r["pid"]))
     assert len(rows) == 1500 and all([p for _, p in sorted(v)] == [i for i in range(5) if i != q][:3] for q, v in rows.items())
+
+
+@pytest.fixture(scope="module")
+def separable(spark):
+    """Three classes of unequal size, told apart by two of three features."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    kind = rng.choice(["few", "many", "some"], n, p=[0.05, 0.75, 0.2])
+    a = rng.normal(0, 1, n) + np.where(kind == "few", 3.0, 0.0)
+    b = rng.normal(0, 1, n) + np.where(kind == "some", 3.0, 0.0)
+    pdf = pd.DataFrame({"id": np.arange(n), "kind": kind, "a": a, "b": b, "c": rng.normal(0, 1, n)})
+    df = spark.createDataFrame(pdf)
+    return df.filter("id % 3 = 0").cache(), df.filter("id % 3 = 1").cache(), df.filter("id % 3 = 2").cache()
+
+
+def test_boosted_rounds_are_the_best_on_validation_rows(separable):
+    train, val, test = separable
+    model = M.train_boosted(train, val, "kind", ["a", "b", "c"], rounds=6)
+
+    def recall(rows):
+        rows = rows.select("kind", "predicted").toPandas()
+        return (rows["kind"] == rows["predicted"]).groupby(rows["kind"]).mean().mean()
+
+    by_round = []
+    for m in range(1, len(model.watched) + 1):
+        by_round.append(recall(M.BoostedClassifier(model.classes, model.pipeline, model.models, m, []).transform(val)))
+    assert by_round == pytest.approx(model.watched)
+    assert model.rounds == 1 + max(range(len(by_round)), key=lambda i: (round(by_round[i], 12), -i))
+    scored = model.transform(test)
+    assert scored.columns == [*test.columns, "predicted", "probabilities", "confidence"]
+    assert recall(scored) > 0.8 and scored.count() == test.count()
+    row = scored.first()
+    assert sum(row.probabilities) == pytest.approx(1) and max(row.probabilities) == row.confidence
+
+
+def test_boosted_margins_match_the_library(separable):
+    train, val, _ = separable
+    model = M.train_boosted(train, val, "kind", ["a", "b", "c"], rounds=3)
+    most = min(len(m.trees) for m in model.models)
+    rows = model.margins(val.limit(50), most)
+    for c, booster in enumerate(model.models):
+        if len(booster.trees) == most:
+            raw = booster.setRawPredictionCol(f"raw{c}").setProbabilityCol(f"prob{c}").setPredictionCol(f"pred{c}").transform(rows)
+            for r in raw.select(f"raw{c}", f"_m{c}_{most - 1}").collect():
+                assert r[0][1] == pytest.approx(2 * r[1]) or r[0][1] == pytest.approx(r[1])
+
+
+def test_boosted_odd_labels(spark):
+    train = spark.createDataFrame([(i, "x" if i % 2 else "y", float(i % 2)) for i in range(40)] + [(99, None, 1.0)], "id long, kind string, a double")
+    val = spark.createDataFrame([(1, "x", 1.0), (2, "y", 0.0), (3, "new", 1.0), (4, None, 0.0)], "id long, kind string, a double")
+    model = M.train_boosted(train, val, "kind", ["a"], rounds=2)
+    assert model.classes == ["x", "y"] and max(model.watched) == pytest.approx(2 / 3)
+    assert {r.id: r.predicted for r in model.transform(val).collect()} == {1: "x", 2: "y", 3: "x", 4: "y"}
+
+
+def test_quantile_bins(spark):
+    rng = np.random.default_rng(5)
+    v = np.exp(rng.normal(0, 4, 2000))
+    rows = [("a" if x > 1 else "b", float(x), float(np.log(x)), 1.0, None if i % 5 else float("nan")) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "label string, skew double, log double, same double, gaps double")
+    cuts = P.quantile_cuts(df, ["skew", "same"], 8)
+    assert cuts["same"] == [1.0] and cuts["skew"] == sorted(v)[249:1999:250]
+    counts = {(r.feature, r.bin): 0 for r in P.quantile_binned_counts(df, ["skew", "same", "gaps"], bins=8).collect()}
+    for r in P.quantile_binned_counts(df, ["skew", "same", "gaps"], bins=8).collect():
+        counts[r.feature, r.bin] += r.n
+    assert counts == {**{("skew", i): 250 for i in range(8)}, ("same", 0): 2000, ("gaps", None): 2000}
+    mi = {r.feature: r.mi for r in P.mutual_information(df, ["skew", "log", "same"], equal_counts=True).collect()}
+    assert mi["skew"] == pytest.approx(mi["log"]) and mi["same"] == pytest.approx(0) and mi["skew"] > 0.6
+    assert {r.feature: r.mi for r in P.mutual_information(df, ["skew"]).collect()}["skew"] < 0.1
+    assert P.mutual_information(df.limit(0), ["skew"], equal_counts=True).count() == 0
