@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,9 @@ from pyspark.sql import types as T
 from flowquarry.functions import labels as L
 from flowquarry.functions.features import FLOW_FEATURES
 
+#: Bytes of a file read at once in search of its first line's end.
+FIRST_BYTES = 64 * 1024
+
 
 def flow_schema(features: Sequence[str] = FLOW_FEATURES, text: Sequence[str] = ()) -> T.StructType:
     """Doubles for every feature; ``text`` columns are read as written, to be cast later."""
@@ -26,25 +32,50 @@ def infer_schema(spark: SparkSession, root: str, share: float = 1.0, pattern: st
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(root).schema
 
 
+def first_line(path: str) -> str | None:
+    """The first line of a file that is not blank, None if there is none; no more than that is read."""
+    if path.startswith("file:"):
+        store, inner = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    held = b""
+    with store.open_input_stream(inner) as stream:
+        while True:
+            more = stream.read(FIRST_BYTES)
+            held = (held + more).lstrip(b"\r\n\t ")
+            line = re.match(rb"[^\r\n]*(?=[\r\n])", held)
+            if line or not more:
+                return (line[0] if line else held).decode(errors="replace") or None
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            try:
+                rows.append((path, True, first_line(path)))
+            except (OSError, ValueError, NotImplementedError):  # a store only Spark can open
+                rows.append((path, False, None))
+        yield pd.DataFrame(rows, columns=["path", "opened", "line"]).astype({"opened": bool})
+
+
 def file_headers(spark: SparkSession, root: str | list[str], names: Sequence[str], pattern: str = "*.csv") -> list[tuple[str, str | None]]:
     """(path, header line) of every file below ``root``; None where it names no wanted column.
 
-    Only lines that hold a wanted name are compared, so that one line per file remains; one
-    row per file goes to the driver, which lists the files anyway. A missing root raises.
+    The files are listed without their content (empty ones left out), and workers read each one's first bytes. Files
+    in a store that only Spark opens are read by Spark, as lines of which one per file remains.
+    One row per file goes to the driver, which lists the files anyway. A missing root raises.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
-    path = F.col("_metadata.file_path")
-    files = lines.select(path.alias("path")).groupBy("path").count()
-    wanted = F.lit(False)
-    for name in names:
-        wanted = wanted | F.col("value").contains(name)
-    found = (
-        lines.select("value", path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
-        .filter((F.col("start") == 0) & wanted)
-        .groupBy("path")
-        .agg(F.min_by("value", "line").alias("header"))
-    )
-    return [(unquote(r["path"]), r["header"]) for r in files.join(found, "path", "left").select("path", "header").collect()]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    found = listed.select("path").mapInPandas(_first_lines, "path string, opened boolean, line string").collect()
+    lines = {r["path"]: r["line"] for r in found}
+    closed = [r["path"] for r in found if not r["opened"]]
+    if closed:
+        text = spark.read.text(closed).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+        text = text.filter((F.col("start") == 0) & (F.trim("value") != "")).withColumn("line", F.monotonically_increasing_id())
+        read = {unquote(r["path"]).split(":", 1)[-1].lstrip("/"): r["header"] for r in text.groupBy("path").agg(F.min_by("value", "line").alias("header")).collect()}
+        lines |= {p: read.get(p.split(":", 1)[-1].lstrip("/")) for p in closed}
+    return [(path, line if line and any(n in line for n in names) else None) for path, line in lines.items()]
 
 
 def scan_flows(

@@ -163,3 +163,37 @@ def test_columns_are_found_by_name(spark, tmp_path):
     got = sorted(((r["basename"], r["a"], r["b"]) for r in rows), key=repr)
     want = [("a b.csv", 1, 2), ("b.csv", 10, 20), ("c.csv", 100, 200), ("d.csv", None, 5), ("d.csv", None, None), ("e.csv", None, None)]
     assert [(n.replace("%20", " "), a, b) for n, a, b in got] == sorted(want, key=lambda r: repr((r[0], r[1] and float(r[1]), r[2] and float(r[2]))))
+
+
+def test_headers_are_read_without_the_data(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    (folder / "crlf.csv").write_bytes(b"\r\n\r\na,b\r\n1,2\r\n")
+    (folder / "cr.csv").write_bytes(b"b,a\r3,4\r")
+    (folder / "other.csv").write_text("x,y\n1,2\na,b\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "alone.csv").write_text("a,b")
+    long = "a," + "z" * 200_000 + ",b"
+    (folder / "long.csv").write_text(long + "\n1,2,3\n")
+    with gzip.open(folder / "packed.csv.gz", "wt") as f:
+        f.write("b,a\n1,2\n")
+    want = {"crlf.csv": "a,b", "cr.csv": "b,a", "other.csv": None, "alone.csv": "a,b", "long.csv": long, "packed.csv.gz": "b,a"}
+    found = flow_files.file_headers(spark, str(tmp_path), ["a", "b"], "*.csv*")
+    assert {p.rsplit("/", 1)[-1]: h for p, h in found} == want
+    rows = flow_files.scan_flows(spark, str(tmp_path), flow_files.flow_schema(["a", "b"]), name_contains="crlf").collect()
+    assert [(r.a, r.b) for r in rows] == [(1.0, 2.0)]
+
+
+def test_headers_in_a_store_only_spark_opens(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "two.csv").write_text("\nb,a\n1,2\n")
+    spark.conf.set("fs.viewfs.mounttable.captures.link./data", f"file://{tmp_path}")
+    try:
+        found = flow_files.file_headers(spark, "viewfs://captures/data", ["a", "b"])
+        assert {p.rsplit("/", 1)[-1]: h for p, h in found} == {"one.csv": "a,b", "two.csv": "b,a"}
+        rows = flow_files.scan_flows(spark, "viewfs://captures/data", flow_files.flow_schema(["a", "b"])).collect()
+        assert sorted((r.a, r.b) for r in rows) == [(1.0, 2.0), (2.0, 1.0)]
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.captures.link./data")
