@@ -9,7 +9,9 @@ hold the trees of many block values; they are dealt by a shuffle rather than bro
 because all trees together grow with the data. A node's children are keyed by their distance
 to it, and a search with radius r at distance d follows only the edges d - r to d + r. A block
 value shared by more than ``CROWD`` fingerprints is divided by the blocks of the remaining
-bits, which is exact for the same reason. A tree reports links as edges to one member of each
+bits, which is exact for the same reason; of a key that is crowded even then, every slice of
+fingerprints is searched in the tree of every other slice, each pair in a part of its own. That
+bounds a part, not the work, which grows with the square of such a key. A tree reports links as edges to one member of each
 linked set, never as all its pairs.
 
 Links are closed over shards by exchanging smallest labels until none changes.
@@ -36,6 +38,8 @@ SEED = 42
 BLOCKS = 4
 #: Fingerprints that may share a block value before it is divided.
 CROWD = 2048
+#: Fingerprints of one key searched in one tree; a key with more is cut into slices.
+SLICE_ROWS = 2048
 #: Entries of a shard, about.
 SHARD_ROWS = 8_000
 
@@ -105,8 +109,11 @@ class BKTree:
         return found
 
 
-def linked(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges from every linked value to one member of its set, found with a BK-tree."""
+def linked(values: list[int], radius: int, searching: list[int] | None = None) -> list[tuple[int, int]]:
+    """Edges from every linked value to one member of its set, found with a BK-tree.
+
+    With ``searching`` (0 or 1 per value, zeros first) the ones search the tree of the zeros only.
+    """
     tree, parent = BKTree(), list(range(len(values)))
 
     def root(i: int) -> int:
@@ -117,36 +124,56 @@ def linked(values: list[int], radius: int) -> list[tuple[int, int]]:
 
     for i, v in enumerate(values):
         mine = i
-        for j in tree.within(v, radius):
+        for j in tree.within(v, radius) if searching is None or searching[i] else ():
             other = root(j)
             if other != mine:
                 low, high = min(other, mine), max(other, mine)
                 parent[high] = low
                 mine = low
-        tree.add(v)
+        if searching is None or not searching[i]:
+            tree.add(v)
     return [(values[i], values[r]) for i in range(len(values)) if (r := root(i)) != i]
 
 
 def shard_links(batch: pa.Table, radius: int) -> pa.Table:
-    """Links among the fingerprints of each key of a shard."""
-    keys, fps = batch["key"].to_numpy(), batch["fp"].to_numpy()
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    """Links among the fingerprints of each key of a shard, or between two slices of a key."""
+    keys, parts, sides, fps = (batch[c].to_numpy() for c in ("key", "part", "side", "fp"))
+    order = np.lexsort((fps, sides, parts, keys))
+    keys, parts, sides, fps = keys[order], parts[order], sides[order], fps[order]
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])]) if len(keys) else np.zeros(0, int)
     ends = np.r_[starts[1:], len(keys)] if len(keys) else starts
     unsigned = fps.view(np.uint64)
     edges: list[tuple[int, int]] = []
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-        edges += linked(unsigned[a:b].tolist(), radius)
+        between = sides[a:b].tolist() if sides[b - 1] else None
+        edges += linked(unsigned[a:b].tolist(), radius, between)
     columns = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
     return pa.table({"a": columns[:, 0], "b": columns[:, 1]})
 
 
-def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
+def sliced(divided: DataFrame, slice_rows: int) -> tuple[DataFrame, int]:
+    """(fp, key, part, side) and how many rows that adds: keys of more than ``slice_rows``
+    fingerprints are cut into slices, and each pair of slices is a part of its own.
+
+    So a part holds about two slices, however many fingerprints share a key; a fingerprint goes
+    to as many parts as its key has slices. Side 1 searches the tree of side 0; a slice by
+    itself has no side 1.
+    """
+    sizes = divided.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows)
+    crowds = settled(sizes.select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices"), "n"))
+    added = crowds.agg(F.coalesce(F.sum(F.col("n") * F.col("slices")), F.lit(0))).first()[0]
+    rows = divided.join(crowds.drop("n"), "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("slices", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("other")
+    pairs = rows.select("fp", "key", "own", other)
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    return pairs.select("fp", "key", F.shiftleft(low, 32).bitwiseOR(high).alias("part"), (F.col("own") > F.col("other")).cast("int").alias("side")), added
+
+
+def links(nodes: DataFrame, count: int, radius: int = RADIUS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(a, b): edges whose closure is the closure of all pairs within the radius.
 
     ``nodes`` has each fingerprint once. Keys are block number and block value, and for
-    crowded values the same of the other bits once more.
+    crowded values the same of the other bits once more; what is crowded still is dealt in slices.
     """
     if radius >= BLOCKS:
         raise ValueError(f"{BLOCKS} blocks find at most {BLOCKS - 1} differing bits")
@@ -172,8 +199,10 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     divided = divided.select("fp", "i", "v", second.alias("s")).select(
         "fp", F.lit(1 << 62).bitwiseOR(F.shiftleft(F.col("v").cast("long"), 24)).bitwiseOR(F.shiftleft(F.col("s.w").cast("long"), 8)).bitwiseOR((F.col("i") * 16 + F.col("s.j")).cast("long")).alias("key"),
     )
-    shards = max(1, -(-count * BLOCKS // SHARD_ROWS))
-    placed = plain.unionByName(divided).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    divided, added = sliced(divided, slice_rows)
+    shards = max(1, -(-(count * BLOCKS + added) // SHARD_ROWS))
+    whole = plain.select("fp", "key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"))
+    placed = whole.unionByName(divided).withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int"))
     return placed.groupBy("shard").applyInArrow(lambda t: shard_links(t, radius), "a long, b long")
 
 

@@ -104,3 +104,38 @@ def test_whole_table(spark):
     prints = [brute_fingerprint(r.text) for r in docs]
     want = {(r.doc_id, f"{p:016x}", c) for r, p, c in zip(docs, prints, brute_components([r.doc_id for r in docs], prints))}
     assert {tuple(r) for r in m.op6_simhash(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_crowded_keys_are_sliced(spark, monkeypatch):
+    """Many fingerprints a few bits apart share all keys; slices find the same components."""
+    rng = random.Random(9)
+    values = {rng.getrandbits(64)}
+    base = next(iter(values))
+    while len(values) < 300:
+        flips = rng.sample(range(16), rng.randrange(1, 6)) + [16 + b for b in rng.sample(range(48), rng.randrange(0, 4))]
+        values.add(base ^ sum(1 << b for b in set(flips)))
+    values = sorted(values)
+    group = {v: v for v in values}
+
+    def root(v):
+        while group[v] != v:
+            v = group[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    want = {v: root(v) for v in values}
+    nodes = spark.createDataFrame([(m.signed(v),) for v in values], "fp long").cache()
+    keys = nodes.selectExpr("fp", "shiftrightunsigned(fp, 16) & 3 as key")
+    parts, added = m.sliced(keys, 20)
+    sizes = parts.groupBy("key", "part").count().toPandas()
+    assert added > 0 and sizes["count"].max() < 100 and parts.count() > 300
+    monkeypatch.setattr(m, "CROWD", 3)
+    for slice_rows in (7, 64, 2048):
+        edges = m.links(nodes, len(values), slice_rows=slice_rows)
+        found = {r.fp: r.label for r in m.closed(edges).collect()}
+        label = {v: found.get(m.signed(v), m.signed(v)) for v in values}
+        assert all((label[a] == label[b]) == (want[a] == want[b]) for a in values for b in values)
