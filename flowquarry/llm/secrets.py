@@ -10,9 +10,13 @@ enters: H = log2(w) - S / w with S the sum of c * log2(c). Windows at or above t
 of their class are joined into spans. The allow list drops what is known not to be a secret:
 the parts between separators that hold listed words, and candidates that are plain words, paths
 and dotted names, uniform identifiers, ordered alphabets, or already reported by a fixed format.
+Windows made mostly of parts that can be spoken (camel case, slugs with digits) are dropped too:
+a part is a run of letters of one hump, spoken if vowels and consonants take turns in it.
 
 Defined cases: a null text counts as the empty text and has no span; a null id stays a row;
 repeated rows are scanned each; extra columns are ignored; an empty table gives an empty one.
+An empty text has no span; very long texts and candidates are scanned whole, a window's counts
+being all that is held of a run.
 Positions are code points, the end excluded.
 """
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import accumulate
 from string import ascii_lowercase, ascii_uppercase, digits
 from typing import NamedTuple
 
@@ -71,6 +76,18 @@ ALLOWED_SHAPES = [
     re.compile(r"[0-9=+/_-]+"),  # numbers, dates and rules
 ]
 
+#: Parts of a candidate: humps of letters, capitals in a row, numbers.
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: A part that can be spoken: has a vowel, at most four consonants and three vowels in a row.
+SPOKEN = re.compile(r"(?=[^aeiouy]*[aeiouy])(?:[aeiouy]{1,3}(?![aeiouy])|[^aeiouy]{1,4}(?![^aeiouy]))+")
+SPOKEN_LETTERS = 3
+#: Share of a window's letters and digits from which on spoken parts make it ordinary text.
+SPOKEN_SHARE = 0.6
+#: Digits that stand between separators as years, days and versions do; they count neither way.
+LONE_DIGITS = 4
+#: Each number that touches letters weighs so much more: words hold one, random letters with digits many.
+TOUCHING = 6
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
@@ -82,10 +99,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def dense_windows(run: str, width: int, bits: float, needs: tuple[str, ...] = ()) -> list[tuple[int, int]]:
+def spoken_letters(text: str) -> tuple[list[int], list[int]]:
+    """How many of the first i characters belong to spoken parts, and how many count at all."""
+    spoken, counted = [0] * len(text), [0] * len(text)
+    for m in HUMP.finditer(text):
+        a, b = m.span()
+        part = m.group().lower()
+        if part[0] in digits:
+            alone = (a == 0 or text[a - 1] in SEPARATORS) and (b == len(text) or text[b] in SEPARATORS)
+            if not (alone and b - a <= LONE_DIGITS):
+                counted[a:b] = [1] * (b - a)
+            if not alone:
+                counted[a] += TOUCHING
+        else:
+            counted[a:b] = [1] * (b - a)
+            if b - a >= SPOKEN_LETTERS and SPOKEN.fullmatch(part):
+                spoken[a:b] = [1] * (b - a)
+    return [0, *accumulate(spoken)], [0, *accumulate(counted)]
+
+
+def dense_windows(
+    run: str, width: int, bits: float, needs: tuple[str, ...] = (), spoken: tuple[list[int], list[int]] | None = None, at: int = 0
+) -> list[tuple[int, int]]:
     """Stretches of ``run`` covered by windows of at least so many bits, by running counts.
 
-    A window must hold a character of each string of ``needs``.
+    A window must hold a character of each string of ``needs``. ``spoken`` are the counts of
+    ``spoken_letters`` of the piece in which the run begins at ``at``; mostly spoken windows
+    don't count.
     """
     if len(run) < width:
         return []
@@ -104,6 +144,10 @@ def dense_windows(run: str, width: int, bits: float, needs: tuple[str, ...] = ()
         counts[ch] = c + 1
         if i >= width - 1 and total <= most and all(any(counts.get(x) for x in chars) for chars in needs):
             start = i - width + 1
+            if spoken:
+                words, letters = (c[at + i + 1] - c[at + start] for c in spoken)
+                if words >= SPOKEN_SHARE * letters:
+                    continue
             if out and start <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -128,10 +172,11 @@ def entropy_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[in
     for c in CANDIDATE.finditer(text):
         found = []
         for offset, piece in pieces(c.group()):
-            at = c.start() + offset
+            at, spoken = c.start() + offset, spoken_letters(piece)
             for w in WINDOWS:
                 for run in w.run.finditer(piece):
-                    found += [(at + run.start() + a, at + run.start() + b) for a, b in dense_windows(run.group(), w.width, w.bits, w.needs)]
+                    dense = dense_windows(run.group(), w.width, w.bits, w.needs, spoken, run.start())
+                    found += [(at + run.start() + a, at + run.start() + b) for a, b in dense]
         for a, b in sorted(found):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -189,10 +234,11 @@ def masked(text: str) -> str:
 def mask_secrets(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """All rows and columns, secrets in the text replaced and its length brought up to date.
 
-    Rows without a span come through unchanged, a null text included.
+    Rows without a span come through unchanged, a null text included. Without a column
+    ``chars_col`` only the text is changed.
     """
     names, schema = df.columns, df.schema
-    at, count = names.index(text_col), names.index(chars_col)
+    at, count = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
     def make():
         def work(*columns):
@@ -203,7 +249,9 @@ def mask_secrets(df: DataFrame, text_col: str = "text", chars_col: str = "n_char
                     clean = masked(text)
                     if clean != text:
                         row = [*row]
-                        row[at], row[count] = clean, len(clean)
+                        row[at] = clean
+                        if count is not None:
+                            row[count] = len(clean)
                 out.append(tuple(row))
             return out
 

@@ -7,7 +7,7 @@ import re
 
 from hypothesis import given, settings, strategies as st
 
-from flowquarry.llm.secrets import KINDS, dense_windows, find_secrets, mask_secrets, masked, scan, spelled
+from flowquarry.llm.secrets import KINDS, TOUCHING, dense_windows, find_secrets, mask_secrets, masked, scan, spelled, spoken_letters
 
 SAMPLES = [
     "", "password=hunter2hunter2", 'API_KEY: "abcdefabcdef123"', "token token=shortone", "secret:token=abcdefghijklmnop",
@@ -70,6 +70,32 @@ def test_short_and_lower_case_tokens():
         assert scan(calm)[1] == []
 
 
+def test_spoken_parts_are_no_secrets():
+    calm = [
+        "getUserAccountDetailsV2ByIdentifier", "2023-10-12/jumping-foxes-quickly", "Luedenscheidt2024Kongress", "the_quick_brown_fox_jumps_over_13_lazy_dog",
+        "AbstractSingletonProxyFactoryBean2", "posts/2024/05/17/how-to-bake-bread", "test_parse_utf8_string_with_bom_2", "build-2024-11-03-linux-x86_64-gnu",
+    ]
+    for text in calm:
+        assert scan(f"see {text} here") == ([], []), text
+        assert masked(f"see {text} here") == f"see {text} here"
+    # A key beside spoken parts is still found, whole.
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz"
+    found = 0
+    for _ in range(400):
+        key = "".join(rng.choice(letters) for _ in range(24))
+        text = f"accountDetails/previousIdentifier/{key}/nextPosition"
+        found += any(a < text.index(key) + 3 and b > text.index(key) + 21 for a, b, _ in scan(text)[1])
+    assert found >= 0.97 * 400
+
+
+def test_spoken_letters_by_hand():
+    spoken, counted = spoken_letters("aXyzzy-2024/Bean77")
+    assert [b - a for a, b in zip(spoken, spoken[1:])] == [0] + [1] * 5 + [0] * 6 + [1] * 4 + [0] * 2
+    assert [b - a for a, b in zip(counted, counted[1:])] == [1] * 6 + [0] * 6 + [1] * 4 + [1 + TOUCHING, 1]
+    assert spoken_letters("") == ([0], [0])
+
+
 def test_listed_words_hold_back_their_part_only():
     strong = "Zx9Qw7Lk2Mv8Bn4Rt6Yp1Hs3Df5"
     for before in ("/sample/", "/example/", "lorem_"):
@@ -95,6 +121,8 @@ def test_masking_and_frames(spark):
     texts = sorted(((r.doc_id or 0, r.text or "", r.n_chars) for r in clean.collect()))
     assert (1, "a [entropy] b", 13) in texts and texts.count((1, "[assign]", 8)) == 2 and (0, "clean " * 4000, 24000) in texts
     assert all(scan(masked(t))[0] == [] for _, t, _, _ in rows if t)
+    bare = spark.createDataFrame([(f"a {strong} b",), (None,)], "text string")
+    assert sorted(str(r.text) for r in mask_secrets(bare).collect()) == ["None", "a [entropy] b"]
     assert find_secrets(df.limit(0)).count() == 0 and mask_secrets(df.limit(0)).count() == 0
 
 
