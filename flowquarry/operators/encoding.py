@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.features import quoted
+from flowquarry.operators.positions import in_order
 
 MAX_CATEGORIES = 10_000
-PIECES = 256
 
 
 def unseen(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -29,25 +29,10 @@ def categories(df: DataFrame, column: str) -> list[str]:
 def code_table(df: DataFrame, column: str) -> DataFrame:
     """(value, code): codes in sorted order, for columns of any cardinality.
 
-    Sampled values cut the sorted order into pieces of like size; each piece is ranked
-    alone and shifted by the values in the pieces before it, so no task numbers them all.
+    Values are placed in ranges whose number follows their count, so no task numbers them all.
     """
     values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
-    sample = sorted(r[0] for r in values.orderBy(F.xxhash64("value"), "value").limit(PIECES * 8).collect())
-    edges = sample[8::8]
-    piece = F.lit(0)
-    if edges:
-        piece = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("value")))
-    placed = values.withColumn("piece", piece)
-    counts = placed.groupBy("piece").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    local = Window.partitionBy("piece").orderBy("value")
-    return (
-        placed.withColumn("local", F.row_number().over(local))
-        .join(starts, "piece")
-        .select("value", (F.col("start") + F.col("local") - 1).alias("code"))
-    )
+    return in_order(values, [F.col("value")], "code")
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, output: str, unknown: int | None = None) -> DataFrame:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 512
+from flowquarry.functions.features import quoted
+from flowquarry.session import fresh_path
+
+#: Rows a range of an order is meant to hold, and those below which it isn't worth a task.
+ROWS = 1_000_000
+SMALL_RANGE = 10_000
+#: Working columns begin like this.
+_ID = "_ordered"
 PRUNED_TOP = 1000  # row_number() <= n is cut down before the shuffle up to this n
 
 
@@ -37,64 +45,56 @@ def top_per_group(
     return df.withColumn(name, F.row_number().over(whole)).filter(F.col(name) <= n)
 
 
-def _splits(values: Sequence[float]) -> tuple[list[float], list[float]]:
-    """Strictly rising split points, and the values that fill a whole slice alone."""
-    rising = sorted(set(values))
-    heavy = sorted({a for a, b in zip(values, values[1:]) if a == b})
-    return [float("-inf"), *rising, float("inf")], heavy
-
+def in_order(df: DataFrame, order: Sequence[Column], name: str, rows: int = ROWS) -> DataFrame:
+    """Rows with their 0-based place in the whole order, in ranges of about ``rows`` rows.
 
-def slice_column(df: DataFrame, first: Column, second: Column, name: str = "_slice") -> DataFrame:
-    """Number slices of the order (first, second) so that each holds a small share of rows.
-
-    Slices follow approximate quantiles of ``first``; a single value of ``first`` that
-    fills slices of its own is cut further by quantiles of ``second``.
+    The number of ranges follows the count, so ranges keep their size however large the
+    table or one of its keys is. Each range is sorted alone and written once; a row's place
+    is its place in the range plus the rows of the ranges before. Rows equal in ``order``
+    must be alike. The written table stays in the shared folder, for the result reads it.
     """
-    grid = [i / SPLITS for i in range(1, SPLITS)]
-    a, b = first.cast("double"), second.cast("double")
-    found = df.agg(
-        F.percentile_approx(a, grid, 4 * SPLITS).alias("a"), F.percentile_approx(b, grid, 4 * SPLITS).alias("b")
-    ).collect()[0]
-    if found["a"] is None:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    outer, heavy = _splits(found["a"])
-    inner, _ = _splits(found["b"])
-    df = df.withColumns({"_a": a, "_b": b})
-    df = Bucketizer(splits=outer, inputCol="_a", outputCol="_outer").transform(df)
-    width = len(inner) + 1
-    coarse = F.coalesce(F.col("_outer"), F.lit(-1.0)).cast("bigint") * width
-    if not heavy:
-        return df.withColumn(name, coarse).drop("_a", "_b", "_outer")
-    df = Bucketizer(splits=inner, inputCol="_b", outputCol="_inner").transform(df)
-    # A heavy value is the lower edge of its slice, so its own cuts come before the rest.
-    fine = F.when(F.col("_a").isin(heavy), F.coalesce(F.col("_inner"), F.lit(0.0)).cast("bigint")).otherwise(F.lit(width - 1))
-    return df.withColumn(name, coarse + fine).drop("_a", "_b", "_outer", "_inner")
+    spark = df.sparkSession
+    n = df.count()
+    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / SMALL_RANGE))
+    ranges = max(1, math.ceil(n / rows), spread)
+    path = fresh_path(spark, "ordered")
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed.withColumn(_ID, F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(placed.withColumn(_ID, F.lit(0).cast("bigint")).schema).parquet(path)
+    # The id holds the number of the range above its lowest 33 bits.
+    number = F.shiftright(_ID, 33)
+    sizes = {r["part"]: r["n"] for r in placed.groupBy(number.alias("part")).agg(F.count("*").alias("n")).collect()}
+    parts = sorted(sizes)
+    before = [0, *accumulate(sizes[p] for p in parts)]
+    # One row a range, so its size is known and bounded by the count above.
+    shifts = spark.createDataFrame([((p << 33), b) for p, b in zip(parts, before)], f"{_ID}_first long, {_ID}_before long")
+    found = placed.join(shifts, F.shiftleft(number, 33) == F.col(f"{_ID}_first"))
+    place = F.col(_ID) - F.col(f"{_ID}_first") + F.col(f"{_ID}_before")
+    return found.withColumn(name, place).drop(_ID, f"{_ID}_first", f"{_ID}_before")
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], first: Column, second: Column, name: str = "position"
+    df: DataFrame, keys: Sequence[str], first: Column, second: Column, name: str = "position", total: str | None = None, rows: int = ROWS
 ) -> DataFrame:
     """1-based position of every row within ``keys``, ordered by (first, second).
 
-    Each (key, slice) is ranked alone and shifted by the rows in earlier slices of the
-    key, so a key with a third of the table is spread over all slices. ``second`` must
-    tell rows with equal ``first`` apart and both must be numbers.
+    Rows are placed in the order (keys, first, second), in which a key is one stretch, and
+    the key's start is taken off: a key with a third of the table is spread over as many
+    ranges as its rows need. ``second`` must tell rows with equal ``first`` apart. With
+    ``total`` the key's number of rows comes along. Null keys are a key of their own.
     """
-    sliced = slice_column(df, first, second)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_slice").alias("_s"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+    placed = in_order(df, [*[quoted(k) for k in keys], first, second], f"{_ID}_place", rows)
+    stretch = placed.groupBy(*[quoted(k).alias(f"{_ID}_k{i}") for i, k in enumerate(keys)]).agg(
+        F.min(f"{_ID}_place").alias(f"{_ID}_start"), F.count(F.lit(1)).alias(f"{_ID}_total")
     )
-    same = F.col("_slice") == F.col("_s")
+    # Written, so that Spark knows the size of the table of keys before it plans the join.
+    path = fresh_path(df.sparkSession, "stretches")
+    stretch.write.parquet(path)
+    stretch = df.sparkSession.read.schema(stretch.schema).parquet(path)
+    same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    local = Window.partitionBy(*keys, "_slice").orderBy(first, second)
-    return (
-        sliced.withColumn("_local", F.row_number().over(local))
-        .join(shifts, same)
-        .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_slice", "_local", "_before", "_s", *[f"_k{i}" for i in range(len(keys))])
-    )
+        same = same & quoted(k).eqNullSafe(F.col(f"{_ID}_k{i}"))
+    found = placed.join(stretch, same).withColumn(name, F.col(f"{_ID}_place") - F.col(f"{_ID}_start") + 1)
+    if total:
+        found = found.withColumn(total, F.col(f"{_ID}_total"))
+    return found.drop(f"{_ID}_place", f"{_ID}_start", f"{_ID}_total", *[f"{_ID}_k{i}" for i in range(len(keys))])

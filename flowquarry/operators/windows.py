@@ -45,18 +45,11 @@ def count_windows(df: DataFrame, keys: Sequence[str], ts: str, key: str, size: i
 
 def row_blocks(df: DataFrame, keys: Sequence[str], first: Column, second: Column, size: int, min_tail: int) -> DataFrame:
     """Rows with their 1-based ``block_id``; a last block under ``min_tail`` rows is dropped."""
-    placed = with_position(df, keys, first, second)
-    totals = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_total"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = placed.join(totals, same)
+    placed = with_position(df, keys, first, second, total="_total")
     block = F.floor((F.col("position") - 1) / size) + 1
     full = F.floor(F.col("_total") / size)
     tail = F.col("_total") % size
-    return joined.withColumn("block_id", block).filter((F.col("block_id") <= full) | (tail >= min_tail)).drop(
-        "_total", *[f"_{k}" for k in keys]
-    )
+    return placed.withColumn("block_id", block).filter((F.col("block_id") <= full) | (tail >= min_tail)).drop("_total")
 
 
 def packed_order(ts: Column, row_id: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from flowquarry.operators import splits as P
 from flowquarry.operators import windows as W
 from flowquarry.operators.order_statistics import cut_keys, not_after, order_statistics, quantile_table
-from flowquarry.operators.positions import top_per_group, with_position
+from flowquarry.operators import positions
+from flowquarry.operators.positions import in_order, top_per_group, with_position
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +78,37 @@ def test_positions_keep_null_keys(spark):
     assert got == {2: 1, 1: 2, 4: 1, 3: 2}
 
 
+def test_positions_of_a_hot_key_over_many_ranges(skewed):
+    pdf, df = skewed
+    got = with_position(df, ["key"], F.col("t"), F.col("id"), total="n", rows=50).select("id", "position", "n").toPandas().set_index("id").sort_index()
+    ordered = pdf.sort_values(["t", "id"])
+    want = (ordered.groupby("key").cumcount() + 1).set_axis(ordered["id"]).sort_index()
+    assert got["position"].tolist() == want.tolist()
+    assert got["n"].tolist() == pdf.sort_values("id").groupby("key")["id"].transform("size").tolist()
+
+
+def test_ranges_keep_their_size(spark, skewed, monkeypatch, tmp_path):
+    # Ten times the rows give ten times the ranges, none far above the rows asked for.
+    _, df = skewed
+    monkeypatch.setattr(positions, "fresh_path", lambda _, name: str(tmp_path / f"{name}{len(list(tmp_path.iterdir()))}"))
+    for copies in (1, 10):
+        many = df.crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
+        placed = in_order(many, [F.col("key"), F.col("t"), F.col("id"), F.col("copy")], "place", rows=500)
+        assert sorted(r["place"] for r in placed.select("place").collect()) == list(range(many.count()))
+    for path in sorted(tmp_path.iterdir()):
+        sizes = [r["n"] for r in spark.read.parquet(str(path)).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) <= 3 * 500
+
+
+def test_positions_of_nothing_and_of_odd_names(spark):
+    empty = spark.createDataFrame([], "`a key` int, t int, id int")
+    assert with_position(empty, ["a key"], F.col("t"), F.col("id"), total="n").columns == ["a key", "t", "id", "position", "n"]
+    assert with_position(empty, ["a key"], F.col("t"), F.col("id")).count() == 0
+    df = spark.createDataFrame([(1, 5, 1, "x"), (1, 4, 2, None)], "`a key` int, t int, id int, position string")
+    got = {r["id"]: r["position"] for r in with_position(df, ["a key"], F.col("t"), F.col("id")).collect()}
+    assert got == {2: 1, 1: 2}
+
+
 @pytest.mark.parametrize("n", [3, 1500])
 def test_top_per_group(skewed, n):
     pdf, df = skewed
