@@ -6,7 +6,8 @@ too low by at most what was taken, and a value without counter occurs at most th
 sums over tasks keep both promises, so only values whose upper bound reaches the best lower
 bound can be a mode. Those are counted exactly, by rows that hold one of them. Where values are
 so even that too many could be the mode, or one without counter could, the column is counted in
-full instead.
+full instead. A task that has taken as much as its best counter holds stops counting such a
+column and says only how many values it passed over.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from flowquarry.functions.features import quoted
 COUNTERS = 1024
 #: Values of a column that are counted one by one.
 CANDIDATES = 256
+#: Cuts after which a task looks whether its counters still tell values apart.
+PATIENCE = 4
 #: One object for all, so that it is one key.
 NAN = float("nan")
 SUMMARY = "c int, number double, text string, n long, taken long"
@@ -32,9 +35,12 @@ class Summary:
     """Counters of one column in one task."""
 
     def __init__(self, size: int):
-        self.size, self.counts, self.taken = size, {}, 0
+        self.size, self.counts, self.taken, self.cuts = size, {}, 0, 0
 
     def add(self, values: pa.Array) -> None:
+        if self.cuts >= PATIENCE and not self.counts:
+            self.taken += len(values) - values.null_count
+            return
         counted = pc.value_counts(values.drop_null())
         for value, n in zip(counted.field("values").to_pylist(), counted.field("counts").to_pylist()):
             value = NAN if value != value else value
@@ -43,6 +49,11 @@ class Summary:
             cut = sorted(self.counts.values(), reverse=True)[self.size]
             self.counts = {v: n - cut for v, n in self.counts.items() if n > cut}
             self.taken += cut
+            self.cuts += 1
+            if self.cuts >= PATIENCE and max(self.counts.values(), default=0) <= self.taken:
+                # What was kept becomes part of what may have been passed over.
+                self.taken += max(self.counts.values(), default=0)
+                self.counts = {}
 
 
 def summaries(df: DataFrame, kinds: Sequence[str], size: int = COUNTERS) -> DataFrame:
@@ -77,7 +88,7 @@ def modes(df: DataFrame, kinds: dict[str, str], size: int = COUNTERS) -> dict[st
     limits = {r["c"]: (r["best"], r["off"]) for r in bounds.collect()}
     likely = found.join(bounds, "c").filter((F.col("n") > 0) & (F.col("n") + F.col("off") >= F.col("best")))
     numbered = {r["c"]: r["k"] for r in likely.groupBy("c").agg(F.count("*").alias("k")).collect()}
-    few = [c for c, k in numbered.items() if k <= CANDIDATES]
+    few = [c for c, k in numbered.items() if k <= CANDIDATES and limits[c][1] < limits[c][0]]
     counts: dict[int, list] = {c: [] for c in few}
     for r in likely.filter(F.col("c").isin(few)).select("c", "number", "text", "n").collect() if few else []:
         counts[r["c"]].append((r["n"], r["number"] if r["text"] is None else r["text"]))

@@ -57,3 +57,15 @@ def test_rows_are_not_copied_per_column(spark):
     plan = H.summaries(df, ["double"] * 39)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan
     assert set(H.modes(df, {f"f{i}": "double" for i in range(39)}).values()) == {0.0}
+
+
+def test_a_task_gives_up_on_even_values_only():
+    even, uneven = H.Summary(4), H.Summary(4)
+    for i in range(H.PATIENCE + 2):
+        even.add(pa.array([float(50 * i + k) for k in range(50)]))
+        uneven.add(pa.array([float(50 * i + k) for k in range(30)] + [-1.0] * 20))
+    assert even.counts == {} and uneven.counts[-1.0] >= 20 * (H.PATIENCE + 2) - uneven.taken > 0
+    before = even.taken
+    even.add(pa.array([7.5] * 30 + [None]))
+    # What may have been passed over covers any value's count.
+    assert even.taken == before + 30
