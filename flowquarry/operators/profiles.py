@@ -137,6 +137,65 @@ class PrototypeModel:
         )
 
 
+#: Exponents up to which products of two exponentials neither overflow nor vanish.
+FAR = 300.0
+#: Rows times background rows of which odds are held at once.
+ODDS_AT_ONCE = 200_000
+
+
+@dataclass
+class OtherClass:
+    """The probability that a row is not of class ``name``, and its means over mixed rows.
+
+    The odds against the class are a sum over classes of exp(a sum over features), for the
+    squares in the two distances cancel. So the odds of a row mixed with a background row are
+    one product of (rows x classes) and (classes x background) per coalition.
+    """
+
+    model: PrototypeModel
+    name: str
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        return 1.0 - self.model.probability(rows, self.name)
+
+    def _terms(self, rows: np.ndarray) -> np.ndarray:
+        """(classes x rows x features): what a feature adds to the logarithm of a class's odds."""
+        scaled = (rows - np.array(self.model.scaler.means)) / np.array([s or 1.0 for s in self.model.scaler.stds])
+        centres = np.array(self.model.centres)[:, None, :]
+        own = centres[self.model.classes.index(self.name)]
+        with np.errstate(invalid="ignore"):
+            return (centres - own) * (2 * scaled - own - centres)
+
+    def _direct(self, rows: np.ndarray, background: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """(rows): sums over the background, one mixed row at a time."""
+        total = np.zeros(len(rows))
+        for one in background:
+            total += self(np.where(mask, rows, one))
+        return total
+
+    def coalition_values(self, rows: np.ndarray, background: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        out = np.empty((len(rows), len(masks)))
+        behind = self._terms(background)
+        close = np.abs(behind).sum(axis=2).max(axis=0) <= FAR
+        behind, beyond = behind[:, close], background[~close]
+        step = max(1, ODDS_AT_ONCE // len(background))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            terms = self._terms(part)
+            near = np.abs(terms).sum(axis=2).max(axis=0) <= FAR
+            terms = terms[:, near]
+            for i, mask in enumerate(masks):
+                total = np.empty(len(part))
+                odds = np.exp(terms[:, :, mask].sum(axis=2)).T @ np.exp(behind[:, :, ~mask].sum(axis=2))
+                total[near] = odds.shape[1] - np.reciprocal(odds, out=odds).sum(axis=1)
+                if len(beyond):
+                    total[near] += self._direct(part[near], beyond, mask)
+                if not near.all():
+                    total[~near] = self._direct(part[~near], background, mask)
+                out[start : start + step, i] = total / len(background)
+        return out
+
+
 def fit_prototypes(df: DataFrame, features: Sequence[str], label: str = "label", fit_scaler_on: DataFrame | None = None) -> PrototypeModel:
     """One pass for the scaler, one for the class means; scaling is affine, so class means
     are taken unscaled and scaled afterwards."""

@@ -228,7 +228,7 @@ def _kernel_sql(of="scaled", more=""):
 def _kernel(explained, df):
     model = P.fit_prototypes(df, SCORED)
     background = K.background_rows(df, "flow_id", SCORED)
-    phi = K.kernel_shapley(explained(model), "flow_id", SCORED, background, lambda rows: 1.0 - model.probability(rows, "Benign"))
+    phi = K.kernel_shapley(explained(model), "flow_id", SCORED, background, P.OtherClass(model, "Benign"))
     return phi.select("flow_id", "part", round6(F.col("phi")).alias("phi"))
 
 
@@ -281,7 +281,7 @@ def partition_shapley(spark, sf_dir):
     model = P.fit_prototypes(made, features)
     phi = K.partition_shapley(
         made, "flow_id", features, K.background_rows(made, "flow_id", features),
-        lambda rows: 1.0 - model.probability(rows, "Benign"), P.correlations(made, features),
+        P.OtherClass(model, "Benign"), P.correlations(made, features),
     )
     return phi.select("flow_id", "part", round6(F.col("phi")).alias("phi"))
 

@@ -185,3 +185,27 @@ def test_anchors_against_brute_force(spark):
 
 def test_bound_of_a_share():
     assert A.lower_bound(0, 10) == pytest.approx(0) and 0.7 < A.lower_bound(10, 10) < 0.8 and A.lower_bound(1000, 1000) > 0.99
+
+
+def test_other_class_scores_coalitions_without_mixing_rows():
+    import numpy as np
+
+    from flowquarry.operators import profiles as P
+
+    rng = np.random.default_rng(7)
+    scaler = P.Scaler(list("abc"), [1.0, 2.0, 3.0], [0.5, 2.0, 0.0])
+    model = P.PrototypeModel(scaler, ["Benign", "DDoS", "DoS"], rng.normal(size=(3, 3)).tolist())
+    rows, background = rng.normal(size=(30, 3)), rng.normal(size=(8, 3))
+    masks = np.array([[bool(m >> i & 1) for i in range(3)] for m in range(8)])
+
+    class Unasked(P.OtherClass):
+        def __call__(self, mixed):
+            raise AssertionError("rows were mixed")
+
+    plain = P.OtherClass(model, "Benign")
+    got = K.coalition_values(rows, background, masks, Unasked(model, "Benign"))
+    assert np.allclose(got, K.coalition_values(rows, background, masks, lambda mixed: plain(mixed)), rtol=0, atol=1e-12)
+    # Rows and background rows too far out for a product of exponentials take the plain way.
+    rows[3], rows[7, 1], background[2, 0] = 1e6, -1e9, 1e7
+    got = K.coalition_values(rows, background, masks, plain)
+    assert np.allclose(got, K.coalition_values(rows, background, masks, lambda mixed: plain(mixed)), rtol=0, atol=1e-12)
