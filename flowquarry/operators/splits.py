@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowquarry.functions.features import computed_once
 from flowquarry.functions.hashing import WORD, hash_word
 from flowquarry.operators.order_statistics import cut_keys, not_after
 from flowquarry.operators.positions import top_per_group
@@ -27,14 +28,15 @@ def stratified_split(
         total = round(total + shares[name], 12)
         edges.append(total)
     by = F.col(label)
-    # Order columns are computed once per row and pass, then only compared.
+    # Order columns are computed once per row and pass, then only compared: a filter on the
+    # split would otherwise hold a copy of them for every comparison.
     held = {f"_o{i}": c for i, c in enumerate(order)}
-    keyed, columns = df.withColumns(held), [F.col(c) for c in held]
+    keyed, columns = computed_once(df, held), [F.col(c) for c in held]
     cuts = cut_keys(keyed.select(label, *held), columns, lambda _g, n: [int(n * e) for e in edges], by)
     chain = F
     for j, name in enumerate(names[:-1]):
         chain = chain.when(not_after(columns, {g: keys[j] for g, keys in cuts.items()}, by), F.lit(name))
-    return keyed.withColumn(output, chain.otherwise(F.lit(names[-1]))).drop(*held)
+    return computed_once(keyed.drop(output), {output: chain.otherwise(F.lit(names[-1]))}).drop(*held)
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:

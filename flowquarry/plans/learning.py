@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from flowquarry.operators.scoring import Rule, Test, apply_rules as rule_labels,
 from flowquarry.operators.splits import stratified_split as split_rows
 from flowquarry.plans.profiling import NAMES, SCORED
 from flowquarry.plans.registry import query
+from flowquarry.session import fresh_path
 from flowquarry.sources import tables as S
 
 _PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -32,24 +35,34 @@ def feature_pipeline(spark, sf_dir):
     )
 
 
-def labelled_flows(spark, sf_dir):
-    """Flows with their features, class and a 70/15/15 split. No feature is made from the class."""
-    df = S.flows(spark, sf_dir).select("flow_id", "label", *[quoted(f) for f in S.FEATURES])
-    return split_rows(df, "label", S.flow_words(), {"train": 0.70, "val": 0.15, "test": 0.15})
+def labelled_flows(spark, sf_dir, *keys):
+    """Flows with their ``keys``, features, class and a 70/15/15 split. No feature is made from the class.
+
+    The split's order is hashed once, into a table in the shared folder: cuts, training and
+    scoring read that, and only the columns they need.
+    """
+    order = dict(zip(("_first", "_second"), S.flow_words()))
+    path = fresh_path(spark, "flows")
+    df = S.flows(spark, sf_dir).select(*keys, "label", *[quoted(f) for f in S.FEATURES], *[w.alias(n) for n, w in order.items()])
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
+    return split_rows(df, "label", [F.col(n) for n in order], {"train": 0.70, "val": 0.15, "test": 0.15}).drop(*order)
 
 
+@contextmanager
 def _halves(df):
-    return df.filter("split = 'train'").persist(), df.filter("split = 'val'").persist()
+    """Training and validation rows with what models read, computed and held once."""
+    held = df.filter("split <> 'test'").select("label", "split", *[quoted(f) for f in S.FEATURES]).persist()
+    try:
+        yield held.filter("split = 'train'"), held.filter("split = 'val'")
+    finally:
+        held.unpersist()
 
 
 def _chosen(df):
     """The best kind of classifier on the validation rows, trained on the training rows."""
-    train, val = _halves(df)
-    try:
+    with _halves(df) as (train, val):
         return M.choose_classifier(train, val, "label", S.FEATURES)[0]
-    finally:
-        train.unpersist()
-        val.unpersist()
 
 
 @query()
@@ -63,12 +76,8 @@ def train_classifier(spark, sf_dir):
 def train_boosted(spark, sf_dir):
     """Report on the test split of boosted trees whose rounds are chosen on the validation split."""
     df = labelled_flows(spark, sf_dir)
-    train, val = _halves(df)
-    try:
+    with _halves(df) as (train, val):
         model = M.train_boosted(train, val, "label", S.FEATURES)
-    finally:
-        train.unpersist()
-        val.unpersist()
     report = E.classification_report(model.transform(df.filter("split = 'test'")), truth="label")
     return report.withColumn("rounds", F.lit(model.rounds))
 
@@ -81,26 +90,24 @@ def train_binary(spark, sf_dir):
 
 @query()
 def score_model(spark, sf_dir):
-    df = labelled_flows(spark, sf_dir)
-    train = df.filter("split = 'train'").persist()
-    try:
+    df = labelled_flows(spark, sf_dir, "flow_id")
+    with _halves(df) as (train, _):
         model = M.train_classifier(train, "label", S.FEATURES, kind="tree")
-    finally:
-        train.unpersist()
     return M.score(model, df).select("flow_id", "label", "predicted", round6(F.col("confidence")).alias("confidence"))
 
 
 def _rules(spark, sf_dir):
     df = labelled_flows(spark, sf_dir)
-    train = df.filter("split = 'train'")
-    tree, classes = M.fit_rule_tree(train, "label", S.FEATURES)
-    return df, train, tree, M.extract_rules(tree, S.FEATURES, classes)
+    with _halves(df) as (train, _):
+        tree, classes = M.fit_rule_tree(train, "label", S.FEATURES)
+        default = M.majority_label(train, "label")
+    return df, default, tree, M.extract_rules(tree, S.FEATURES, classes)
 
 
 @query()
 def rule_learner(spark, sf_dir):
-    df, train, _, rules = _rules(spark, sf_dir)
-    labelled = rule_labels(df.filter("split = 'test'"), rules, M.majority_label(train, "label"))
+    df, default, _, rules = _rules(spark, sf_dir)
+    labelled = rule_labels(df.filter("split = 'test'"), rules, default)
     return E.classification_report(labelled, truth="label")
 
 
@@ -154,12 +161,8 @@ def cascade_predict(spark, sf_dir):
 def ga_select(spark, sf_dir):
     """The subset chosen on the validation rows, its merit, and its tree's test accuracy."""
     df = labelled_flows(spark, sf_dir)
-    train, val = _halves(df)
-    try:
+    with _halves(df) as (train, val):
         finalists = M.ga_select(P.mutual_information(train, S.FEATURES), P.correlations(train, S.FEATURES), S.FEATURES, finalists=3)
         chosen, merit, model = M.held_out_choice(train, val, "label", finalists)
-    finally:
-        train.unpersist()
-        val.unpersist()
     right = M.score(model, df.filter("split = 'test'")).agg(F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
     return right.select(F.lit(",".join(chosen)).alias("features"), F.lit(merit).alias("merit"), "accuracy")

@@ -191,3 +191,31 @@ def test_latest_and_majority_do_not_sort_their_input(spark):
         count = {v: sum(x["v"] == v for x in own) for v in range(3)}
         first = {v: min(x["id"] for x in own if x["v"] == v) for v in range(3)}
         assert r["majority_label"] == min(range(3), key=lambda v: (-count[v], first[v])) and r["n"] == max(count.values())
+
+
+def test_many_ranks_are_counted_without_a_chain_of_comparisons(spark):
+    from flowquarry.operators.order_statistics import order_statistics
+
+    df = spark.range(2000).selectExpr("CASE WHEN id % 9 = 0 THEN NULL WHEN id % 9 = 1 THEN double('NaN') ELSE exp((id * 7919 % 2000) / 100) END AS x", "id * 31 % 50 AS t")
+    ranks = list(range(50, 1500, 50))
+    got = order_statistics(df, {"x": F.col("x"), "t": F.col("t")}, lambda g, n, total: ranks, small=4)
+    rows = df.collect()
+    for name in ("x", "t"):
+        held = sorted(r[name] for r in rows if r[name] is not None and r[name] == r[name])
+        for (value, below, equal, rank), k in zip(got[None, name], ranks):
+            assert (value, rank) == (held[k - 1], k)
+            assert (below, equal) == (sum(v < value for v in held), held.count(value))
+
+
+def test_a_split_is_evaluated_once_under_a_filter(spark):
+    from flowquarry.functions.hashing import hash_word
+    from flowquarry.operators.splits import stratified_split
+
+    df = spark.range(500).selectExpr("cast(id as string) AS k", "cast(id % 3 as string) AS label")
+    order = [hash_word(F.col("k"), 0), hash_word(F.col("k"), 1)]
+    out = stratified_split(df, "label", order, {"train": 0.7, "val": 0.15, "test": 0.15}).filter("split <> 'test'")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 2
+    assert {(r.label, r.split): r["count"] for r in out.groupBy("label", "split").count().collect()} == {
+        (c, s): n for c, total in (("0", 167), ("1", 167), ("2", 166)) for s, n in (("train", int(total * 0.7)), ("val", int(total * 0.85) - int(total * 0.7)))
+    }
