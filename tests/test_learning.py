@@ -345,3 +345,24 @@ def test_quantile_bins(spark):
     assert mi["skew"] == pytest.approx(mi["log"]) and mi["same"] == pytest.approx(0) and mi["skew"] > 0.6
     assert {r.feature: r.mi for r in P.mutual_information(df, ["skew"]).collect()}["skew"] < 0.1
     assert P.mutual_information(df.limit(0), ["skew"], equal_counts=True).count() == 0
+
+
+def test_neighbour_visits_leave_a_task_in_small_batches(spark, monkeypatch):
+    """A query visits up to all cells, so a whole Arrow batch's visits at once would be many times the batch."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plain = DataFrame.mapInPandas
+
+    def watched(self, func, schema, *more):
+        def run(batches):
+            for out in func(batches):
+                assert len(out) <= 4096
+                yield out
+
+        return plain(self, run, schema, *more)
+
+    monkeypatch.setattr(DataFrame, "mapInPandas", watched)
+    vec = F.array(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000).cast("double") for i in range(12)])
+    points = spark.range(4000).coalesce(1).select("id", F.lit(0).alias("block"), vec.alias("vec"))
+    found = nearest(points, points, 3, same_table=True)
+    assert found.count() == 12000
