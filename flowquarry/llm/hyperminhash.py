@@ -21,7 +21,10 @@ than one component are joined by prefixes: shingles ordered from rare to common,
 the wanted overlap share one among the first fifth, at places that leave room for the overlap.
 Only nodes of different components are compared, and a shingle whose nodes are all in one
 component drops out, so a group that is already joined costs nothing and the edits that are
-peculiar to a text rule it out at once. No link between different components is lost; links
+peculiar to a text rule it out at once.
+Pairs also differ in at least as many shingles as their parities differ in bits (whether a set
+holds an odd number of hashes in each of 512 ranges), which rules out near copies just below
+the similarity before a pair is made. No link between different components is lost; links
 inside one change nothing.
 
 Components are closed by exchanging smallest labels until none changes.
@@ -57,6 +60,9 @@ CROWD = 16
 #: Pairs estimated this far below the wanted similarity are not confirmed; over seven standard deviations.
 MARGIN = 0.25
 
+#: Bits of a set's parities; a power of two and a multiple of 64.
+PARITIES = 512
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 
@@ -221,10 +227,20 @@ def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, width: int) -> Da
     return map_rows(texts.select("text", "node"), make, "node long, shingles binary")
 
 
-def crossing(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes in different components that may have the wanted similarity.
+def parities(values: np.ndarray) -> list[int]:
+    """A bit for each of ``PARITIES`` ranges of the hashes: whether the set holds an odd number there."""
+    odd = np.bincount((values >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+MARKS = [f"mark_{i}" for i in range(PARITIES // 64)]
+
+
+def prefixes(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, place, label, marks) of the shingles of which similar sets share one.
 
-    Exact: prefixes from rare to common shingles, with places that leave room for the overlap.
+    Shingles go from rare to common; ``place`` is a shingle's place in its set, and any common
+    shingle of two sets is at or after the first one that both have among these.
     """
     out = arrow_schema("node long, n long, shingle long")
 
@@ -234,6 +250,10 @@ def crossing(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 values = np.frombuffer(held.as_py(), "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), c, np.int64)) for c in (node, len(values))] + [pa.array(values)], schema=out)
 
+    def make():
+        return lambda nodes, held: [(n, *parities(np.frombuffer(h, "<u8"))) for n, h in zip(nodes, held)]
+
+    marks = map_rows(sets.select("node", "shingles"), make, ", ".join(f"{c} long" for c in ["node", *MARKS]))
     held = sets.select("node", "shingles").mapInArrow(run, "node long, n long, shingle long")
     common = held.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     # A document's own shingles come together again; shingles of one node only count as places.
@@ -241,25 +261,33 @@ def crossing(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     last = F.col("n") - F.ceil(F.col("n") * percent / 100)
     placed = ordered.select("node", "n", F.posexplode("s").alias("i", "s"), (F.col("n") - F.size("s")).alias("rare"))
     placed = placed.withColumn("place", F.col("rare") + F.col("i")).filter(F.col("place") <= last)
-    posted = settled(placed.join(labels, "node").select(F.col("s.shingle").alias("shingle"), "node", "n", "place", "label"))
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    return settled(placed.join(labels.join(marks, "node"), "node").select(F.col("s.shingle").alias("shingle"), "node", "n", "place", "label", *MARKS))
+
+
+def may_link(percent: int) -> Column:
+    """Of rows x and y of one shingle: different components, and nothing rules the similarity out.
+
+    Exact: the places leave room for the overlap, and a range of hashes of which one set holds an
+    odd and the other an even number has a shingle that only one of them has.
+    """
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    need = F.ceil(percent * (x("n") + y("n")) / (100 + percent))
+    room = (x("n") - x("place") >= need) & (y("n") - y("place") >= need)
+    apart = sum((F.bit_count(x(m).bitwiseXOR(y(m))) for m in MARKS[1:]), F.bit_count(x(MARKS[0]).bitwiseXOR(y(MARKS[0]))))
+    return (x("label") != y("label")) & room & (apart <= x("n") + y("n") - 2 * need)
+
+
+def crossing(posted: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes in different components that may have the wanted similarity."""
+    sizes = posted.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
     largest = posted.join(sizes, "label").groupBy("shingle").agg(
         F.max(F.struct("size", "label"))["label"].alias("main"), (F.min("label") != F.max("label")).alias("mixed")
     )
     mixed_lists = largest.filter("mixed").select("shingle", "main")
     few = posted.join(mixed_lists, "shingle").filter(F.col("label") != F.col("main")).alias("x")
     many = posted.join(mixed_lists.select("shingle"), "shingle", "left_semi").alias("y")
-
-    def x(c: str) -> Column:
-        return F.col(f"x.{c}")
-
-    def y(c: str) -> Column:
-        return F.col(f"y.{c}")
-
-    need = F.ceil(percent * (x("n") + y("n")) / (100 + percent))
-    room = (x("n") - x("place") >= need) & (y("n") - y("place") >= need)
-    met = few.join(many, (x("shingle") == y("shingle")) & (x("label") != y("label")) & room)
-    return met.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct()
+    met = few.join(many, (F.col("x.shingle") == F.col("y.shingle")) & may_link(percent))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def torn_values(entries: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -290,8 +318,8 @@ def links(df: DataFrame, nodes: DataFrame, text_col: str, width: int, percent: i
     found = confirmed(estimated(pairs, meeting, percent), sets, percent)
     labels = settled(torn.filter(F.col("count") > CROWD).select("node", "label").distinct())
     if not labels.isEmpty():
-        rest = crossing(sets.join(labels.select("node"), "node", "left_semi"), labels, percent)
-        found = found.union(confirmed(rest, sets, percent))
+        posted = prefixes(sets.join(labels.select("node"), "node", "left_semi"), labels, percent)
+        found = found.union(confirmed(crossing(posted, percent), sets, percent))
     return edges.union(found)
 
 

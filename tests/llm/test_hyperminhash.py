@@ -113,6 +113,30 @@ def test_large_group_of_near_copies(spark):
     expect(spark, rows)
 
 
+def test_near_copies_below_the_bound_are_not_paired(spark):
+    """Copies that share most of their shingles, but too few, leave before a pair of them is made."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:134], rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2)])) for _ in range(200)]
+    sets += [np.unique(np.concatenate([base[2:], sets[0][:1]])), base]
+    rows = [(i, x.tobytes()) for i, x in enumerate(sets)]
+    held = spark.createDataFrame(rows, "node long, shingles binary")
+    labels = spark.createDataFrame([(i, i) for i in range(len(sets))], "node long, label long")
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if m.similar(sets[i], sets[j], 80)}
+    met = {tuple(r) for r in m.crossing(m.prefixes(held, labels, 80), 80).collect()}
+    assert linked and linked <= met
+    assert len(met) < len(linked) + 400  # of 20,301 pairs
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for size in (1, 5, 300, 4000):
+        a, b = (rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) for _ in range(2))
+        b[: size // 2] = a[: size // 2]
+        bits = sum((x ^ y).bit_count() for x, y in zip(*[np.array(m.parities(np.unique(v))).view("<u8").tolist() for v in (a, b)]))
+        assert bits <= len(np.setxor1d(a, b)) and m.parities(a) == m.parities(np.sort(a))
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert m.near_duplicates(df).count() == 0
