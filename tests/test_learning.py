@@ -366,3 +366,32 @@ def test_neighbour_visits_leave_a_task_in_small_batches(spark, monkeypatch):
     points = spark.range(4000).coalesce(1).select("id", F.lit(0).alias("block"), vec.alias("vec"))
     found = nearest(points, points, 3, same_table=True)
     assert found.count() == 12000
+
+
+def test_a_query_meets_few_points_of_a_tile(monkeypatch):
+    """Exact with ties and repeated points, at a small part of all distances where there is structure."""
+    from flowquarry.operators import neighbours as N
+
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.integers(0, 200, (1500, 2)) / 4.0, np.repeat(rng.random((25, 2)) * 50, 20, axis=0)])
+    flags = np.eye(5)[rng.integers(0, 5, len(points))] * 15
+    points, ids = np.hstack([points, flags]), np.arange(len(points))
+    compared, real = [], N._distances
+    monkeypatch.setattr(N, "_distances", lambda a, b: (compared.append(len(a) * len(b)), real(a, b))[1])
+    found = {i: [] for i in ids}
+    for _, who, at, d in N.tile_search(ids, points, np.full(len(ids), np.inf), ids, points, 5, True):
+        for q, p, x in zip(who.tolist(), at.tolist(), d.tolist()):
+            found[q].append((x, p))
+    assert sum(compared) < 0.25 * len(ids) ** 2
+    whole = real(points, points)
+    np.fill_diagonal(whole, np.inf)
+    for q in ids:
+        assert found[q] == [(whole[q, p], p) for p in np.lexsort((ids, whole[q]))[:5]]
+
+
+def test_only_seeds_look_for_neighbours(spark):
+    rows = [(i, "p", float(i % 7), float(i % 5)) for i in range(60)] + [(i, "q", float(i % 9), float(i % 4)) for i in range(60, 117)]
+    df = spark.createDataFrame(rows, "id long, kind string, a double, b double")
+    pairs, around = B.synthetic_pairs(df, "id", "kind", F.array("a", "b"), {"q": 60}, {"p": 60, "q": 57})
+    seeds = {r.id for r in pairs.collect()}
+    assert len(seeds) == 3 and {r.qid for r in around.collect()} == seeds
