@@ -209,21 +209,28 @@ def links(nodes: DataFrame, count: int, radius: int = RADIUS, slice_rows: int =
 def closed(edges: DataFrame) -> DataFrame:
     """(fp, label): the smallest fingerprint reachable, for every fingerprint with an edge.
 
-    Each round a node takes the smallest label among its own and its neighbours', and then
-    its label's label; one number goes to the driver per round.
+    Each round a node moves to its smallest neighbour, and then to that one's own; edges are
+    drawn between the nodes moved to, each once, and those inside one node drop out. So a dense
+    group leaves with the first rounds, and a round has no more edges than the one before. One number
+    goes to the driver per round.
     """
-    edges = settled(edges.distinct())
-    both = settled(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.col("fp"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels, both["b"] == labels["fp"]).groupBy("a").agg(F.min("label").alias("low"))
-        joined = labels.join(near, labels["fp"] == near["a"]).select("fp", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        jump = labels.select(F.col("fp").alias("at"), F.col("label").alias("next"))
-        moved = joined.join(jump, joined["label"] == jump["at"], "left").select("fp", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
-        moved = settled(moved)
-        labels = moved.select("fp", "label")
-        if not moved.filter("label <> old").limit(1).count():
-            return labels
+    edges = settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    left, steps = edges.filter("a <> b"), []
+    while not left.isEmpty():
+        # Only larger nodes move; the smallest of a component stays and is the last one left.
+        up = left.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("label"))
+        beyond = up.select(F.col("fp").alias("at"), F.col("label").alias("next"))
+        steps.append(settled(up.join(beyond, F.col("label") == F.col("at"), "left").select("fp", F.coalesce("next", "label").alias("label"))))
+        high = steps[-1].select(F.col("fp").alias("a"), F.col("label").alias("high"))
+        low = steps[-1].select(F.col("fp").alias("b"), F.col("label").alias("low"))
+        drawn = left.join(high, "a").join(low, "b", "left").select("high", F.coalesce("low", "b").alias("low")).filter("high <> low")
+        left = settled(drawn.select(F.greatest("high", "low").alias("a"), F.least("high", "low").alias("b")).distinct())
+    nodes = edges.select("a").union(edges.select("b")).distinct()
+    labels = nodes.select(F.col("a").alias("fp"), F.col("a").alias("label"))
+    for step in steps:
+        moved = step.select(F.col("fp").alias("at"), F.col("label").alias("next"))
+        labels = labels.join(moved, F.col("label") == F.col("at"), "left").select("fp", F.coalesce("next", "label").alias("label"))
+    return settled(labels)
 
 
 def labelled(prints: DataFrame, first: Column, radius: int = RADIUS) -> DataFrame:

@@ -139,3 +139,30 @@ def test_crowded_keys_are_sliced(spark, monkeypatch):
         found = {r.fp: r.label for r in m.closed(edges).collect()}
         label = {v: found.get(m.signed(v), m.signed(v)) for v in values}
         assert all((label[a] == label[b]) == (want[a] == want[b]) for a in values for b in values)
+
+
+def test_closure_draws_fewer_edges_each_round(spark, monkeypatch):
+    """A group of many links is held once; later rounds only see what leads out of the nodes joined so far."""
+    rng = random.Random(8)
+    edges = [(a, b) for g in range(0, 120, 40) for a in range(g, g + 40) for b in range(g, a)]
+    edges += [(200 + i, 201 + i) for i in range(100)] + [(400, i) for i in range(300, 340)] + [(500, 500)]
+    names = list(range(501))
+    rng.shuffle(names)
+    edges = [(names[a] - 250, names[b] - 250) for a, b in edges]
+    held = []
+    settled = m.settled
+
+    def seen(df):
+        df = settled(df)
+        if df.columns == ["a", "b"]:
+            held.append(df.count())
+        return df
+
+    monkeypatch.setattr(m, "settled", seen)
+    got = {r.fp: r.label for r in m.closed(spark.createDataFrame(edges, "a long, b long")).collect()}
+    least = {n: n for e in edges for n in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    assert held[0] == len(edges) and sum(held[1:]) < held[0] / 2
