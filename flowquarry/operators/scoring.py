@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,9 +81,19 @@ class Rule:
         return f"{' AND '.join(t.text() for t in self.tests) or 'TRUE'} => {self.label}"
 
 
+def first_holding(rules: Sequence[Rule], depth: int = 0) -> Column:
+    """Label of the first rule whose tests from ``depth`` on hold, else null.
+
+    Neighbouring rules that begin alike share that test, so the paths of a tree are tested as
+    the tree they came from: a row meets a few tests a level instead of every path's own.
+    """
+    parts = []
+    for first, run in groupby(rules, lambda rule: rule.tests[depth] if len(rule.tests) > depth else None):
+        run = list(run)
+        parts.append(F.lit(run[0].label) if first is None else F.when(first.column(), first_holding(run, depth + 1)))
+    return F.coalesce(*parts)
+
+
 def apply_rules(df: DataFrame, rules: list[Rule], default: str, output: str = "predicted") -> DataFrame:
     """Label of the first rule that holds, else the default; one projection."""
-    chain = F
-    for rule in rules:
-        chain = chain.when(rule.column(), F.lit(rule.label))
-    return df.withColumn(output, chain.otherwise(F.lit(default)) if rules else F.lit(default))
+    return df.withColumn(output, F.coalesce(first_holding(rules), F.lit(default)) if rules else F.lit(default))

@@ -12,7 +12,7 @@ from flowquarry.operators import explain as X
 from flowquarry.operators import models as M
 from flowquarry.operators import profiles as P
 from flowquarry.operators.neighbours import nearest
-from flowquarry.operators.scoring import apply_rules
+from flowquarry.operators.scoring import Rule, Test, apply_rules
 from flowquarry.sources import sinks
 
 
@@ -395,3 +395,31 @@ def test_only_seeds_look_for_neighbours(spark):
     pairs, around = B.synthetic_pairs(df, "id", "kind", F.array("a", "b"), {"q": 60}, {"p": 60, "q": 57})
     seeds = {r.id for r in pairs.collect()}
     assert len(seeds) == 3 and {r.qid for r in around.collect()} == seeds
+
+
+def test_rules_of_a_tree_test_each_node_once(spark):
+    """The paths of a tree cost its nodes, not the sum of their lengths, and mean the same."""
+    def paths(tests, depth):
+        if not depth:
+            return [Rule(tests, str(len(tests)) + "".join("l" if t.at_most else "r" for t in tests))]
+        at = sum((4 if t.at_most else -4) * 0.5**i for i, t in enumerate(tests))
+        return [r for low in (True, False) for r in paths((*tests, Test("ab"[depth % 2], low, at)), depth - 1)]
+
+    rules = paths((), 5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), -3.0, 0.0, 0.25, 3.5]
+    df = spark.createDataFrame([(x, y) for x in odd for y in odd], "a double, b double")
+    ruled = apply_rules(df, rules, "none")
+    shown = ruled._jdf.queryExecution().analyzed().toString()
+    assert shown.count("<=") + shown.count(" > ") == 2 * (2**5 - 1)
+    mixed = [Rule((Test("a", True, 0.0), Test("b", True, 0.0)), "x"), Rule((Test("a", True, 0.0), Test("b", True, 1.0)), "y"),
+             Rule((Test("b", False, 0.0),), "z"), Rule((Test("a", True, 0.0),), "u"), Rule((), "rest"), Rule((Test("a", False, 0.0),), "never")]
+
+    def holds(t, row):
+        x = row[t.feature]
+        if x is None:
+            return False
+        return (x <= t.threshold) if t.at_most else (x > t.threshold or x != x)  # Spark: NaN is above all numbers
+
+    for given, default in ((rules, "none"), (mixed, "none"), (mixed[:4], "none"), ([], "none")):
+        for row in apply_rules(df, given, default).collect():
+            assert row.predicted == next((r.label for r in given if all(holds(t, row) for t in r.tests)), default)
