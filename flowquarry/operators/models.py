@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowquarry.functions.features import quoted
 from flowquarry.operators.profiles import balanced_weight
 from flowquarry.operators.scoring import Rule, Test
 
@@ -52,27 +53,59 @@ CLASSIFIERS = {
 }
 
 
-def with_class_weights(df: DataFrame, label: str, output: str = "_weight") -> DataFrame:
-    """Balanced class weights as a literal map; one counting pass."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+def class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class, one counting pass; its keys in order are the classes of a model."""
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+
+def with_class_weights(df: DataFrame, label: str, output: str = "_weight", counts: dict | None = None) -> DataFrame:
+    """Balanced class weights as a literal map; one counting pass, unless ``counts`` are known."""
+    counts = class_counts(df, label) if counts is None else counts
     n, k = sum(counts.values()), len(counts)
     pairs = [F.lit(x) for c, m in counts.items() for x in (c, balanced_weight(n, k, m))]
     return df.withColumn(output, F.element_at(F.create_map(*pairs), F.col(label)))
 
 
+def with_class_index(df: DataFrame, label: str, counts: dict, output: str = "_label") -> tuple[DataFrame, list[str]]:
+    """The class's place among the sorted classes, as a string indexer gives it, and the classes.
+
+    A literal map is read instead of calling a function per row; a row without a class or of
+    one not in ``counts`` is an error, as there.
+    """
+    classes = sorted(str(c) for c in counts if c is not None)
+    if not classes:
+        raise ValueError(f"no row has a class in {label!r}")
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
+    place = F.try_element_at(places, F.col(label).cast("string"))
+    unknown = F.raise_error(F.concat(F.lit(f"not a class in {label}: "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
+    nominal = {"ml_attr": {"type": "nominal", "name": output, "vals": classes}}
+    return df.withColumn(output, F.coalesce(place, unknown.cast("double")).alias(output, metadata=nominal)), classes
+
+
+def _assembled(df: DataFrame, numeric: Sequence[str], scaler) -> DataFrame:
+    """``features`` as the fitted ``scaler`` makes them of ``numeric``: scaled in plain columns,
+    then put into a vector once. Training reads a row several times."""
+    scale = [1 / s if s else 0.0 for s in scaler.std.toArray().tolist()]
+    names = [f"_s{i}" for i in range(len(numeric))]
+    scaled = [((quoted(f).cast("double") - F.lit(m)) * F.lit(s)).alias(n) for n, f, m, s in zip(names, numeric, scaler.mean.toArray().tolist(), scale)]
+    return VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error").transform(df.select("_label", "_weight", *scaled))
+
+
 def train_classifier(
-    train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic"
+    train: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic", counts: dict | None = None
 ) -> PipelineModel:
     """Class-weighted fit; the model adds ``predicted``, ``confidence`` and the class
-    ``probabilities`` through :func:`score`."""
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error")
-    classes = indexer.fit(train)
-    pipeline = feature_pipeline(numeric, categorical)
-    model = CLASSIFIERS[kind](featuresCol="features", labelCol="_label")
-    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes.labels)
-    prepared = classes.transform(with_class_weights(train, label))
-    fitted = Pipeline(stages=[pipeline, model, names]).fit(prepared)
-    return fitted
+    ``probabilities`` through :func:`score`. ``counts`` are the rows per class, where known."""
+    counts = class_counts(train, label) if counts is None else counts
+    prepared, classes = with_class_index(with_class_weights(train, label, counts=counts), label, counts)
+    pipeline = feature_pipeline(numeric, categorical).fit(prepared)
+    if numeric and not categorical:
+        ready = _assembled(prepared, numeric, pipeline.stages[1])
+    else:
+        ready = pipeline.transform(prepared)
+    model = CLASSIFIERS[kind](featuresCol="features", labelCol="_label").fit(ready)
+    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes)
+    return PipelineModel(stages=[pipeline, model, names])
 
 
 def choose_classifier(

@@ -423,3 +423,48 @@ def test_rules_of_a_tree_test_each_node_once(spark):
     for given, default in ((rules, "none"), (mixed, "none"), (mixed[:4], "none"), ([], "none")):
         for row in apply_rules(df, given, default).collect():
             assert row.predicted == next((r.label for r in given if all(holds(t, row) for t in r.tests)), default)
+
+
+def _watched(monkeypatch, kind, seen):
+    """Learners of ``kind`` that also keep the rows they are handed."""
+    make = M.CLASSIFIERS[kind]
+
+    def spied(**settings):
+        learner = make(**settings)
+        fit = learner.fit
+        learner.fit = lambda df: seen.append(df) or fit(df)
+        return learner
+
+    monkeypatch.setitem(M.CLASSIFIERS, kind, spied)
+
+
+def _calls(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("UDF(")
+
+
+@pytest.mark.parametrize("kind", ["tree", "logistic"])
+def test_training_calls_one_function_per_row_and_learns_the_same(scored, monkeypatch, kind):
+    """Class places, weights and scaling are plain columns; the model is the whole pipeline's own."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString, StringIndexer
+
+    features, seen = ["a", "b", "c"], []
+    index = StringIndexer(inputCol="label", outputCol="_label", stringOrderType="alphabetAsc").fit(scored)
+    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
+    stages = [M.feature_pipeline(features), M.CLASSIFIERS[kind](featuresCol="features", labelCol="_label"), names]
+    plain = Pipeline(stages=stages).fit(index.transform(M.with_class_weights(scored, "label")))
+    _watched(monkeypatch, kind, seen)
+    model = M.train_classifier(scored, "label", features, kind=kind)
+    assert _calls(seen[0]) == 1
+    told = [M.score(m, scored).select("key", "predicted", "confidence").orderBy("key").collect() for m in (model, plain)]
+    assert told[0] == told[1]
+
+
+def test_class_places(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "k string")
+    placed, classes = M.with_class_index(df, "k", M.class_counts(df, "k"))
+    assert classes == ["a", "b", "c"] and {r["k"]: r["_label"] for r in placed.collect()} == {"a": 0.0, "b": 1.0, "c": 2.0}
+    assert placed.schema["_label"].metadata["ml_attr"]["vals"] == classes
+    for odd in ("zz", None):
+        with pytest.raises(Exception, match="not a class in k"):
+            M.with_class_index(spark.createDataFrame([(odd,)], "k string"), "k", {"a": 1})[0].collect()
