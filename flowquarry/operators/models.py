@@ -114,8 +114,9 @@ def choose_classifier(
     """The model of the kind with the best balanced accuracy on ``val``, its kind and that
     accuracy; the kind named first wins a tie."""
     best = None
+    counts = class_counts(train, label)
     for kind in kinds:
-        model = train_classifier(train, label, numeric, kind=kind)
+        model = train_classifier(train, label, numeric, kind=kind, counts=counts)
         reached = mean_recall(score(model, val), label)
         if best is None or reached > best[2]:
             best = model, kind, reached
@@ -326,8 +327,9 @@ def held_out_choice(
 ) -> tuple[list[str], float, PipelineModel]:
     """The subset whose tree has the best balanced accuracy on ``val``, its merit and tree."""
     best = None
+    counts = class_counts(train, label)
     for chosen, merit in subsets:
-        model = train_classifier(train, label, chosen, kind="tree")
+        model = train_classifier(train, label, chosen, kind="tree", counts=counts)
         reached = mean_recall(score(model, val), label)
         if best is None or reached > best[0]:
             best = reached, chosen, merit, model

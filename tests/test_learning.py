@@ -460,6 +460,13 @@ def test_training_calls_one_function_per_row_and_learns_the_same(scored, monkeyp
     assert told[0] == told[1]
 
 
+def test_finalists_share_the_count_of_classes(scored, monkeypatch):
+    counted, count = [], M.class_counts
+    monkeypatch.setattr(M, "class_counts", lambda df, label: counted.append(label) or count(df, label))
+    M.held_out_choice(scored, scored, "label", [(["a"], 1.0), (["a", "b"], 0.5)])
+    assert counted == ["label"]
+
+
 def test_class_places(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "k string")
     placed, classes = M.with_class_index(df, "k", M.class_counts(df, "k"))
