@@ -228,12 +228,12 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def fit_rule_tree(train: DataFrame, label: str, features: Sequence[str], depth: int = 5, min_split: int = 50):
     """A shallow tree and its class names; halves of a split hold half of ``min_split``."""
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(train)
-    prepared = VectorAssembler(inputCols=list(features), outputCol="features").transform(indexer.transform(train))
+    indexed, classes = with_class_index(train, label, class_counts(train, label))
+    prepared = VectorAssembler(inputCols=list(features), outputCol="features").transform(indexed)
     tree = DecisionTreeClassifier(
         labelCol="_label", featuresCol="features", maxDepth=depth, minInstancesPerNode=max(1, min_split // 2), seed=42
     )
-    return tree.fit(prepared), indexer.labels
+    return tree.fit(prepared), classes
 
 
 def majority_label(df: DataFrame, label: str) -> str:

@@ -460,6 +460,20 @@ def test_training_calls_one_function_per_row_and_learns_the_same(scored, monkeyp
     assert told[0] == told[1]
 
 
+def test_rule_tree_reads_class_places_without_a_function(scored, monkeypatch):
+    seen, make = [], M.DecisionTreeClassifier
+
+    def spied(**settings):
+        learner = make(**settings)
+        fit = learner.fit
+        learner.fit = lambda df: seen.append(df) or fit(df)
+        return learner
+
+    monkeypatch.setattr(M, "DecisionTreeClassifier", spied)
+    _, classes = M.fit_rule_tree(scored, "label", ["a", "b", "c"])
+    assert _calls(seen[0]) == 1 and classes == sorted(classes)
+
+
 def test_finalists_share_the_count_of_classes(scored, monkeypatch):
     counted, count = [], M.class_counts
     monkeypatch.setattr(M, "class_counts", lambda df, label: counted.append(label) or count(df, label))
