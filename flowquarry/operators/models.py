@@ -8,6 +8,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowquarry.functions.features import quoted
+from flowquarry.operators import boosting as B
 from flowquarry.operators.profiles import balanced_weight
 from flowquarry.operators.scoring import Rule, Test
 
@@ -192,22 +194,24 @@ def train_boosted(
     without a class take no part; a class met only in ``val`` counts as never found.
     """
     train, val = train.filter(F.col(label).isNotNull()), val.filter(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    counts = class_counts(train, label)
     classes = sorted(counts)
-    weights = F.create_map(*[F.lit(x) for c in classes for x in (c, balanced_weight(sum(counts.values()), len(classes), counts[c]))])
+    weights = [balanced_weight(sum(counts.values()), len(classes), counts[c]) for c in classes]
+    numbers = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
     pipeline = feature_pipeline(numeric, scale=False).fit(train)
-    both = train.withColumn("_watched", F.lit(False)).unionByName(val.withColumn("_watched", F.lit(True)))
-    both = both.filter(F.col(label).isin(classes)).withColumn("_weight", F.element_at(weights, F.col(label)))
-    prepared = pipeline.transform(both).select("features", "_watched", "_weight", label).persist()
+    weighted = with_class_weights(train, label, counts=counts)
+    cuts = B.feature_cuts(weighted, numeric, "_weight", sum(counts.values()), sum(w * counts[c] for w, c in zip(weights, classes)))
+    known = (df.filter(F.col(label).isin(classes)).withColumn("_number", F.element_at(numbers, F.col(label))) for df in (train, val))
+    held = [B.blocks(df, numeric, "_number", cuts).persist() for df in known]
+    booster = GBTClassifier(
+        labelCol="_is", weightCol="_weight", validationIndicatorCol="_watched", validationTol=tolerance, maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=42
+    )
     try:
-        models = []
-        for c in classes:
-            booster = GBTClassifier(
-                labelCol="_is", weightCol="_weight", validationIndicatorCol="_watched", validationTol=tolerance, maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=42
-            )
-            models.append(booster.fit(prepared.withColumn("_is", (F.col(label) == F.lit(c)).cast("double"))))
+        grown = B.grow(*held, cuts, np.array(weights), rounds, depth, booster.getStepSize(), tolerance)
     finally:
-        prepared.unpersist()
+        for df in held:
+            df.unpersist()
+    models = [B.library_model(train.sparkSession, trees, cuts, booster) for trees in grown]
     most = max(len(m.trees) for m in models)
     whole = BoostedClassifier(classes, pipeline, models, most, [])
     right = [F.avg((whole.winner(i) == F.col(label)).cast("double")).alias(f"r{i}") for i in range(most)]
